@@ -48,6 +48,23 @@ def event_counts(events: DataFrame, type_col: str, region: str = REGION,
     return events.groupBy(region, month, type_col).agg(F.count(F.lit(1)).alias("n"))
 
 
+def aggregate_events(events: DataFrame, keys: Sequence[str], materialize: bool = True) -> DataFrame:
+    """One pass over the raw events: counts per ``keys`` (partial aggregation
+    before the shuffle). Every panel table derives from this small result.
+
+    With ``materialize`` the aggregate is checkpointed to the shared
+    checkpoint folder: the raw scan runs once even though several branches
+    (month axis, grid, pivots, neighbour sums) read it, and a lost executor
+    later does not send the job back to the raw events.
+    """
+    base = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    if materialize:
+        from ..session import checkpoint_dir
+        checkpoint_dir(base.sparkSession)
+        base = base.checkpoint(eager=True)
+    return base
+
+
 def month_axis(counts: DataFrame, month: str = MONTH) -> Column:
     """Sorted distinct months of all rows, as one array-valued scalar subquery."""
     return counts.select(F.array_sort(F.collect_set(month))).scalar()
@@ -99,7 +116,7 @@ def monthly_counts(events: DataFrame, type_col: str, values: Sequence[str],
 
     Dense (region, month) panel with one zero-filled count column per value.
     """
-    counts = event_counts(events, type_col, region, month)
+    counts = aggregate_events(events, [region, month, type_col])
     if strict:
         check_values(counts, type_col, values)
     grid = region_month_grid(counts, region, month)
@@ -184,9 +201,13 @@ def build_panel(events: DataFrame, edges: DataFrame, type_col: str, types: Seque
     ``events`` needs ``region_id`` (null = unmatched), ``month`` (first of
     month) and the two type columns.
     """
-    counts = event_counts(events, type_col, region, month)
-    months = month_axis(counts, month)
-    grid = (counts.where(F.col(region).isNotNull()).select(region).distinct()
+    # One pass over the events: every later table derives from this small
+    # (region, month, type[, sub-type]) aggregate, whose shuffle is reused.
+    keys = [region, month, type_col] + ([sub_col] if sub_col is not None and subtypes else [])
+    base = aggregate_events(events, keys)
+    counts = base.groupBy(region, month, type_col).agg(F.sum("n").alias("n"))
+    months = month_axis(base, month)
+    grid = (base.where(F.col(region).isNotNull()).select(region).distinct()
             .select(region, F.explode(months).alias(month)))
     wide = pivot_counts(counts, type_col, types, region, month)
     nb_names = [neighbour_name(v) for v in types]
@@ -198,7 +219,7 @@ def build_panel(events: DataFrame, edges: DataFrame, type_col: str, types: Seque
     j = grid.join(wide, [region, month], "left")
     count_cols = list(types)
     if sub_col is not None and subtypes:
-        sub_counts = event_counts(events, sub_col, region, month)
+        sub_counts = base.groupBy(region, month, sub_col).agg(F.sum("n").alias("n"))
         j = j.join(pivot_counts(sub_counts, sub_col, subtypes, region, month), [region, month], "left")
         count_cols += list(subtypes)
     j = j.join(nb_wide, [region, month], "left")

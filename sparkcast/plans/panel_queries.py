@@ -32,7 +32,7 @@ def monthly_subevent_panel(spark, sf_dir):
 
 
 def neighbour_event_sums(spark, sf_dir):
-    counts = panel.event_counts(S.events(spark, sf_dir), "event_type")
+    counts = panel.aggregate_events(S.events(spark, sf_dir), ["region_id", "month", "event_type"])
     return panel.neighbour_sums(counts, S.nation_edges(spark, sf_dir), "event_type", S.EVENT_TYPES)
 
 
