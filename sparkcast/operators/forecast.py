@@ -67,7 +67,8 @@ def _forest(target: str, num_trees: int, max_depth: int, seed: int, weight: str
     from pyspark.ml.regression import RandomForestRegressor
     kw = dict(featuresCol="features", labelCol=target, predictionCol="predicted",
               numTrees=num_trees, maxDepth=max_depth, seed=seed,
-              featureSubsetStrategy="all", subsamplingRate=1.0, bootstrap=True)
+              featureSubsetStrategy="all", subsamplingRate=1.0, bootstrap=True,
+              maxMemoryInMB=1024, cacheNodeIds=True)
     if weight:
         kw["weightCol"] = weight
     return RandomForestRegressor(**kw)
@@ -92,14 +93,26 @@ def fit_pooled(panel: DataFrame, predictors: Sequence[str], targets: Sequence[st
     importances ``(target, feature, importance)``. Spark ML's forest is not
     bit-identical to scikit-learn's (binned splits, depth cap).
     """
-    h = split_holdout(panel, n, region, month).cache()
+    from concurrent.futures import ThreadPoolExecutor
+
+    spark = panel.sparkSession
+    h = split_holdout(panel, n, region, month)
     asm = _assembler(predictors)
-    train = asm.transform(_train_rows(h, predictors))
-    test = asm.transform(h.where(F.col("split") == "test"))
+    # the training table is small (regions x months); cut its lineage once
+    from ..session import checkpoint_dir
+    checkpoint_dir(spark)
+    train = asm.transform(_train_rows(h, predictors)).checkpoint(eager=True)
+    test = asm.transform(h.where(F.col("split") == "test")).checkpoint(eager=True)
+
+    def fit_one(t):
+        return _forest(t, num_trees, max_depth, seed, weight).fit(train)
+
+    # one forest per target; the fits are independent Spark jobs, so they
+    # are submitted concurrently and share the cluster
+    with ThreadPoolExecutor(max_workers=max(1, len(targets))) as pool:
+        models = list(pool.map(fit_one, targets))
     preds, imps = [], []
-    spark = panel.sparkSession
-    for t in targets:
-        model = _forest(t, num_trees, max_depth, seed, weight).fit(train)
+    for t, model in zip(targets, models):
         p = model.transform(test).select(region, month, F.lit(t).alias("target"), "step",
                                          c(t).cast("double").alias("actual"), "predicted")
         preds.append(p)

@@ -29,6 +29,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import char_masks, fuzzy_ratio, normalize, ratio_process, word_tokens
+from ..session import materialize
 from . import fixed_values as FV
 
 TIER_EN, TIER_NAME, TIER_ALT, TIER_FUZZY, TIER_WORDS = 1, 2, 3, 4, 5
@@ -41,15 +42,16 @@ def region_id(country: str = "adm0_a3", name_en: str = "name_en"):
 
 
 def candidate_entries(boundaries: DataFrame, country: str = "adm0_a3", name_en: str = "name_en",
-                      name: str = "name", name_alt: str = "name_alt", pos: str = "pos") -> DataFrame:
+                      name: str = "name", name_alt: str = "name_alt", pos: str = "pos",
+                      id_col: str | None = None) -> DataFrame:
     """One row per (region, name slot): ``country, cname, region_id, pos,
     slot, kind``. Slot 0 = English name, 1 = local name, 2.. = alternatives
     (P10: split on '|', blanks dropped). Blank normalised names are dropped
-    (Q7)."""
+    (Q7). ``id_col`` names an existing id column instead of P9's id."""
+    rid = F.col(id_col) if id_col else region_id(country, name_en)
     b = boundaries.select(F.col(country).alias("country"), F.col(name_en).alias("_en"),
                           F.col(name).alias("_nm"), F.col(name_alt).alias("_alt"),
-                          F.col(pos).cast("long").alias("pos"),
-                          region_id(country, name_en).alias("region_id"))
+                          F.col(pos).cast("long").alias("pos"), rid.alias("region_id"))
     en = b.select("country", F.col("_en").alias("raw"), "region_id", "pos",
                   F.lit(0).alias("slot"), F.lit("en").alias("kind"))
     nm = b.select("country", F.col("_nm").alias("raw"), "region_id", "pos",
@@ -112,7 +114,12 @@ def fuzzy_matches(keys: DataFrame, pool: DataFrame, threshold: int = FV.FUZZY_TH
     above cannot score 60, so nothing that could be accepted is left out.
     """
     kp = ratio_process("key")
-    k = keys.select("country", "key", kp.alias("kc"), F.length(kp).alias("klen"))
+    # Scoring is CPU-bound while its input is small in bytes, so AQE would
+    # coalesce it into very few tasks: spread the keys explicitly over the
+    # configured shuffle partitions (hash of country and key).
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    k = (keys.repartition(n, "country", "key")
+         .select("country", "key", kp.alias("kc"), F.length(kp).alias("klen")))
     k = k.select("*", F.explode(F.array(*[_len_bucket(F.col("klen")) + d for d in (-1, 0, 1)])).alias("b"))
     p = pool.select("*", _len_bucket(F.col("plen")).alias("b"))
     pairs = (k.join(p, ["country", "b"])
@@ -144,12 +151,12 @@ def match_regions(keys: DataFrame, boundaries: DataFrame, threshold: int = FV.FU
     """J6 cascade over distinct keys ``(country, key)`` (key = normalised
     name). Returns every input key with ``region_id`` and ``tier`` (both null
     when nothing matches or the key is empty)."""
-    keys = keys.select("country", "key").distinct()
-    entries = candidate_entries(boundaries, **cols)
+    keys = materialize(keys.select("country", "key").distinct())
+    entries = materialize(candidate_entries(boundaries, **cols))
     live = keys.where(F.col("key").isNotNull() & (F.col("key") != "") & F.col("country").isNotNull())
     t13 = exact_matches(live, exact_maps(entries))
     rest = live.join(t13.select("country", "key"), ["country", "key"], "left_anti")
-    pool = candidate_pool(entries)
+    pool = materialize(candidate_pool(entries))
     t4 = fuzzy_matches(rest, pool, threshold).select("country", "key", "region_id",
                                                     F.lit(TIER_FUZZY).alias("tier"))
     rest2 = rest.join(t4.select("country", "key"), ["country", "key"], "left_anti")

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators import adjacency as A, articles as AR, indicators as I, pages as PG
 from . import standins as S
 
-# Indicator stand-ins: per nation and year aggregates (prefix -> code).
+# Indicator stand-ins: per nation and year aggregates (prefix -> code); sums
+# are taken in decimal so the stand-in values are exact.
 INDICATORS = {"order_value": "ORD.VAL", "order_count": "ORD.CNT", "ship_discount": "SHP.DSC"}
 IND_START, IND_END = 1995, 2001
 SEARCH_TEMPLATES = ["[metric] in [country] in [year]"]
@@ -53,12 +54,13 @@ def indicator_long(spark, sf_dir) -> DataFrame:
          .select("o_custkey", "o_totalprice", F.year("o_orderdate").alias("year")))
     cu = S.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     oc = (o.join(cu, o.o_custkey == cu.c_custkey).groupBy("c_nationkey", "year")
-          .agg(F.round(F.avg("o_totalprice"), 4).alias("v_val"), F.count(F.lit(1)).cast("double").alias("v_cnt")))
+          .agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("v_val"),
+               F.count(F.lit(1)).cast("double").alias("v_cnt")))
     li = (S.table(spark, sf_dir, "lineitem").where((F.col("l_shipdate") >= lo) & (F.col("l_shipdate") < hi))
           .select("l_suppkey", "l_discount", F.year("l_shipdate").alias("year")))
     su = S.table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     ls = (li.join(su, li.l_suppkey == su.s_suppkey).groupBy("s_nationkey", "year")
-          .agg(F.round(F.avg("l_discount"), 6).alias("v_dsc")))
+          .agg(F.sum(F.col("l_discount").cast("decimal(10,2)")).cast("double").alias("v_dsc")))
 
     def shape(df, key, vcol, prefix):
         return (df.join(F.broadcast(na), F.col(key) == F.col("n_nationkey"))
@@ -80,7 +82,7 @@ def indicator_wide(spark, sf_dir):
 
 def indicator_summary(spark, sf_dir):
     s = I.summary(indicator_long(spark, sf_dir))
-    return s.withColumn("latest_mean", F.round("latest_mean", 6))
+    return s.withColumn("latest_mean", F.round("latest_mean", 4))
 
 
 # ------------------------------------------------------- searches, articles

@@ -39,10 +39,10 @@ def _long() -> str:
     lo, hi = f"TIMESTAMP '{D.IND_START:04d}-01-01'", f"TIMESTAMP '{D.IND_END + 1:04d}-01-01'"
     return f"""
 oc AS (SELECT c.c_nationkey AS nk, CAST(year(o.o_orderdate) AS INTEGER) AS year,
-              round(avg(o.o_totalprice), 4) AS v_val, CAST(count(*) AS DOUBLE) AS v_cnt
+              CAST(sum(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS v_val, CAST(count(*) AS DOUBLE) AS v_cnt
        FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
        WHERE o.o_orderdate >= {lo} AND o.o_orderdate < {hi} GROUP BY 1, 2),
-ls AS (SELECT s.s_nationkey AS nk, CAST(year(l.l_shipdate) AS INTEGER) AS year, round(avg(l.l_discount), 6) AS v_dsc
+ls AS (SELECT s.s_nationkey AS nk, CAST(year(l.l_shipdate) AS INTEGER) AS year, CAST(sum(CAST(l.l_discount AS DECIMAL(10,2))) AS DOUBLE) AS v_dsc
        FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey
        WHERE l.l_shipdate >= {lo} AND l.l_shipdate < {hi} GROUP BY 1, 2),
 lng AS (
@@ -71,7 +71,7 @@ def indicator_summary() -> str:
     return f"""WITH {_long()},
 mx AS (SELECT indicator_code, max(year) AS ymax FROM lng GROUP BY 1)
 SELECT l.indicator_code, count(DISTINCT countryiso3code) AS countries, min(year) AS year_min, max(year) AS year_max,
-       count(*) AS records, round(avg(value) FILTER (WHERE year = mx.ymax), 6) AS latest_mean
+       count(*) AS records, round(avg(value) FILTER (WHERE year = mx.ymax), 4) AS latest_mean
 FROM lng l JOIN mx USING (indicator_code) GROUP BY l.indicator_code"""
 
 

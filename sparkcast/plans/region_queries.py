@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import normalize
 from ..operators import regions as R
+from ..session import materialize
 from . import standins as S
 
 
@@ -59,11 +60,11 @@ def region_match_exact(spark, sf_dir):
 
 
 def _after_exact(spark, sf_dir):
-    entries = R.candidate_entries(part_boundaries(spark, sf_dir))
-    live = _live(match_keys(spark, sf_dir))
+    entries = materialize(R.candidate_entries(part_boundaries(spark, sf_dir)))
+    live = materialize(_live(match_keys(spark, sf_dir)))
     t13 = R.exact_matches(live, R.exact_maps(entries))
     rest = live.join(t13.select("country", "key"), ["country", "key"], "left_anti")
-    return rest, R.candidate_pool(entries)
+    return rest, materialize(R.candidate_pool(entries))
 
 
 def region_match_fuzzy(spark, sf_dir):

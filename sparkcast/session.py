@@ -61,3 +61,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table inside the shared checkpoint folder."""
     base = checkpoint_dir(spark)
     return os.path.join(base, name) if "://" not in base else base.rstrip("/") + "/" + name
+
+
+def materialize(df):
+    """Write a small intermediate once to the checkpoint folder and cut its
+    lineage: later branches read it instead of recomputing (and a lost
+    executor does not send them back to the raw input)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

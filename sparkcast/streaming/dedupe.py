@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -57,14 +58,15 @@ def first_seen_batches(spark: SparkSession, source: str, schema: StructType, ord
 
     def batch(df: DataFrame, batch_id: int) -> None:
         sess = df.sparkSession
+        seen = None
         try:
-            seen = sess.read.parquet(visited_path).select(url)
-            seen = seen.where(F.col("_batch") != batch_id) if "_batch" in sess.read.parquet(visited_path).columns else seen
-        except Exception:  # noqa: BLE001 - first batch: no table yet
-            seen = None
+            seen = sess.read.parquet(visited_path).where(F.col("_batch") < batch_id).select(url)
+        except AnalysisException:  # first batch: no table yet
+            pass
         kept = first_seen(df, order, url, visited=seen)
-        (kept.withColumn("_batch", F.lit(batch_id)).write.mode("append")
-         .partitionBy("_batch").parquet(visited_path))
+        # a retried batch overwrites only its own partition (idempotent)
+        (kept.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(visited_path))
 
     q = (spark.readStream.schema(schema).format(fmt).load(source).writeStream
          .foreachBatch(batch).option("checkpointLocation", checkpoint)
