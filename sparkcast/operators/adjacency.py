@@ -118,3 +118,19 @@ def merge_groups(regions: DataFrame, groups: DataFrame, country_col: str = "coun
         return regions.unionByName(parents)
     rest = regions.join(g, (F.col(country_col) == F.col("_cc")) & (F.col(name_col) == F.col("_cn")), "left_anti")
     return rest.unionByName(parents)
+
+
+def prepare_boundaries(boundaries: DataFrame, second_set: DataFrame,
+                       replaced: Sequence[str] | None = None) -> DataFrame:
+    """U3 + U4 + U2 as in the original preparation order: append the merged
+    French regions (departments kept), replace Libyan districts by their three
+    groups, then swap the listed countries for the second boundary set
+    (``second_set`` with ``country, name_en`` [+ rings])."""
+    from . import fixed_values as FV
+    spark = boundaries.sparkSession
+    schema = "country string, child_name string, parent_name string"
+    fr = spark.createDataFrame(FV.group_rows(FV.FRANCE_REGIONS, "FRA"), schema)
+    ly = spark.createDataFrame(FV.group_rows(FV.LIBYA_REGIONS, "LBY"), schema)
+    b = merge_groups(boundaries, fr, keep_children=True)
+    b = merge_groups(b, ly, keep_children=False)
+    return replace_regions(b, second_set, list(replaced if replaced is not None else FV.REPLACED_COUNTRIES))

@@ -108,3 +108,14 @@ def restrict(records: DataFrame, start=None, end=None, excluded_hosts: DataFrame
         r = (r.withColumn("_host", F.expr("parse_url(url, 'HOST')"))
              .join(ex, "_host", "left_anti").drop("_host"))
     return r
+
+
+def tag_with_query(hits: DataFrame, grid: DataFrame, on: str = "query_seq") -> DataFrame:
+    """P16 ``add_metadata``: each hit carries its query's country and search
+    text (a join on the query number; the grid is bounded by the config)."""
+    return hits.join(grid.select(on, "country", "search"), on, "left")
+
+
+def with_text(articles: DataFrame, text: str = "full_text") -> DataFrame:
+    """Keep articles whose page text was obtained."""
+    return articles.where(F.col(text).isNotNull())

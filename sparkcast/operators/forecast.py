@@ -146,3 +146,11 @@ def fit_region(panel: DataFrame, region_value, target: str, predictors: Sequence
     p, i = fit_pooled(one, predictors, [target], n, num_trees, min(max_depth, 30), seed,
                       region=region, month=month)
     return p, error_metrics(p, [region, "target"]), i
+
+
+def forecast(panel: DataFrame, region_value, target: str, predictors: Sequence[str], n: int = 6,
+             region: str = REGION, month: str = MONTH):
+    """M5 ``forecast_admin1_events``: P4 -> W3 -> M1 -> M2 -> A11/A12 for one
+    region and one target on a (stored or rebuilt, see ``load_or_build``)
+    panel. Returns ``(predictions, metrics, importances)``."""
+    return fit_region(panel, region_value, target, predictors, n, region=region, month=month)

@@ -88,3 +88,14 @@ def summary(long: DataFrame) -> DataFrame:
     return s.join(cn, "indicator_code", "left").select(
         "indicator_code", F.coalesce("countries", F.lit(0).cast("long")).alias("countries"),
         "year_min", "year_max", "records", "latest_mean")
+
+
+def all_indicators(longs: Sequence[DataFrame]) -> DataFrame:
+    """U7 ``get_all_indicators``: one long table over every indicator; empty
+    inputs add nothing. ``indicator_code`` tells the indicators apart."""
+    out = None
+    for df in longs:
+        out = df.select(*LONG_COLS) if out is None else out.unionByName(df.select(*LONG_COLS))
+    if out is None:
+        raise ValueError("no indicator tables given")
+    return out

@@ -79,3 +79,22 @@ def test_real_countries_blank_is_missing(spark):
     meta = spark.createDataFrame([("A", "1.0", "2.0"), ("B", "", "2.0"), ("C", None, "1.0")],
                                  "id string, longitude string, latitude string")
     assert [r.id for r in I.real_countries(meta).collect()] == ["A"]
+
+
+def test_prepare_boundaries_order(spark):
+    base = spark.createDataFrame(
+        [("FRA", "Ain", 1), ("FRA", "Allier", 2), ("LBY", "Ghat", 3), ("LBY", "Sabha", 4), ("NPL", "Old", 5),
+         ("ITA", "Lazio", 6)], "country string, name_en string, pos long")
+    wb = spark.createDataFrame([("NPL", "Koshi")], "country string, name_en string")
+    got = {(r.country, r.name_en) for r in A.prepare_boundaries(base, wb).collect()}
+    assert ("FRA", "Ain") in got and ("FRA", "Auvergne-Rhone-Alpes") in got      # departments kept
+    assert ("LBY", "South") in got and ("LBY", "Ghat") not in got                # districts replaced
+    assert ("NPL", "Koshi") in got and ("NPL", "Old") not in got                 # second set swapped in
+    assert ("ITA", "Lazio") in got
+
+
+def test_stage_counts(spark):
+    from sparkcast.operators.counts import stage_counts
+    a = spark.range(5)
+    got = {r.stage: r.rows for r in stage_counts(queries=a, articles=a.where("id > 2")).collect()}
+    assert got == {"queries": 5, "articles": 2}
