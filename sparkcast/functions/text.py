@@ -98,6 +98,30 @@ def lcs_bits(a: Column, masks: Column, lb: Column) -> Column:
     return lb - F.bit_count(F.aggregate(F.split(a, ""), full, step))
 
 
+def char_codes(col: Column) -> Column:
+    """array<int> of the string's character codes."""
+    return F.transform(F.split(col, ""), lambda ch: F.ascii(ch))
+
+
+def ascii_mask_array(masks: Column) -> Column:
+    """The :func:`char_masks` map as a 128-slot array indexed by ASCII code."""
+    return F.transform(F.sequence(F.lit(0), F.lit(127)),
+                       lambda code: F.coalesce(F.try_element_at(masks, F.chr(code)), F.lit(0).cast("long")))
+
+
+def lcs_bits_codes(codes: Column, mask_arr: Column, lb: Column) -> Column:
+    """:func:`lcs_bits` for ASCII strings given as codes: an array index per
+    character instead of a map look-up."""
+    full = _bit(lb) - 1
+
+    def step(v, code):
+        m = F.coalesce(F.get(mask_arr, code), F.lit(0).cast("long"))
+        u = v.bitwiseAND(m)
+        return ((v + u).bitwiseOR(v - u)).bitwiseAND(full)
+
+    return lb - F.bit_count(F.aggregate(codes, full, step))
+
+
 def lcs_dp(a: Column, b: Column) -> Column:
     """LCS length by dynamic programming over rows (any length)."""
     return F.aggregate(

@@ -28,7 +28,8 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import char_masks, fuzzy_ratio, normalize, ratio_process, word_tokens
+from ..functions.text import (MAX_BITS, ascii_mask_array, char_codes, char_masks, fuzzy_ratio,
+                              lcs_bits_codes, normalize, ratio_process, word_tokens)
 from ..session import materialize
 from . import fixed_values as FV
 
@@ -81,9 +82,11 @@ def candidate_pool(entries: DataFrame) -> DataFrame:
          .agg(F.min(F.struct("pos", "slot")).alias("first"),
               F.max_by("region_id", F.struct("pos", "slot")).alias("rid")))
     pp = ratio_process("cname")
-    return p.select("country", "cname", "first", "rid", pp.alias("pc"),
-                    F.length(pp).alias("plen"), char_masks(pp).alias("pmasks"),
-                    word_tokens("cname").alias("ptokens"))
+    q = p.select("country", "cname", "first", "rid", pp.alias("pc"),
+                 F.length(pp).alias("plen"), char_masks(pp).alias("pmasks"),
+                 word_tokens("cname").alias("ptokens"))
+    return q.select("*", ascii_mask_array(F.col("pmasks")).alias("pmask_arr"),
+                    (F.coalesce(F.array_max(char_codes(F.col("pc"))), F.lit(0)) <= 127).alias("pascii"))
 
 
 def exact_matches(keys: DataFrame, maps: DataFrame) -> DataFrame:
@@ -119,14 +122,24 @@ def fuzzy_matches(keys: DataFrame, pool: DataFrame, threshold: int = FV.FUZZY_TH
     # configured shuffle partitions (hash of country and key).
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     k = (keys.repartition(n, "country", "key")
-         .select("country", "key", kp.alias("kc"), F.length(kp).alias("klen")))
+         .select("country", "key", kp.alias("kc"), F.length(kp).alias("klen"))
+         .withColumn("kcodes", char_codes(F.col("kc")))
+         .withColumn("kascii", F.coalesce(F.array_max("kcodes"), F.lit(0)) <= 127))
     k = k.select("*", F.explode(F.array(*[_len_bucket(F.col("klen")) + d for d in (-1, 0, 1)])).alias("b"))
     p = pool.select("*", _len_bucket(F.col("plen")).alias("b"))
     pairs = (k.join(p, ["country", "b"])
              .where((F.col("kc") == F.col("pc")) |
                     (F.lit(200.0) * F.least("klen", "plen") >= F.lit(59.5) * (F.col("klen") + F.col("plen")))))
-    scored = pairs.select("country", "key", "rid", "first",
-                          fuzzy_ratio(F.col("kc"), F.col("pc"), F.col("pmasks")).alias("score"))
+    # ASCII pairs (all of them after normalisation): codes + mask array;
+    # anything else takes the general form (map masks / DP)
+    fast = F.col("kascii") & F.col("pascii") & (F.col("plen") <= MAX_BITS)
+    lcs = lcs_bits_codes(F.col("kcodes"), F.col("pmask_arr"), F.col("plen"))
+    raw = F.lit(100.0) * ((F.lit(2) * lcs).cast("double") / (F.col("klen") + F.col("plen")).cast("double"))
+    fast_score = (F.when(F.col("kc") == F.col("pc"), F.lit(100))
+                  .when((F.col("klen") == 0) | (F.col("plen") == 0), F.lit(0))
+                  .otherwise(F.bround(raw, 0).cast("int")))
+    score = F.when(fast, fast_score).otherwise(fuzzy_ratio(F.col("kc"), F.col("pc"), F.col("pmasks")))
+    scored = pairs.select("country", "key", "rid", "first", score.alias("score"))
     if all_scores:
         return scored
     best = (scored.groupBy("country", "key")

@@ -40,9 +40,11 @@ def test_lcs_bits_matches_dp(spark):
               "".join(rnd.choice("abcd ") for _ in range(rnd.randint(1, 62)))) for _ in range(300)]
     df = spark.createDataFrame(pairs, "a string, b string")
     out = df.select("a", "b", T.lcs_bits(F.col("a"), T.char_masks(F.col("b")), F.length("b")).alias("bits"),
+                    T.lcs_bits_codes(T.char_codes(F.col("a")), T.ascii_mask_array(T.char_masks(F.col("b"))),
+                                     F.length("b")).alias("codes"),
                     T.lcs_dp(F.col("a"), F.col("b")).alias("dp")).collect()
     for r in out:
-        assert r.bits == r.dp == _lcs(r.a, r.b)
+        assert r.bits == r.codes == r.dp == _lcs(r.a, r.b)
 
 
 def test_g6_cascade(spark):
