@@ -98,11 +98,11 @@ def fit_pooled(panel: DataFrame, predictors: Sequence[str], targets: Sequence[st
     spark = panel.sparkSession
     h = split_holdout(panel, n, region, month)
     asm = _assembler(predictors)
-    # the training table is small (regions x months); cut its lineage once
-    from ..session import checkpoint_dir
-    checkpoint_dir(spark)
-    train = asm.transform(_train_rows(h, predictors)).checkpoint(eager=True)
-    test = asm.transform(h.where(F.col("split") == "test")).checkpoint(eager=True)
+    # the training table is small (regions x months); write it once and cut
+    # its lineage, then cache it for the many passes of the tree growth
+    from ..session import materialize
+    train = asm.transform(materialize(_train_rows(h, predictors))).cache()
+    test = asm.transform(materialize(h.where(F.col("split") == "test")))
 
     def fit_one(t):
         return _forest(t, num_trees, max_depth, seed, weight).fit(train)

@@ -52,16 +52,15 @@ def aggregate_events(events: DataFrame, keys: Sequence[str], materialize: bool =
     """One pass over the raw events: counts per ``keys`` (partial aggregation
     before the shuffle). Every panel table derives from this small result.
 
-    With ``materialize`` the aggregate is checkpointed to the shared
+    With ``materialize`` the aggregate is written once to the shared
     checkpoint folder: the raw scan runs once even though several branches
     (month axis, grid, pivots, neighbour sums) read it, and a lost executor
     later does not send the job back to the raw events.
     """
     base = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     if materialize:
-        from ..session import checkpoint_dir
-        checkpoint_dir(base.sparkSession)
-        base = base.checkpoint(eager=True)
+        from ..session import materialize as write_and_read
+        base = write_and_read(base)
     return base
 
 

@@ -78,15 +78,18 @@ def exact_maps(entries: DataFrame) -> DataFrame:
 def candidate_pool(entries: DataFrame) -> DataFrame:
     """Tier 4/5 pool per country: each distinct name once, ordered by first
     sight, mapped to its last-loaded region, with the fuzzy preparation."""
+    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     p = (entries.groupBy("country", "cname")
          .agg(F.min(F.struct("pos", "slot")).alias("first"),
               F.max_by("region_id", F.struct("pos", "slot")).alias("rid")))
     pp = ratio_process("cname")
-    q = p.select("country", "cname", "first", "rid", pp.alias("pc"),
-                 F.length(pp).alias("plen"), char_masks(pp).alias("pmasks"),
-                 word_tokens("cname").alias("ptokens"))
-    return q.select("*", ascii_mask_array(F.col("pmasks")).alias("pmask_arr"),
-                    (F.coalesce(F.array_max(char_codes(F.col("pc"))), F.lit(0)) <= 127).alias("pascii"))
+    # prepare the string first; the repartition keeps it a plain column for the
+    # CPU-bound mask build below and spreads that build over all tasks
+    q = (p.select("country", "cname", "first", "rid", pp.alias("pc"), F.length(pp).alias("plen"))
+         .repartition(n)
+         .select("*", char_masks(F.col("pc")).alias("pmasks"), word_tokens("cname").alias("ptokens"),
+                 (F.coalesce(F.array_max(char_codes(F.col("pc"))), F.lit(0)) <= 127).alias("pascii")))
+    return q.select("*", ascii_mask_array(F.col("pmasks")).alias("pmask_arr"))
 
 
 def exact_matches(keys: DataFrame, maps: DataFrame) -> DataFrame:
@@ -117,16 +120,16 @@ def fuzzy_matches(keys: DataFrame, pool: DataFrame, threshold: int = FV.FUZZY_TH
     above cannot score 60, so nothing that could be accepted is left out.
     """
     kp = ratio_process("key")
-    # Scoring is CPU-bound while its input is small in bytes, so AQE would
-    # coalesce it into very few tasks: spread the keys explicitly over the
-    # configured shuffle partitions (hash of country and key).
+    # Scoring is CPU-bound while its inputs are small in bytes, so AQE would
+    # coalesce it into very few tasks: both sides are spread explicitly over
+    # the configured shuffle partitions.
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    k = (keys.repartition(n, "country", "key")
-         .select("country", "key", kp.alias("kc"), F.length(kp).alias("klen"))
+    k = (keys.select("country", "key", kp.alias("kc"), F.length(kp).alias("klen")).repartition(n)
          .withColumn("kcodes", char_codes(F.col("kc")))
          .withColumn("kascii", F.coalesce(F.array_max("kcodes"), F.lit(0)) <= 127))
     k = k.select("*", F.explode(F.array(*[_len_bucket(F.col("klen")) + d for d in (-1, 0, 1)])).alias("b"))
-    p = pool.select("*", _len_bucket(F.col("plen")).alias("b"))
+    # whichever side AQE broadcasts, the other one (streamed) is spread out
+    p = pool.repartition(n).select("*", _len_bucket(F.col("plen")).alias("b"))
     pairs = (k.join(p, ["country", "b"])
              .where((F.col("kc") == F.col("pc")) |
                     (F.lit(200.0) * F.least("klen", "plen") >= F.lit(59.5) * (F.col("klen") + F.col("plen")))))

@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import adjacency as A, articles as AR, indicators as I, pages as PG
+from ..session import spread
 from . import standins as S
 
 # Indicator stand-ins: per nation and year aggregates (prefix -> code); sums
@@ -136,12 +137,12 @@ def url_stream_dedupe(spark, sf_dir):
 
 # ----------------------------------------------------- pages, answers, matrix
 def page_blocks(spark, sf_dir):
-    p = S.table(spark, sf_dir, "pages")
+    p = spread(S.table(spark, sf_dir, "pages"))
     return p.select("page_id", PG.page_blocks("html").alias("text"))
 
 
 def page_fallback(spark, sf_dir):
-    p = S.table(spark, sf_dir, "pages")
+    p = spread(S.table(spark, sf_dir, "pages"))
     return p.select("page_id", PG.page_fallback("html").alias("f")).select("page_id", "f.source", "f.text")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import normalize
 from ..operators import regions as R
-from ..session import materialize
+from ..session import materialize, spread
 from . import standins as S
 
 
@@ -84,7 +84,7 @@ def region_match_cascade(spark, sf_dir):
 
 
 def normalize_names(spark, sf_dir):
-    d = S.table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = spread(S.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", normalize("text").alias("name_norm"))
 
 

@@ -64,8 +64,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df):
-    """Write a small intermediate once to the checkpoint folder and cut its
-    lineage: later branches read it instead of recomputing (and a lost
-    executor does not send them back to the raw input)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a small intermediate once as Parquet into the shared checkpoint
+    folder and read it back: one job, lineage cut (a lost executor never sends
+    later stages back to the raw input), and AQE sees its real size.
+    (``Dataset.checkpoint`` would compute an unpersisted plan twice.)"""
+    import uuid
+    spark = df.sparkSession
+    path = scratch_path(spark, f"tables/{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def spread(df):
+    """Spread CPU-heavy per-row work over all cores when the input arrives in
+    fewer partitions than the cluster has (e.g. one large row group). Inputs
+    that already have enough splits -- the normal case at scale -- are left
+    as they are, so no shuffle is added there."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
