@@ -127,12 +127,17 @@ def occurrence_cells(rows: DataFrame, metrics: Sequence[str], countries: DataFra
     sorted distinct countries of ``rows`` (Q15); rows of other countries are
     dropped.
     """
-    hits = (rows.select("country", "metric", F.explode("dates").alias("d"))
+    # one pass over the raw rows: distinct (country, metric, month); rows
+    # without a parsable date keep a null month so their country still counts
+    seen = (rows.select("country", "metric", F.explode_outer("dates").alias("d"))
             .select("country", "metric", parse_month("d").alias("month"))
-            .where(F.col("month").isNotNull()))
-    hits = hits.groupBy("metric", "country", "month").agg(F.lit(1).alias("present"))
+            .distinct())
+    from ..session import materialize
+    seen = materialize(seen)
+    hits = (seen.where(F.col("month").isNotNull())
+            .select("metric", "country", "month", F.lit(1).alias("present")))
     rng = hits.select(F.sequence(F.min("month"), F.max("month"), F.expr("INTERVAL 1 MONTH"))).scalar()
-    cl = countries if countries is not None else rows.select("country").distinct()
+    cl = countries if countries is not None else seen.select("country").distinct()
     grid = (cl.select(F.col(cl.columns[0]).alias("country"))
             .select("country", F.explode(F.array(*[F.lit(m) for m in metrics])).alias("metric"))
             .select("country", "metric", F.explode(rng).alias("month")))
