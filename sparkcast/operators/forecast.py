@@ -96,7 +96,10 @@ def fit_pooled(panel: DataFrame, predictors: Sequence[str], targets: Sequence[st
     from concurrent.futures import ThreadPoolExecutor
 
     spark = panel.sparkSession
-    h = split_holdout(panel, n, region, month)
+    # Q10: a region needs more than n rows for a holdout; others are skipped
+    # (see ``short_regions``)
+    enough = panel.groupBy(region).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > n)
+    h = split_holdout(panel.join(enough.select(region), region, "left_semi"), n, region, month)
     asm = _assembler(predictors)
     # the training table is small (regions x months); write it once and cut
     # its lineage, then cache it for the many passes of the tree growth
@@ -129,6 +132,12 @@ def fit_pooled(panel: DataFrame, predictors: Sequence[str], targets: Sequence[st
     return out_p, out_i.orderBy("target", "importance")
 
 
+def short_regions(panel: DataFrame, n: int = 6, region: str = REGION) -> DataFrame:
+    """Q10 report: regions with too few rows for an ``n``-month holdout."""
+    return (panel.groupBy(region).agg(F.count(F.lit(1)).alias("rows"))
+            .where(F.col("rows") <= n))
+
+
 def fit_region(panel: DataFrame, region_value, target: str, predictors: Sequence[str],
                n: int = 6, num_trees: int = 100, max_depth: int = 30, seed: int = 42,
                region: str = REGION, month: str = MONTH):

@@ -136,6 +136,8 @@ def occurrence_cells(rows: DataFrame, metrics: Sequence[str], countries: DataFra
     seen = materialize(seen)
     hits = (seen.where(F.col("month").isNotNull())
             .select("metric", "country", "month", F.lit(1).alias("present")))
+    if hits.limit(1).count() == 0:      # Q17: nothing to build a month range from
+        raise ValueError("no valid dates found")
     rng = hits.select(F.sequence(F.min("month"), F.max("month"), F.expr("INTERVAL 1 MONTH"))).scalar()
     cl = countries if countries is not None else seen.select("country").distinct()
     grid = (cl.select(F.col(cl.columns[0]).alias("country"))
@@ -146,6 +148,19 @@ def occurrence_cells(rows: DataFrame, metrics: Sequence[str], countries: DataFra
                     "month", F.coalesce("present", F.lit(0)).alias("present"))
 
 
+def occurrence_report(rows: DataFrame, countries: DataFrame | None = None) -> DataFrame:
+    """F5/Q15 counts in one pass: date strings that parse to no month, and
+    rows whose country is outside the given list (0 without a list)."""
+    d = rows.select("country", F.explode_outer("dates").alias("d"))
+    unparsed = F.sum(F.when(F.col("d").isNotNull() & parse_month("d").isNull(), 1).otherwise(0))
+    if countries is None:
+        return d.agg(unparsed.cast("long").alias("unparsed_dates"), F.lit(0).cast("long").alias("rows_outside"))
+    cl = countries.select(F.col(countries.columns[0]).alias("country")).distinct()
+    outside = rows.join(cl, "country", "left_anti").select(F.count(F.lit(1))).scalar()
+    return (d.agg(unparsed.cast("long").alias("unparsed_dates"))
+            .select("unparsed_dates", outside.alias("rows_outside")))
+
+
 def matrix_wide(cells: DataFrame) -> DataFrame:
     """K4 shape: one row per (metric, country), one column per month label in
     month order. The label list is the bounded month range (collected once)."""

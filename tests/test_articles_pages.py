@@ -100,3 +100,18 @@ def test_prompts(spark):
     p = PG.prompts(a, "Report [all metrics] for [country].", F.array(F.lit("coup"), F.lit("war")))
     t = p.first().prompt
     assert t.startswith("Report coup, war for Kenya. ") and len(t) == len("Report coup, war for Kenya. ") + 16000
+
+
+def test_q17_no_valid_dates_raises(spark):
+    import pytest
+    rows = spark.createDataFrame([("Kenya", "coup", ["2023", "junk"])], "country string, metric string, dates array<string>")
+    with pytest.raises(ValueError):
+        PG.occurrence_cells(rows, ["coup"])
+
+
+def test_occurrence_report(spark):
+    rows = spark.createDataFrame([("Kenya", "coup", ["08-2022", "2023"]), ("Chad", "war", ["junk"])],
+                                 "country string, metric string, dates array<string>")
+    cl = spark.createDataFrame([("Kenya",)], "country string")
+    r = PG.occurrence_report(rows, cl).first()
+    assert (r.unparsed_dates, r.rows_outside) == (2, 1)

@@ -86,3 +86,13 @@ def test_strict_subevent_values(spark):
     # non-strict: a listed value absent from the data is a column of zeros (Q18)
     p = panel.monthly_counts(_events(spark), "event_type", ["x", "nope"])
     assert p.select(F.sum("nope")).first()[0] == 0
+
+
+def test_q10_short_regions_skipped(spark):
+    from pyspark.ml.linalg import Vectors  # noqa: F401  (ml import check)
+    rows = [("A", dt.date(2020, k, 1), float(k), float(k - 1), 1.0) for k in range(1, 13)]
+    rows += [("B", dt.date(2020, k, 1), 1.0, 0.0, 1.0) for k in range(1, 4)]
+    df = spark.createDataFrame(rows, "region_id string, month date, y double, `y (t-1)` double, importance_weight double")
+    pred, imp = forecast.fit_pooled(df, ["y (t-1)", "importance_weight"], ["y"], n=6, num_trees=5, max_depth=3)
+    assert {r.region_id for r in pred.collect()} == {"A"}
+    assert [r.region_id for r in forecast.short_regions(df).collect()] == ["B"]
