@@ -48,15 +48,63 @@ def vertices(boundaries: DataFrame, id_col: str = "region_id", rings: str = "rin
 
 
 def edges_from_rings(boundaries: DataFrame, id_col: str = "region_id",
-                     rings: str = "rings", snap: int = 6) -> DataFrame:
+                     rings: str = "rings", snap: int = 6, cell: float | None = None) -> DataFrame:
     """J8 ``touches`` self join as an edge table ``(region_id, neighbour_id)``:
-    symmetric, no self pairs, each pair once. Islands have no rows."""
+    symmetric, no self pairs, each pair once. Islands have no rows.
+
+    Shared (snapped) vertices always count. With ``cell`` (a grid size in
+    coordinate units, e.g. 0.1 degrees) a vertex lying on another region's
+    edge without a vertex there (a T-junction) counts too: segments are
+    bucketed into the grid cells their bounding box covers and joined to the
+    vertices of the same cell, then tested exactly for point-on-segment.
+    """
     v = vertices(boundaries, id_col, rings, snap)
     a = v.select(F.col("rid").alias("region_id"), "vx", "vy")
     b = v.select(F.col("rid").alias("neighbour_id"), "vx", "vy")
-    return (a.join(b, ["vx", "vy"])
-            .where(F.col("region_id") != F.col("neighbour_id"))
-            .select("region_id", "neighbour_id").distinct())
+    shared = (a.join(b, ["vx", "vy"])
+              .where(F.col("region_id") != F.col("neighbour_id"))
+              .select("region_id", "neighbour_id"))
+    if cell is None:
+        return shared.distinct()
+    t = t_junction_pairs(boundaries, v, id_col, rings, snap, cell)
+    return shared.unionByName(t).unionByName(
+        t.select(F.col("neighbour_id").alias("region_id"), F.col("region_id").alias("neighbour_id"))).distinct()
+
+
+def segments(boundaries: DataFrame, id_col: str = "region_id", rings: str = "rings",
+             snap: int = 6) -> DataFrame:
+    """Ring edges ``(sid, ax, ay, bx, by)`` from consecutive vertices."""
+    # each ring zipped with itself shifted by one: consecutive vertex pairs,
+    # built inside the row (no shuffle)
+    r = boundaries.select(F.col(id_col).alias("sid"), F.explode(rings).alias("ring"))
+    n = F.size("ring") - 1
+    pairs = F.arrays_zip(F.slice("ring", 1, n).alias("p"), F.slice("ring", 2, n).alias("q"))
+    return (r.where(F.size("ring") >= 2).select("sid", F.explode(pairs).alias("e"))
+            .select("sid", F.round("e.p.x", snap).alias("ax"), F.round("e.p.y", snap).alias("ay"),
+                    F.round("e.q.x", snap).alias("bx"), F.round("e.q.y", snap).alias("by"))
+            .where((F.col("ax") != F.col("bx")) | (F.col("ay") != F.col("by"))))
+
+
+def t_junction_pairs(boundaries: DataFrame, v: DataFrame, id_col: str, rings: str, snap: int,
+                     cell: float, eps: float = 1e-9) -> DataFrame:
+    """Pairs (vertex owner, segment owner) where a vertex lies on the other
+    region's segment, found through grid cells (no all-pairs comparison)."""
+    seg = segments(boundaries, id_col, rings, snap)
+
+    def cidx(col):
+        return F.floor(col / F.lit(cell)).cast("long")
+
+    seg = seg.select("*", F.explode(F.sequence(cidx(F.least("ax", "bx")), cidx(F.greatest("ax", "bx")))).alias("cx"))
+    seg = seg.select("*", F.explode(F.sequence(cidx(F.least("ay", "by")), cidx(F.greatest("ay", "by")))).alias("cy"))
+    pv = v.select("rid", "vx", "vy", cidx(F.col("vx")).alias("cx"), cidx(F.col("vy")).alias("cy"))
+    j = pv.join(seg, ["cx", "cy"]).where(F.col("rid") != F.col("sid"))
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    px, py = F.col("vx") - F.col("ax"), F.col("vy") - F.col("ay")
+    cross = dx * py - dy * px
+    dot = dx * px + dy * py
+    length2 = dx * dx + dy * dy
+    on = (F.abs(cross) <= F.lit(eps) * F.sqrt(length2)) & (dot >= 0) & (dot <= length2)
+    return j.where(on).select(F.col("rid").alias("region_id"), F.col("sid").alias("neighbour_id"))
 
 
 def neighbour_lists(edges: DataFrame) -> DataFrame:

@@ -201,28 +201,25 @@ def build_panel(events: DataFrame, edges: DataFrame, type_col: str, types: Seque
     month) and the two type columns.
     """
     # One pass over the events: every later table derives from this small
-    # (region, month, type[, sub-type]) aggregate, whose shuffle is reused.
-    keys = [region, month, type_col] + ([sub_col] if sub_col is not None and subtypes else [])
+    # (region, month, type[, sub-type]) aggregate, written once.
+    has_sub = sub_col is not None and bool(subtypes)
+    keys = [region, month, type_col] + ([sub_col] if has_sub else [])
     base = aggregate_events(events, keys)
-    counts = base.groupBy(region, month, type_col).agg(F.sum("n").alias("n"))
     months = month_axis(base, month)
-    grid = (base.where(F.col(region).isNotNull()).select(region).distinct()
-            .select(region, F.explode(months).alias(month)))
-    wide = pivot_counts(counts, type_col, types, region, month)
+    # every count column of the panel from one aggregation of the base
+    aggs = [F.sum(F.when(F.col(type_col) == F.lit(v), F.col("n"))).cast("long").alias(v) for v in types]
+    if has_sub:
+        aggs += [F.sum(F.when(F.col(sub_col) == F.lit(v), F.col("n"))).cast("long").alias(v) for v in subtypes]
+    wide = base.where(F.col(region).isNotNull()).groupBy(region, month).agg(*aggs)
+    grid = wide.select(region).distinct().select(region, F.explode(months).alias(month))
+    # neighbour sums: the (region, month) counts joined to the edge table
     nb_names = [neighbour_name(v) for v in types]
     e = edges.select(F.col("region_id").alias("_r"), F.col("neighbour_id").alias("_nb")).distinct()
-    nb = (counts.where(F.col(region).isNotNull())
-          .join(e, F.col(region) == F.col("_nb"))
-          .select(F.col("_r").alias(region), month, type_col, "n"))
-    nb_wide = pivot_counts(nb, type_col, types, region, month, suffix="_neighbours")
-    j = grid.join(wide, [region, month], "left")
-    count_cols = list(types)
-    if sub_col is not None and subtypes:
-        sub_counts = base.groupBy(region, month, sub_col).agg(F.sum("n").alias("n"))
-        j = j.join(pivot_counts(sub_counts, sub_col, subtypes, region, month), [region, month], "left")
-        count_cols += list(subtypes)
-    j = j.join(nb_wide, [region, month], "left")
-    count_cols += nb_names
+    nb_wide = (wide.join(e, F.col(region) == F.col("_nb"))
+               .groupBy(F.col("_r").alias(region), month)
+               .agg(*[F.sum(c(v)).cast("long").alias(nm) for v, nm in zip(types, nb_names)]))
+    count_cols = list(types) + (list(subtypes) if has_sub else []) + nb_names
+    j = grid.join(wide, [region, month], "left").join(nb_wide, [region, month], "left")
     panel = j.select(region, month,
                      *[F.coalesce(c(x), F.lit(0).cast("long")).alias(x) for x in count_cols])
     panel = add_lags(panel, count_cols, lag, region, month)
