@@ -19,7 +19,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-RING_TYPE = "array<array<struct<x:double,y:double>>>"
 
 
 def square_rings(df: DataFrame, id_col: str, x: str, y: str, size: float = 1.0) -> DataFrame:

@@ -65,7 +65,6 @@ LIBYA_REGIONS = {
 }
 
 FUZZY_THRESHOLD = 60
-MIN_TOKEN_LEN = 4      # words longer than 3 characters
 
 
 def group_rows(groups: dict[str, list[str]], country: str) -> list[tuple[str, str, str]]:

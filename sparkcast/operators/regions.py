@@ -34,7 +34,6 @@ from ..session import materialize
 from . import fixed_values as FV
 
 TIER_EN, TIER_NAME, TIER_ALT, TIER_FUZZY, TIER_WORDS = 1, 2, 3, 4, 5
-_KIND_TIER = {"en": TIER_EN, "name": TIER_NAME, "alt": TIER_ALT}
 
 
 def region_id(country: str = "adm0_a3", name_en: str = "name_en"):

@@ -121,10 +121,7 @@ def normalize_names() -> str:
 
 
 def country_code_overrides() -> str:
-    fixes = {
-        "Hadarom": "Southern", "Hazafon": "Northern", "Hamerkaz": "Central", "Ituri": "Orientale",
-        "Province 1": "Koshi", "Vlaanderen": "Vlaams Gewest", "Menaka": "Gao",
-    }
+    from ..operators.fixed_values import ADMIN_NAME_FIXES as fixes
     fx = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixes.items())
     return f"""WITH ev AS (
   SELECT c.c_custkey, upper(substr(c.c_mktsegment, 1, 3)) || CAST(c.c_custkey AS VARCHAR) AS event_id_cnty,
