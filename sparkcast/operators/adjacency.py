@@ -168,7 +168,8 @@ def merge_groups(regions: DataFrame, groups: DataFrame, country_col: str = "coun
 
 
 def prepare_boundaries(boundaries: DataFrame, second_set: DataFrame,
-                       replaced: Sequence[str] | None = None) -> DataFrame:
+                       replaced: Sequence[str] | None = None, country_col: str = "country",
+                       name_col: str = "name_en") -> DataFrame:
     """U3 + U4 + U2 as in the original preparation order: append the merged
     French regions (departments kept), replace Libyan districts by their three
     groups, then swap the listed countries for the second boundary set
@@ -178,6 +179,7 @@ def prepare_boundaries(boundaries: DataFrame, second_set: DataFrame,
     schema = "country string, child_name string, parent_name string"
     fr = spark.createDataFrame(FV.group_rows(FV.FRANCE_REGIONS, "FRA"), schema)
     ly = spark.createDataFrame(FV.group_rows(FV.LIBYA_REGIONS, "LBY"), schema)
-    b = merge_groups(boundaries, fr, keep_children=True)
-    b = merge_groups(b, ly, keep_children=False)
-    return replace_regions(b, second_set, list(replaced if replaced is not None else FV.REPLACED_COUNTRIES))
+    b = merge_groups(boundaries, fr, country_col, name_col, keep_children=True)
+    b = merge_groups(b, ly, country_col, name_col, keep_children=False)
+    return replace_regions(b, second_set, list(replaced if replaced is not None else FV.REPLACED_COUNTRIES),
+                           country_col)

@@ -64,6 +64,26 @@ LIBYA_REGIONS = {
     "South": ["Ghadames", "Ghat", "Murzuq", "Wadi al Hayaa", "Sabha", "Ash Shati", "Jufra", "Kufra"],
 }
 
+# --- Fixed values: model settings (event types, named sub-events, predictors
+# in model order, targets) --------------------------------------------------
+EVENT_TYPES = ["Battles", "Explosions/Remote violence", "Protests", "Riots",
+               "Strategic developments", "Violence against civilians"]
+SUB_EVENT_TYPES = ["Excessive force against protesters", "Agreement"]
+PREDICTORS = [
+    "Battles (t-1)", "Explosions/Remote violence (t-1)", "Protests (t-1)", "Riots (t-1)",
+    "Strategic developments (t-1)", "Violence against civilians (t-1)",
+    "Excessive force against protesters (t-1)", "Agreement (t-1)",
+    "Explosions/Remote violence_neighbours (t-1)", "Strategic developments_neighbours (t-1)",
+    "Protests_neighbours (t-1)", "Violence against civilians_neighbours (t-1)",
+    "Battles_neighbours (t-1)", "Riots_neighbours (t-1)",
+    "linear_month_trend", "year",
+    "month_2", "month_3", "month_4", "month_5", "month_6", "month_7", "month_8", "month_9",
+    "month_10", "month_11", "month_12", "quarter_2", "quarter_3", "quarter_4",
+    "importance_weight",
+]
+TARGETS = ["Battles", "Explosions/Remote violence", "Violence against civilians"]
+START_YEAR = 2018
+
 FUZZY_THRESHOLD = 60
 
 

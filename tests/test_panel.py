@@ -96,3 +96,34 @@ def test_q10_short_regions_skipped(spark):
     pred, imp = forecast.fit_pooled(df, ["y (t-1)", "importance_weight"], ["y"], n=6, num_trees=5, max_depth=3)
     assert {r.region_id for r in pred.collect()} == {"A"}
     assert [r.region_id for r in forecast.short_regions(df).collect()] == ["B"]
+
+
+def test_m7_end_to_end(spark, tmp_dir):
+    import os
+    from sparkcast.operators.adjacency import square_rings
+    from sparkcast.operators.model_table import build_model_table
+    from sparkcast.operators import fixed_values as FV
+    from sparkcast.sources import readers
+    csv = os.path.join(tmp_dir, "ev.csv")
+    lines = ["year,event_date,event_id_cnty,country,admin1,event_type,sub_event_type"]
+    for m, mon in enumerate(["January", "February", "March", "April", "May", "June", "July", "August"]):
+        lines.append(f"2019,0{1 + m % 9} {mon} 2019,AAA{m},Aland,Nörth,Battles,Agreement")
+        lines.append(f"2019,1{m % 9} {mon} 2019,AAA{m}b,Aland,South Province,Protests,Armed clash")
+    lines.append("2017,1 May 2017,AAA99,Aland,North,Riots,Mob violence")      # before the start year
+    lines.append("2019,1 May 2019,AAA98,Aland,Nowhere Land,Riots,Mob violence")  # unmatched
+    open(csv, "w").write("\n".join(lines) + "\n")
+    ev = readers.read_events(spark, csv)
+    cells = spark.createDataFrame([("North", 0, 0, 0), ("South", 1, 0, 1), ("Island", 5, 5, 2)],
+                                  "name_en string, x int, y int, pos long")
+    rings = square_rings(cells, "name_en", "x", "y").withColumnRenamed("region_id", "name_en")
+    b = (cells.join(rings, "name_en")
+         .select(F.lit("AAA").alias("adm0_a3"), "name_en", F.lit(None).cast("string").alias("name"),
+                 F.lit(None).cast("string").alias("name_alt"), "rings", "pos"))
+    mt = build_model_table(ev, b)
+    assert mt.columns[:2] == ["region_id", "month"]
+    assert mt.columns[2:2 + len(FV.PREDICTORS)] == FV.PREDICTORS
+    rows = mt.collect()
+    assert {r.region_id for r in rows} == {"AAA - North", "AAA - South"}
+    assert len(rows) == 2 * 8
+    north_feb = [r for r in rows if r.region_id == "AAA - North" and r.month.month == 2][0]
+    assert north_feb["Battles (t-1)"] == 1 and north_feb["Protests_neighbours (t-1)"] == 1
