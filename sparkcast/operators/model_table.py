@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import fixed_values as FV
 from .adjacency import edges_from_rings, prepare_boundaries
 from .panel import build_panel, model_table
+from ..session import materialize
 from .regions import attach_regions, match_regions, prepare_event_keys, region_id
 
 
@@ -40,10 +41,15 @@ def build_model_table(events: DataFrame, boundaries: DataFrame, second_set: Data
     b = boundaries
     if second_set is not None:
         b = prepare_boundaries(boundaries, second_set, country_col="adm0_a3")
-    ev = (matched_events(events, b)
-          .select(F.col("matched_admin1_id").alias("region_id"), "month", "event_type", "sub_event_type"))
+    # one pass over the raw events: everything below needs only these
+    # columns, so the rows collapse to distinct combinations with a count
+    pre = materialize(events.groupBy(
+        F.substring("event_id_cnty", 1, 3).alias("event_id_cnty"), "country", "admin1", "month",
+        "event_type", "sub_event_type").agg(F.count(F.lit(1)).alias("events")))
+    ev = (matched_events(pre, b)
+          .select(F.col("matched_admin1_id").alias("region_id"), "month", "event_type", "sub_event_type", "events"))
     edges = edges_from_rings(b.select(region_id().alias("region_id"), "rings").where(F.col("region_id").isNotNull()),
                              cell=cell)
     panel = build_panel(ev, edges, "event_type", types, "sub_event_type", subtypes,
-                        lag=lag, decay=decay, base_year=base_year)
+                        lag=lag, decay=decay, base_year=base_year, weight="events")
     return model_table(panel, predictors, targets)

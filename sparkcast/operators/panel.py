@@ -48,7 +48,8 @@ def event_counts(events: DataFrame, type_col: str, region: str = REGION,
     return events.groupBy(region, month, type_col).agg(F.count(F.lit(1)).alias("n"))
 
 
-def aggregate_events(events: DataFrame, keys: Sequence[str], materialize: bool = True) -> DataFrame:
+def aggregate_events(events: DataFrame, keys: Sequence[str], materialize: bool = True,
+                     weight: str | None = None) -> DataFrame:
     """One pass over the raw events: counts per ``keys`` (partial aggregation
     before the shuffle). Every panel table derives from this small result.
 
@@ -57,7 +58,8 @@ def aggregate_events(events: DataFrame, keys: Sequence[str], materialize: bool =
     (month axis, grid, pivots, neighbour sums) read it, and a lost executor
     later does not send the job back to the raw events.
     """
-    base = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    n = F.sum(weight).cast("long") if weight else F.count(F.lit(1))
+    base = events.groupBy(*keys).agg(n.alias("n"))
     if materialize:
         from ..session import materialize as write_and_read
         base = write_and_read(base)
@@ -192,19 +194,20 @@ def add_weights(df: DataFrame, decay: float = 0.05, month: str = MONTH,
 def build_panel(events: DataFrame, edges: DataFrame, type_col: str, types: Sequence[str],
                 sub_col: str | None = None, subtypes: Sequence[str] = (),
                 lag: int = 1, decay: float = 0.05, base_year: int = 2018,
-                region: str = REGION, month: str = MONTH) -> DataFrame:
+                region: str = REGION, month: str = MONTH, weight: str | None = None) -> DataFrame:
     """M7 ``prepare_data_pipeline`` after matching: event counts || sub-event
     counts, left join neighbour sums (J12), lags of every count column (W1),
     trend features (F21) and recency weights (W2) in one lazy plan.
 
     ``events`` needs ``region_id`` (null = unmatched), ``month`` (first of
-    month) and the two type columns.
+    month) and the two type columns; ``weight`` names a column holding how
+    many events a row stands for (pre-aggregated input), else rows count 1.
     """
     # One pass over the events: every later table derives from this small
     # (region, month, type[, sub-type]) aggregate, written once.
     has_sub = sub_col is not None and bool(subtypes)
     keys = [region, month, type_col] + ([sub_col] if has_sub else [])
-    base = aggregate_events(events, keys)
+    base = aggregate_events(events, keys, weight=weight)
     months = month_axis(base, month)
     # every count column of the panel from one aggregation of the base
     aggs = [F.sum(F.when(F.col(type_col) == F.lit(v), F.col("n"))).cast("long").alias(v) for v in types]
