@@ -112,8 +112,11 @@ def fit_pooled(panel: DataFrame, predictors: Sequence[str], targets: Sequence[st
 
     # one forest per target; the fits are independent Spark jobs, so they
     # are submitted concurrently and share the cluster
-    with ThreadPoolExecutor(max_workers=max(1, len(targets))) as pool:
-        models = list(pool.map(fit_one, targets))
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, len(targets))) as pool:
+            models = list(pool.map(fit_one, targets))
+    finally:
+        train.unpersist()
     preds, imps = [], []
     for t, model in zip(targets, models):
         p = model.transform(test).select(region, month, F.lit(t).alias("target"), "step",
