@@ -165,4 +165,5 @@ def matrix_wide(cells: DataFrame) -> DataFrame:
     """K4 shape: one row per (metric, country), one column per month label in
     month order. The label list is the bounded month range (collected once)."""
     labels = [r[0] for r in cells.select("month_label", "month").distinct().orderBy("month").collect()]
-    return cells.groupBy("metric", "country").pivot("month_label", labels).agg(F.max("present"))
+    return (cells.groupBy("metric", "country").pivot("month_label", labels).agg(F.max("present"))
+            .orderBy("metric", "country"))

@@ -110,6 +110,12 @@ def check_values(counts: DataFrame, type_col: str, values: Sequence[str]) -> Non
         raise KeyError(f"values not in the data: {missing}")
 
 
+def present_values(counts: DataFrame, col: str) -> list[str]:
+    """Sorted distinct values of ``col`` in an aggregated table (a bounded
+    vocabulary such as event types)."""
+    return [r[0] for r in counts.where(F.col(col).isNotNull()).select(col).distinct().orderBy(col).collect()]
+
+
 def monthly_counts(events: DataFrame, type_col: str, values: Sequence[str],
                    region: str = REGION, month: str = MONTH,
                    strict: bool = False) -> DataFrame:
@@ -118,6 +124,8 @@ def monthly_counts(events: DataFrame, type_col: str, values: Sequence[str],
     Dense (region, month) panel with one zero-filled count column per value.
     """
     counts = aggregate_events(events, [region, month, type_col])
+    if not values:                       # P5: an empty list means every value
+        values = present_values(counts, type_col)
     if strict:
         check_values(counts, type_col, values)
     grid = region_month_grid(counts, region, month)
@@ -205,9 +213,11 @@ def build_panel(events: DataFrame, edges: DataFrame, type_col: str, types: Seque
     """
     # One pass over the events: every later table derives from this small
     # (region, month, type[, sub-type]) aggregate, written once.
-    has_sub = sub_col is not None and bool(subtypes)
+    has_sub = sub_col is not None
     keys = [region, month, type_col] + ([sub_col] if has_sub else [])
     base = aggregate_events(events, keys, weight=weight)
+    if has_sub and not subtypes:         # P5: an empty list means every sub-type
+        subtypes = present_values(base, sub_col)
     months = month_axis(base, month)
     # every count column of the panel from one aggregation of the base
     aggs = [F.sum(F.when(F.col(type_col) == F.lit(v), F.col("n"))).cast("long").alias(v) for v in types]

@@ -127,3 +127,8 @@ def test_m7_end_to_end(spark, tmp_dir):
     assert len(rows) == 2 * 8
     north_feb = [r for r in rows if r.region_id == "AAA - North" and r.month.month == 2][0]
     assert north_feb["Battles (t-1)"] == 1 and north_feb["Protests_neighbours (t-1)"] == 1
+
+
+def test_p5_empty_list_means_all(spark):
+    p = panel.monthly_counts(_events(spark), "event_type", [])
+    assert [c for c in p.columns if c not in ("region_id", "month")] == ["x", "y", "z"]
