@@ -172,7 +172,12 @@ FROM cn CROSS JOIN mt CROSS JOIN rng
 LEFT JOIN h ON h.metric = mt.metric AND h.country = cn.country AND h.month = rng.month"""
 
 
+def url_stream_dedupe() -> str:
+    return "SELECT DISTINCT md5(text) AS url_md5, n_chars FROM documents"
+
+
 SQL = {
+    "url_stream_dedupe": url_stream_dedupe,
     "region_edges": region_edges,
     "dissolved_edges": dissolved_edges,
     "region_replace": region_replace,
