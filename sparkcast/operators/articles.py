@@ -40,11 +40,14 @@ def search_grid(templates: DataFrame, countries: DataFrame, metrics: DataFrame,
     m_arr = _axis(metrics, "metric", [F.col("m_ord")], "m")
     y_arr = _axis(years, "year", [F.col("y_ord")], "y")
     spark = templates.sparkSession
-    g = (spark.range(1).select(F.posexplode(t_arr).alias("ti", "t"))
-         .select("*", F.posexplode(c_arr).alias("ci", "c"))
-         .select("*", F.posexplode(m_arr).alias("mi", "m"))
-         .select("*", F.posexplode(y_arr).alias("yi", "y")))
-    seq = (((F.col("ti") * F.size(c_arr) + F.col("ci")) * F.size(m_arr) + F.col("mi")) * F.size(y_arr)
+    # each axis subquery is evaluated once, as a column
+    axes = spark.range(1).select(t_arr.alias("t_axis"), c_arr.alias("c_axis"), m_arr.alias("m_axis"),
+                                 y_arr.alias("y_axis"))
+    g = (axes.select("*", F.posexplode("t_axis").alias("ti", "t"))
+         .select("*", F.posexplode("c_axis").alias("ci", "c"))
+         .select("*", F.posexplode("m_axis").alias("mi", "m"))
+         .select("*", F.posexplode("y_axis").alias("yi", "y")))
+    seq = (((F.col("ti") * F.size("c_axis") + F.col("ci")) * F.size("m_axis") + F.col("mi")) * F.size("y_axis")
            + F.col("yi"))
     search = fill_placeholders(F.col("t.v"), {"country": F.col("c.v"), "metric": F.col("m.v"),
                                               "year": F.col("y.v").cast("string")})

@@ -75,14 +75,19 @@ def wide_table(long: DataFrame, indicators: dict[str, str], years: Sequence[int]
 
 def summary(long: DataFrame) -> DataFrame:
     """A9/A10 per indicator: distinct countries, first and last year, rows,
-    and the mean value in the indicator's latest year. Two partial
-    aggregations; no window over a whole indicator."""
-    per_year = (long.groupBy("indicator_code", "year")
-                .agg(F.avg("value").alias("ymean"), F.count(F.lit(1)).alias("n")))
+    and the mean value in the indicator's latest year. One pass over the
+    long table, then small aggregations; no window over a whole indicator."""
+    # one pass over the long table; both results come from this aggregate
+    g = long.groupBy("indicator_code", "year", "countryiso3code").agg(
+        F.sum("value").alias("s"), F.count("value").alias("cv"), F.count(F.lit(1)).alias("n"))
+    from ..session import materialize
+    g = materialize(g)
+    per_year = (g.groupBy("indicator_code", "year")
+                .agg((F.sum("s") / F.sum("cv")).alias("ymean"), F.sum("n").alias("n")))
     s = (per_year.groupBy("indicator_code")
          .agg(F.min("year").alias("year_min"), F.max("year").alias("year_max"),
               F.sum("n").alias("records"), F.max_by("ymean", "year").alias("latest_mean")))
-    cn = (long.where(F.col("countryiso3code").isNotNull())
+    cn = (g.where(F.col("countryiso3code").isNotNull())
           .select("indicator_code", "countryiso3code").distinct()
           .groupBy("indicator_code").agg(F.count(F.lit(1)).alias("countries")))
     return s.join(cn, "indicator_code", "left").select(

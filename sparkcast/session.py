@@ -82,3 +82,16 @@ def spread(df):
     as they are, so no shuffle is added there."""
     target = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
+# Row bound for broadcasting a small look-up side built from the data
+# (distinct names, distinct keys): checked on the materialised table.
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def broadcast_if_small(df, max_rows: int = BROADCAST_MAX_ROWS):
+    """Broadcast ``df`` only when a count proves it small; otherwise leave the
+    join to a shuffle (sort-merge) join. Use on materialised tables, where the
+    count is a cheap job."""
+    from pyspark.sql import functions as F
+    return F.broadcast(df) if df.count() <= max_rows else df
