@@ -115,3 +115,30 @@ def test_occurrence_report(spark):
     cl = spark.createDataFrame([("Kenya",)], "country string")
     r = PG.occurrence_report(rows, cl).first()
     assert (r.unparsed_dates, r.rows_outside) == (2, 1)
+
+
+def test_t3_best_text_and_u5(spark):
+    df = spark.createDataFrame([("x" * 1001, "<p>" + "y" * 40 + "</p>"), ("short", "<p>" + "z" * 40 + "</p>")],
+                               "extracted string, html string")
+    got = [r.t for r in df.select(PG.best_text(F.col("extracted"), F.col("html")).alias("t")).collect()]
+    assert got == ["x" * 1001, "z" * 40]
+    visited = spark.createDataFrame([("u1",)], "url string")
+    new = spark.createDataFrame([("u2", 1), ("u1", 2)], "url string, q int")
+    assert sorted(r.url for r in AR.visited_after(visited, new).collect()) == ["u1", "u2"]
+
+
+def test_f3_f17_helpers(spark):
+    from sparkcast.functions.text import file_label, fill_placeholders
+    df = spark.createDataFrame([("[metric] in [country] in [year]", "Kenya", "coup", "2024", "a/b c:d")],
+                               "t string, c string, m string, y string, name string")
+    r = df.select(fill_placeholders(F.col("t"), {"country": F.col("c"), "metric": F.col("m"),
+                                                  "year": F.col("y")}).alias("s"),
+                  file_label("name").alias("f")).first()
+    assert (r.s, r.f) == ("coup in Kenya in 2024", "a_b_c_d")
+
+
+def test_month_of_event_dates(spark):
+    from sparkcast.operators.panel import month_of
+    df = spark.createDataFrame([("03 July 2025",), ("3 July 2025",), ("bad",)], "d string")
+    got = [r.m for r in df.select(month_of("d", "d MMMM yyyy").alias("m")).collect()]
+    assert [g.isoformat() if g else None for g in got] == ["2025-07-01", "2025-07-01", None]
