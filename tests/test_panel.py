@@ -132,3 +132,16 @@ def test_m7_end_to_end(spark, tmp_dir):
 def test_p5_empty_list_means_all(spark):
     p = panel.monthly_counts(_events(spark), "event_type", [])
     assert [c for c in p.columns if c not in ("region_id", "month")] == ["x", "y", "z"]
+
+
+def test_m5_one_region_forecast(spark):
+    import pytest
+    rows = [("A", dt.date(2020, k, 1), float(k % 3), float((k - 1) % 3), 1.0) for k in range(1, 13)]
+    df = spark.createDataFrame(rows, "region_id string, month date, y double, `y (t-1)` double, importance_weight double")
+    pred, metrics, imp = forecast.forecast(df, "A", "y", ["y (t-1)", "importance_weight"])
+    assert sorted(r.step for r in pred.collect()) == [1, 2, 3, 4, 5, 6]
+    m = metrics.first()
+    assert m.n_test == 6 and m.mae >= 0
+    assert abs(sum(r.importance for r in imp.collect()) - 1.0) < 1e-6
+    with pytest.raises(KeyError):
+        forecast.forecast(df, "nowhere", "y", ["y (t-1)"])
