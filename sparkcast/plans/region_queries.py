@@ -29,7 +29,9 @@ def part_boundaries(spark, sf_dir) -> DataFrame:
 
 
 def raw_event_names(spark, sf_dir) -> DataFrame:
-    li = S.table(spark, sf_dir, "lineitem").select("l_partkey", "l_linenumber")
+    # the spelling depends only on (part, line number): collapse the lines to
+    # those pairs before the join (partial aggregation on two integers)
+    li = S.table(spark, sf_dir, "lineitem").select("l_partkey", "l_linenumber").distinct()
     p = S.table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", "p_type")
     w = F.split("p_name", " ")
     n = F.col("l_linenumber")
