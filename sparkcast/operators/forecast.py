@@ -99,13 +99,14 @@ def fit_pooled(panel: DataFrame, predictors: Sequence[str], targets: Sequence[st
     # Q10: a region needs more than n rows for a holdout; others are skipped
     # (see ``short_regions``)
     enough = panel.groupBy(region).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > n)
-    h = split_holdout(panel.join(enough.select(region), region, "left_semi"), n, region, month)
-    asm = _assembler(predictors)
-    # the training table is small (regions x months); write it once and cut
-    # its lineage, then cache it for the many passes of the tree growth
+    # the split panel is small (regions x months): write it once and cut its
+    # lineage; train and test both read it, train is cached for the many
+    # passes of the tree growth
     from ..session import materialize
-    train = asm.transform(materialize(_train_rows(h, predictors))).cache()
-    test = asm.transform(materialize(h.where(F.col("split") == "test")))
+    h = materialize(split_holdout(panel.join(enough.select(region), region, "left_semi"), n, region, month))
+    asm = _assembler(predictors)
+    train = asm.transform(_train_rows(h, predictors)).cache()
+    test = asm.transform(h.where(F.col("split") == "test"))
 
     def fit_one(t):
         return _forest(t, num_trees, max_depth, seed, weight).fit(train)
