@@ -101,8 +101,11 @@ def exact_matches(keys: DataFrame, maps: DataFrame) -> DataFrame:
 
 # A pair can only reach a rounded score of 60 when the shorter processed
 # string has at least 59.5 / 140.5 of the longer one's length.
+# Buckets are log-length bands a hair wider than that ratio, so two lengths
+# at exactly the limit (e.g. 119 and 281) are never pushed two buckets apart
+# by rounding; pairs from neighbouring buckets are then filtered exactly.
 _MIN_LEN_RATIO = 59.5 / 140.5
-_BUCKET_BASE = math.log(1.0 / _MIN_LEN_RATIO)
+_BUCKET_BASE = math.log(1.0 / _MIN_LEN_RATIO) * (1 + 1e-9)
 
 
 def _len_bucket(length):
