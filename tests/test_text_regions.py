@@ -96,3 +96,14 @@ def test_event_overrides(spark):
     assert got["FRA3"] == ("FRA", "Mayotte")
     assert got["USA4"] == ("PRI", "Puerto Rico")
     assert got["ISR5"] == ("ISR", "Southern")
+
+
+def test_length_buckets_never_split_admissible_pairs():
+    """Every length pair that can still score 60 lies in the same or a
+    neighbouring bucket (so the blocked join misses no candidate)."""
+    import math
+    base = R._BUCKET_BASE
+    for a in range(1, 400):
+        for b in range(a, 1000):
+            if 200 * a >= 59.5 * (a + b):
+                assert abs(math.floor(math.log(a) / base) - math.floor(math.log(b) / base)) <= 1
