@@ -142,3 +142,15 @@ def test_month_of_event_dates(spark):
     df = spark.createDataFrame([("03 July 2025",), ("3 July 2025",), ("bad",)], "d string")
     got = [r.m for r in df.select(month_of("d", "d MMMM yyyy").alias("m")).collect()]
     assert [g.isoformat() if g else None for g in got] == ["2025-07-01", "2025-07-01", None]
+
+
+def test_stream_dedupe_within_watermark(spark, tmp_dir):
+    import datetime as dt
+    from sparkcast.streaming.dedupe import dedupe_stream
+    src = os.path.join(tmp_dir, "landing_ts")
+    t0 = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([("u1", t0), ("u1", t0 + dt.timedelta(hours=1)), ("u2", t0)],
+                               "url string, published timestamp")
+    df.write.parquet(src)
+    out = dedupe_stream(spark, src, df.schema, url="url", event_time="published", delay="1 day")
+    assert sorted(r.url for r in spark.read.parquet(out).collect()) == ["u1", "u2"]
