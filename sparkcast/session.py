@@ -44,13 +44,16 @@ def get_spark(master: str | None = None, app: str = "sparkcast",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    Uses ``spark.checkpoint.dir`` when the cluster sets it. Only when it is
-    unset (local runs, tests) a private folder under the system temp dir is
-    created and registered, so lineage cuts still work there.
+    Uses ``spark.checkpoint.dir`` (or a checkpoint folder already set on the
+    context). Only a local-mode session (tests, the benchmark) may fall back
+    to a private temp folder; on a cluster a machine-local folder would not be
+    readable by other executors, so an unset folder is an error there.
     """
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster (e.g. on HDFS/S3)")
         d = tempfile.mkdtemp(prefix="sparkcast-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
