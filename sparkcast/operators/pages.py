@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import fill_placeholders, list_placeholder
 
-WS = r"[ \t\n\r\f\x0B]"
+WS = r"[ \t\n\r\f\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 BLOCK_RE = r"(?is)<(?:p|li)(?:\s[^>]*)?>(.*?)</(?:p|li)>"
 SCRIPT_RE = r"(?is)<script[^>]*>.*?</script>"
 STYLE_RE = r"(?is)<style[^>]*>.*?</style>"
@@ -28,7 +28,8 @@ ENTITIES = [("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"
 
 
 def strip_ws(col: Column) -> Column:
-    """Trim leading/trailing whitespace (not only spaces)."""
+    """Trim leading/trailing whitespace: the characters Python's ``str.strip``
+    removes (ASCII whitespace, information separators, Unicode spaces)."""
     return F.regexp_replace(col, f"^{WS}+|{WS}+$", "")
 
 

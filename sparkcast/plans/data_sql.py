@@ -5,7 +5,7 @@ from __future__ import annotations
 from . import data_queries as D
 from . import standins as S
 
-WS = r"[ \t\n\r\f\x0B]"
+WS = r"[ \t\n\r\f\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 def strip_ws(e: str) -> str:

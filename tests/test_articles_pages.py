@@ -154,3 +154,9 @@ def test_stream_dedupe_within_watermark(spark, tmp_dir):
     df.write.parquet(src)
     out = dedupe_stream(spark, src, df.schema, url="url", event_time="published", delay="1 day")
     assert sorted(r.url for r in spark.read.parquet(out).collect()) == ["u1", "u2"]
+
+
+def test_strip_matches_python_whitespace(spark):
+    s = "   \x1c text 　\n "
+    got = spark.createDataFrame([(s,)], "s string").select(PG.strip_ws(F.col("s")).alias("t")).first().t
+    assert got == s.strip()
