@@ -73,12 +73,14 @@ def _bit(j: Column) -> Column:
 
 
 def char_masks(col: Column | str) -> Column:
-    """map<char, bigint>: bit j set where the string has that char at j."""
+    """map<char, bigint>: bit j set where the string has that char at j.
+    Only the first 63 positions get bits (a 64-bit word); longer strings are
+    scored by :func:`lcs_dp`, which does not use the masks."""
     col = F.col(col) if isinstance(col, str) else col
     return F.map_from_entries(F.transform(
         F.array_distinct(F.split(col, "")),
         lambda ch: F.struct(ch.alias("k"), F.aggregate(
-            F.sequence(F.lit(0), F.length(col) - 1), F.lit(0).cast("long"),
+            F.sequence(F.lit(0), F.least(F.length(col) - 1, F.lit(MAX_BITS))), F.lit(0).cast("long"),
             lambda acc, j: acc.bitwiseOR(F.when(F.substring(col, j + 1, 1) == ch,
                                                 _bit(j))
                                          .otherwise(F.lit(0).cast("long")))).alias("v"))))

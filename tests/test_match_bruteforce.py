@@ -118,3 +118,27 @@ def test_cascade_matches_rules(spark, seed):
     tiers = {v[1] for v in want.values() if v}
     print("tiers", sorted(tiers), "unmatched", sum(v is None for v in want.values()))
     assert {1, 4}.issubset(tiers)   # the random data reaches the exact and fuzzy tiers
+
+
+def test_fuzzy_general_path_scores(spark):
+    """Non-ASCII strings and candidates longer than 62 characters take the
+    map / DP path inside fuzzy_matches; every score equals the rule."""
+    rnd = random.Random(5)
+    alphabet = "abcdeé ñ"
+    keys = [("C", "".join(rnd.choice(alphabet) for _ in range(rnd.randint(3, 12)))) for _ in range(15)]
+    names = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(3, 12))) for _ in range(10)]
+    names += ["ab" * 35, "a" * 64 + "bc"]          # longer than 62 characters
+    b = spark.createDataFrame([("C", n, None, None, i) for i, n in enumerate(names)],
+                              "adm0_a3 string, name_en string, name string, name_alt string, pos long")
+    pool = R.candidate_pool(R.candidate_entries(b))
+    kd = spark.createDataFrame(keys, "country string, key string").distinct()
+    got = {(r.key, r.rid): r.score for r in R.fuzzy_matches(kd, pool, all_scores=True).collect()}
+    pool_rows = {r.rid: r.cname for r in pool.collect()}
+    for (k, rid), s in got.items():
+        assert s == ratio(prep_u(k), prep_u(pool_rows[rid])), (k, pool_rows[rid])
+    assert any(len(n) > 62 for n in pool_rows.values())
+
+
+def prep_u(s):
+    # the Spark preparation keeps only [A-Za-z0-9_] as letters
+    return re.sub(r"[^A-Za-z0-9_]", " ", s).lower().strip()
