@@ -47,8 +47,9 @@ def search_grid(templates: DataFrame, countries: DataFrame, metrics: DataFrame,
          .select("*", F.posexplode("c_axis").alias("ci", "c"))
          .select("*", F.posexplode("m_axis").alias("mi", "m"))
          .select("*", F.posexplode("y_axis").alias("yi", "y")))
-    seq = (((F.col("ti") * F.size("c_axis") + F.col("ci")) * F.size("m_axis") + F.col("mi")) * F.size("y_axis")
-           + F.col("yi"))
+    # 64-bit arithmetic: the product of the axes may exceed a 32-bit int
+    seq = (((F.col("ti").cast("long") * F.size("c_axis") + F.col("ci")) * F.size("m_axis") + F.col("mi"))
+           * F.size("y_axis") + F.col("yi"))
     search = fill_placeholders(F.col("t.v"), {"country": F.col("c.v"), "metric": F.col("m.v"),
                                               "year": F.col("y.v").cast("string")})
     return g.select(seq.cast("long").alias("query_seq"), search.alias("search"),
