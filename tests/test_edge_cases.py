@@ -39,3 +39,19 @@ def test_null_page(spark):
     df = spark.createDataFrame([(1, None)], "id int, html string")
     r = df.select(PG.page_blocks("html").alias("b"), PG.page_fallback("html").alias("f")).first()
     assert r.b is None and r.f.text is None
+
+
+def test_payload_directory_with_empty_response(spark, tmp_dir):
+    import json
+    import os
+    from sparkcast.sources import readers
+    d = os.path.join(tmp_dir, "payloads")
+    os.makedirs(d)
+    with open(os.path.join(d, "empty.json"), "w") as f:
+        json.dump([{"message": [{"id": "120", "value": "Invalid value"}]}, None], f)
+    with open(os.path.join(d, "infl.json"), "w") as f:
+        json.dump([{"page": 1}, [{"indicator": {"id": "FP.CPI.TOTL.ZG", "value": "Inflation"},
+                                  "country": {"id": "KE", "value": "Kenya"}, "countryiso3code": "KEN",
+                                  "date": "2020", "value": 5.2}]], f)
+    rows = readers.read_payload_rows(spark, d)
+    assert rows.count() == 1 and rows.first().countryiso3code == "KEN"
