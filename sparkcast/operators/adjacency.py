@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 
@@ -138,6 +138,9 @@ def replace_regions(base: DataFrame, other: DataFrame, countries: Sequence[str]
         lst = list(dict.fromkeys(countries))
         kept = base.where(~F.col(country_col).isin(lst))
         new = other.where(F.col(country_col).isin(lst))
+    if "pos" in base.columns and "pos" in other.columns:
+        # appended rows come after every row of the base, in their own order
+        new = new.withColumn("pos", base.select(F.max("pos")).scalar() + 1 + F.col("pos").cast("long"))
     return kept.unionByName(new, allowMissingColumns=True)
 
 
@@ -145,7 +148,8 @@ def merge_groups(regions: DataFrame, groups: DataFrame, country_col: str = "coun
                  name_col: str = "name_en", keep_children: bool = True) -> DataFrame:
     """U3/U4 (``fix_france`` / ``fix_libya``) on the attribute table: append one
     row per parent group (country, parent name) taking the first child's other
-    attributes, and either keep (France) or drop (Libya) the children.
+    attributes (its load position becomes one after all existing rows), and
+    either keep (France) or drop (Libya) the children.
 
     ``groups`` has ``country, child_name, parent_name``; the geometry side of
     the merge is :func:`dissolve_edges`.
@@ -161,6 +165,11 @@ def merge_groups(regions: DataFrame, groups: DataFrame, country_col: str = "coun
         firsts = [F.first(F.col(x), ignorenulls=False).alias(x) for x in others]
     parents = (kids.groupBy(F.col("_cc").alias(country_col), F.col("_pn").alias(name_col))
                .agg(*firsts)).select(*regions.columns)
+    if order_col:
+        # merged rows are appended after every existing row, ordered by
+        # (country, parent name); the group table is small (one row per parent)
+        rank = F.row_number().over(Window.orderBy(country_col, name_col))
+        parents = parents.withColumn(order_col, regions.select(F.max(order_col)).scalar() + rank)
     if keep_children:
         return regions.unionByName(parents)
     rest = regions.join(g, (F.col(country_col) == F.col("_cc")) & (F.col(name_col) == F.col("_cn")), "left_anti")

@@ -44,7 +44,8 @@ def test_merge_groups(spark):
     assert drop == {("LBY", "Kufra"), ("EGY", "Cairo"), ("LBY", "South")}
     keep = A.merge_groups(regs, g, keep_children=True)
     assert keep.count() == 5
-    assert keep.where(F.col("name_en") == "South").first().pos == 1   # first child's attributes
+    south = keep.where(F.col("name_en") == "South").first()
+    assert south.pos == 5              # appended after every existing row (max pos 4)
 
 
 def test_g11_wide_first_value(spark):
@@ -91,6 +92,9 @@ def test_prepare_boundaries_order(spark):
     assert ("LBY", "South") in got and ("LBY", "Ghat") not in got                # districts replaced
     assert ("NPL", "Koshi") in got and ("NPL", "Old") not in got                 # second set swapped in
     assert ("ITA", "Lazio") in got
+    pos = {(r.country, r.name_en): r.pos for r in A.prepare_boundaries(
+        base, wb.withColumn("pos", F.lit(0).cast("long"))).collect()}
+    assert pos[("NPL", "Koshi")] > max(p for k, p in pos.items() if k != ("NPL", "Koshi"))
 
 
 def test_stage_counts(spark):
