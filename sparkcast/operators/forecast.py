@@ -106,6 +106,9 @@ def fit_pooled(panel: DataFrame, predictors: Sequence[str], targets: Sequence[st
     h = materialize(split_holdout(panel.join(enough.select(region), region, "left_semi"), n, region, month))
     asm = _assembler(predictors)
     train = asm.transform(_train_rows(h, predictors)).cache()
+    if train.limit(1).count() == 0:
+        train.unpersist()
+        raise ValueError(f"no training rows: no region has more than {n} rows with all predictors set")
     test = asm.transform(h.where(F.col("split") == "test"))
 
     def fit_one(t):

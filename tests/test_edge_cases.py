@@ -55,3 +55,12 @@ def test_payload_directory_with_empty_response(spark, tmp_dir):
                                   "date": "2020", "value": 5.2}]], f)
     rows = readers.read_payload_rows(spark, d)
     assert rows.count() == 1 and rows.first().countryiso3code == "KEN"
+
+
+def test_pooled_fit_without_training_rows(spark):
+    import pytest
+    from sparkcast.operators import forecast
+    df = spark.createDataFrame([("A", dt.date(2020, k, 1), 1.0, 0.0) for k in range(1, 5)],
+                               "region_id string, month date, y double, `y (t-1)` double")
+    with pytest.raises(ValueError):
+        forecast.fit_pooled(df, ["y (t-1)"], ["y"], n=6, num_trees=3, weight=None)
