@@ -64,3 +64,18 @@ def test_pooled_fit_without_training_rows(spark):
                                "region_id string, month date, y double, `y (t-1)` double")
     with pytest.raises(ValueError):
         forecast.fit_pooled(df, ["y (t-1)"], ["y"], n=6, num_trees=3, weight=None)
+
+
+def test_session_helpers(spark):
+    from sparkcast.session import broadcast_if_small, spread
+    par = spark.sparkContext.defaultParallelism
+    one = spark.range(100).coalesce(1)
+    assert spread(one).rdd.getNumPartitions() == par
+    many = spark.range(100).repartition(par + 3)
+    assert spread(many).rdd.getNumPartitions() == par + 3          # enough splits: untouched
+    small = spark.range(10)
+    big_side = spark.range(1000).withColumnRenamed("id", "k")
+    hinted = big_side.join(broadcast_if_small(small, max_rows=100), big_side.k == small.id)
+    plain = big_side.join(broadcast_if_small(small, max_rows=5), big_side.k == small.id)
+    assert "broadcast" in hinted._jdf.queryExecution().analyzed().toString().lower()
+    assert "broadcast" not in plain._jdf.queryExecution().analyzed().toString().lower()
