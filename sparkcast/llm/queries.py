@@ -34,3 +34,12 @@ def op9_byte_bpe(spark, sf_dir):
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
+@register
+def op10_suffix_dedup(spark, sf_dir):
+    from .repeats import remove_repeats
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, size=400, keep="none").select(
+        "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "n_removed", "n_spans",
+        F.sha2("kept", 256).alias("kept_sha256"))
