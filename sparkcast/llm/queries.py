@@ -43,3 +43,10 @@ def op10_suffix_dedup(spark, sf_dir):
     return remove_repeats(docs, size=400, keep="none").select(
         "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "n_removed", "n_spans",
         F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register
+def op4_ngram_jaccard(spark, sf_dir):
+    from .jaccard_join import near_duplicates
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs, k=5, num=80, den=100).select("doc_id", "n_shingles", "component_id")
