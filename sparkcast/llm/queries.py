@@ -50,3 +50,12 @@ def op4_ngram_jaccard(spark, sf_dir):
     from .jaccard_join import near_duplicates
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs, k=5, num=80, den=100).select("doc_id", "n_shingles", "component_id")
+
+
+@register
+def op5_language_id(spark, sf_dir):
+    from .language_id import held_out, identify, train
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = held_out("doc_id", 4, 2)
+    model = train(docs.filter(~fold))
+    return identify(docs.drop("lang"), model).select("doc_id", fold.alias("held_out"), "lang_pred", "score")
