@@ -59,3 +59,10 @@ def op5_language_id(spark, sf_dir):
     fold = held_out("doc_id", 4, 2)
     model = train(docs.filter(~fold))
     return identify(docs.drop("lang"), model).select("doc_id", fold.alias("held_out"), "lang_pred", "score")
+
+
+@register
+def op6_decontamination(spark, sf_dir):
+    from .decontaminate import find_leaks
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return find_leaks(docs, table(spark, sf_dir, "benchmark"))

@@ -88,11 +88,16 @@ def lower(buf: np.ndarray) -> np.ndarray:
     return _LOWER[buf]
 
 
-def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, text number) of the runs of bytes other than 09-0D and 20."""
+#: Bytes between words: white space, or all ASCII but letters and digits.
+WHITE = _SPACE
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def words(buf: np.ndarray, offs: np.ndarray, between: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text number) of the runs of other bytes (white space: 09-0D and 20)."""
     if not len(buf):
         return (np.empty(0, np.int64),) * 3
-    solid = ~_SPACE[buf]
+    solid = ~between[buf]
     first = np.zeros(len(buf) + 1, bool)
     first[offs[:-1]] = True
     before = np.empty(len(buf), bool)
@@ -106,10 +111,10 @@ def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return start, end, np.searchsorted(offs, start, "right") - 1
 
 
-def word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(buf: np.ndarray, offs: np.ndarray, between: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each lower-cased word, text number)."""
     low = lower(buf)
-    s, e, t = words(low, offs)
+    s, e, t = words(low, offs, between)
     return span_hash(prefix(low), s, e), t
 
 
