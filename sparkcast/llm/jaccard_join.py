@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import textbytes as tb
 from .components import components
-from .util import maybe_in, renamed, save
+from .util import maybe_flag, maybe_in, save
 
 BUCKETS = 1 << 23       # of the table of token counts
 PARTS = 64              # rows it is aggregated in
@@ -404,16 +404,21 @@ def similar_links(df_sets: DataFrame, blocks: DataFrame, num: int, den: int) ->
     return save(found.unionByName(solve(second)))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Add n_shingles and component_id: the least id reachable by links between
-    texts with ``den`` * |shared shingles| >= ``num`` * |all shingles|."""
-    made = ("n_shingles", "component_id")
-    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c in (id_col, text) or c not in made])
-    spark = df.sparkSession
+_NO_ID = (1 << 63) - 1
+
+
+def _keyed(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """With _id (null ids last) and _th, which tells rows of one id apart."""
+    return df.withColumns({"_id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)),
+                           "_th": F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))})
+
+
+def _groups(df: DataFrame, id_col: str, text: str, k: int, num: int, den: int) -> DataFrame:
+    """(_id, _th, _n, _c, _root, _m): set size, least id of the component, the
+    component's class (null for empty sets) and how many rows there are of it."""
     raw = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    ident = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1))
-    docs = df.select(ident.alias("_id"), F.xxhash64(raw).alias("_th"), raw.alias("_text"))
-    ranks = spark.sparkContext.broadcast(token_ranks(docs.select("_text"), k))
+    docs = _keyed(df, id_col, text).select("_id", "_th", raw.alias("_text"))
+    ranks = df.sparkSession.sparkContext.broadcast(token_ranks(docs.select("_text"), k))
     sets = save(docs.mapInArrow(_describe(k, num, den, ranks), "_id long, _th long, n long, key binary, deal array<long>"))
 
     blocks = _blocks(sets)
@@ -425,16 +430,41 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", k
     whole = save(texts.select("key", "_text").mapInArrow(_whole_sets(k), "key binary, tokens array<long>"))
     roots = components(similar_links(whole, blocks, num, den))
 
-    # least id of each component of classes; rows of classes without links keep their class
-    least = sets.filter("n > 0").groupBy("key").agg(F.min("_id").alias("low"), F.count("*").alias("c"))
-    least = save(least)
+    # least id of each component; only classes with copies or links have to be looked up
+    least = save(sets.filter("n > 0").groupBy("key").agg(F.min("_id").alias("low"), F.count("*").alias("c")))
     linked = least.join(roots, least.key == roots.node)
     low = linked.groupBy("root").agg(F.min("low").alias("component"))
-    of = save(linked.select("key", "root").join(low, "root").select("key", "component")
-              .unionByName(least.filter("c > 1").join(roots, least.key == roots.node, "left_anti").select("key", F.col("low").alias("component"))))
-    per_row = sets.select("_id", "_th", "n", "key").join(of, "key", "left").select("_id", "_th", "n", F.coalesce("component", "_id").alias("c"))
-    per_row = save(per_row.groupBy("_id", "_th").agg(F.first("n").alias("_n"), F.min("c").alias("_c")))
+    of = save(linked.select("key", "root").join(low, "root").select("key", "component", "root")
+              .unionByName(least.filter("c > 1").join(roots, least.key == roots.node, "left_anti")
+                           .select("key", F.col("low").alias("component"), F.col("key").alias("root"))))
+    rows = sets.select("_id", "_th", "n", "key").join(of, "key", "left")
+    return save(rows.groupBy("_id", "_th").agg(F.first("n").alias("_n"), F.min(F.coalesce("component", "_id")).alias("_c"),
+                                               F.first(F.when(F.col("n") > 0, F.coalesce("root", "key"))).alias("_root"), F.count("*").alias("_m")))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Add n_shingles and component_id: the least id reachable by links between
+    texts with ``den`` * |shared shingles| >= ``num`` * |all shingles|."""
+    made = ("n_shingles", "component_id")
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c in (id_col, text) or c not in made])
+    groups = _groups(df, id_col, text, k, num, den).select("_id", "_th", "_n", "_c")
     keep = [F.col(f"`{c}`") for c in df.columns if c not in made]
-    null = F.lit((1 << 63) - 1)
-    return (df.withColumns({"_id": ident, "_th": F.xxhash64(raw)}).join(per_row, ["_id", "_th"])
-            .select(*keep, F.col("_n").alias("n_shingles"), F.when(F.col("_c") != null, F.col("_c")).alias("component_id")))
+    return (_keyed(df, id_col, text).join(groups, ["_id", "_th"])
+            .select(*keep, F.col("_n").alias("n_shingles"), F.when(F.col("_c") != _NO_ID, F.col("_c")).alias("component_id")))
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One row of each component: the one of least id; of rows with one id the
+    one of least hash over all columns. Rows with empty sets all stay."""
+    groups = _groups(df, id_col, text, k, num, den)
+    kept = groups.filter("_id = _c")
+    gone = groups.filter("_id <> _c").select("_id", "_th")
+    several = kept.filter("_root is not null").groupBy("_root").agg(F.sum("_m").alias("m")).filter("m > 1").select("_root")
+    twice = save(kept.join(several, "_root").select("_id", "_th", "_root"))
+    keyed = maybe_flag(_keyed(df, id_col, text), F.col("_th"), gone.select("_th").unionByName(twice.select("_th")), "_th")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    rest = keyed.filter("_maybe").join(gone, ["_id", "_th"], "left_anti").join(twice, ["_id", "_th"], "left")
+    first = (rest.filter("_root is not null")
+             .withColumn("_r", F.row_number().over(Window.partitionBy("_root").orderBy("_th", F.xxhash64(*columns)))).filter("_r = 1"))
+    return (keyed.filter("not _maybe").select(*columns).unionByName(rest.filter("_root is null").select(*columns))
+            .unionByName(first.select(*columns)))

@@ -180,3 +180,16 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 def held_out(id_col: str, parts: int, part: int) -> Column:
     """Rows whose crc32 of the id as text leaves remainder ``part``; a null id is in no fold."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == part, F.lit(False))
+
+
+def keep_identified(df: DataFrame, text: str = "text", lang: str = "lang", enough: int = 200) -> DataFrame:
+    """The rows whose language is told: rows without a letter go, and rows of
+    ``enough`` bytes or more that are ambiguous all the same (shorter ones say
+    too little to be rejected). A missing language is filled in."""
+    columns = df.columns
+    found = identify(df, train(df, text, lang), text)
+    names = {c for c in ("lang_pred", "score", "ambiguous") if c in columns}
+    if names:
+        raise ValueError(f"columns {sorted(names)} would be replaced")
+    kept = found.filter((F.col("lang_pred") != UNKNOWN) & ~(F.col("ambiguous") & (F.octet_length(F.col(f"`{text}`")) >= enough)))
+    return kept.select(*[F.coalesce(F.col(f"`{c}`"), F.col("lang_pred")).alias(c) if c == lang else F.col(f"`{c}`") for c in columns])

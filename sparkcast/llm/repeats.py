@@ -283,6 +283,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", si
     return hit.unionByName(rest)
 
 
+def strip_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 400) -> DataFrame:
+    """The texts without later copies of passages (the first of each stays),
+    characters left whole; rows of which nothing but white space is left go."""
+    out = remove_repeats(df, id_col, text, size, "first", whole_characters=True)
+    rest = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col(f"`{text}`"))
+    out = out.withColumn("_rest", rest).filter("n_removed = 0 or length(trim(_rest)) > 0")
+    return out.select(*[F.col("_rest").alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
+
+
 def _by(part: str, order: str):
     from pyspark.sql import Window
     return Window.partitionBy(part).orderBy(order)
