@@ -66,3 +66,23 @@ def op6_decontamination(spark, sf_dir):
     from .decontaminate import find_leaks
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return find_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+@register
+def op1_warc(spark, sf_dir):
+    from .warc import new_folder, read_archives, write_archives
+    folder = new_folder(spark)
+    written = write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+    return read_archives(written, folder, keep_chunks=False).select(
+        F.col("id").alias("page_id"), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to", "url")
+
+
+SQL["op1_warc"] = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, url, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
+             max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes < 1000 OR page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to, url
+FROM d
+"""
