@@ -86,3 +86,26 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to, url
 FROM d
 """
+
+
+#: The rules that the URL query applies.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@register
+def op2_url_rules(spark, sf_dir):
+    from .url_rules import judge
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules, default="allow").select("page_id", "host", "path", "rule", "verdict")
+
+
+SQL["op2_url_rules"] = """
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^[\\s\\S]*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  regexp_extract(coalesce(url, ''), '^[\\s\\S]*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+m AS (SELECT page_id, host, path, h || p AS rule, v,
+             row_number() OVER (PARTITION BY page_id ORDER BY length(h) + length(p) DESC, length(h) DESC, v DESC) AS n
+      FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.v, 'allow') AS verdict
+FROM u LEFT JOIN m ON m.page_id = u.page_id AND m.n = 1
+"""
