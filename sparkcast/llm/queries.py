@@ -109,3 +109,14 @@ m AS (SELECT page_id, host, path, h || p AS rule, v,
 SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.v, 'allow') AS verdict
 FROM u LEFT JOIN m ON m.page_id = u.page_id AND m.n = 1
 """
+
+
+@register
+def op7_toxicity(spark, sf_dir):
+    from .language_id import held_out
+    from .toxicity import score, train
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = held_out("doc_id", 3, 1)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = train(docs, labels.filter(~fold))
+    return score(docs, model, threshold=0.7).select("doc_id", fold.alias("held_out"), "score", "predicted")
