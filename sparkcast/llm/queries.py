@@ -120,3 +120,10 @@ def op7_toxicity(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = train(docs, labels.filter(~fold))
     return score(docs, model, threshold=0.7).select("doc_id", fold.alias("held_out"), "score", "predicted")
+
+
+@register
+def op3_nn_descent(spark, sf_dir):
+    from .neighbours import search
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search(rows, rows.filter(F.col("vec_id") % 100 == 0), k=10)
