@@ -37,7 +37,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import textbytes as tb
 from .util import maybe_flag, maybe_in, renamed, save
 
-SEGMENT = 8 << 20       # bytes whose windows are looked at together
+SEGMENT = 1 << 20       # bytes whose windows are looked at together
+ORDERED = 2_000         # contexts whose suffixes are put in order together, or those of one anchor
 CONTEXTS = 2_000        # contexts of one anchor that are put in order in one task
 _POS = np.uint64(0xFFFFFF)
 
@@ -159,10 +160,14 @@ def _order_suffixes(size: int, keep: str):
             t = pa.Table.from_batches([b])
             t = pa.concat_tables([rest, t]) if rest is not None else t
             a = t["anchor"].to_numpy()
-            k = int(np.searchsorted(a, a[-1])) if len(a) else 0       # sorted: the last anchor begins here
-            rest = t.slice(k)
-            if k:
-                yield solve(t.slice(0, k))
+            done, last = 0, int(np.searchsorted(a, a[-1])) if len(a) else 0      # sorted: the last anchor begins here
+            while done < last:
+                k = int(np.searchsorted(a, a[min(done + ORDERED, last)]))
+                if k <= done:
+                    k = int(np.searchsorted(a, a[done], "right"))
+                yield solve(t.slice(done, k - done))
+                done = k
+            rest = t.slice(last)
         if rest is not None and len(rest):
             yield solve(rest)
     return run
