@@ -3,8 +3,8 @@
 Polygons are rings of ``struct<x double, y double>`` vertices. Two regions
 touch when they share a vertex after snapping coordinates to a grid
 (``round(x, snap)``): on topologically clean boundaries a shared border or a
-shared corner always shares vertices. T-junctions (a vertex lying on the
-other polygon's edge without a vertex there) are not detected; see README.
+shared corner always shares vertices. With a grid size, a vertex lying on the
+other polygon's edge without a vertex there (a T-junction) counts too.
 
 At scale the vertex table is one row per (region, distinct vertex); the
 self join is an equi-join on the snapped vertex, shuffled by vertex, with
@@ -47,7 +47,8 @@ def vertices(boundaries: DataFrame, id_col: str = "region_id", rings: str = "rin
 
 
 def edges_from_rings(boundaries: DataFrame, id_col: str = "region_id",
-                     rings: str = "rings", snap: int = 6, cell: float | None = None) -> DataFrame:
+                     rings: str = "rings", snap: int = 6, cell: float | None = None,
+                     overlaps: DataFrame | None = None) -> DataFrame:
     """J8 ``touches`` self join as an edge table ``(region_id, neighbour_id)``:
     symmetric, no self pairs, each pair once. Islands have no rows.
 
@@ -56,7 +57,15 @@ def edges_from_rings(boundaries: DataFrame, id_col: str = "region_id",
     edge without a vertex there (a T-junction) counts too: segments are
     bucketed into the grid cells their bounding box covers and joined to the
     vertices of the same cell, then tested exactly for point-on-segment.
+
+    ``overlaps`` (parent_id, child_id): regions known to contain others, which
+    share border vertices without touching; such pairs are no edges.
     """
+    if overlaps is not None:
+        e = edges_from_rings(boundaries, id_col, rings, snap, cell)
+        o = overlaps.select(F.col("parent_id").alias("region_id"), F.col("child_id").alias("neighbour_id"))
+        o = o.unionByName(o.select(F.col("neighbour_id").alias("region_id"), F.col("region_id").alias("neighbour_id")))
+        return e.join(o, ["region_id", "neighbour_id"], "left_anti")
     v = vertices(boundaries, id_col, rings, snap)
     a = v.select(F.col("rid").alias("region_id"), "vx", "vy")
     b = v.select(F.col("rid").alias("neighbour_id"), "vx", "vy")
@@ -129,7 +138,9 @@ def replace_regions(base: DataFrame, other: DataFrame, countries: Sequence[str]
     """U2 ``update_boundaries``: drop every region of the listed countries from
     ``base`` (even when ``other`` has none for that country) and append the
     listed countries' regions from ``other``. Columns are aligned by name;
-    columns missing on one side become null."""
+    columns missing on one side become null. With a load position ``pos`` in
+    ``base``, appended rows follow in the order of their own ``pos``, or of
+    country and name where they have none."""
     if isinstance(countries, DataFrame):
         cl = countries.select(F.col(countries.columns[0]).alias(country_col)).distinct()
         kept = base.join(cl, country_col, "left_anti")
@@ -138,57 +149,76 @@ def replace_regions(base: DataFrame, other: DataFrame, countries: Sequence[str]
         lst = list(dict.fromkeys(countries))
         kept = base.where(~F.col(country_col).isin(lst))
         new = other.where(F.col(country_col).isin(lst))
-    if "pos" in base.columns and "pos" in other.columns:
-        # appended rows come after every row of the base, in their own order
+    if "pos" in base.columns:
+        # appended rows come after every row of the base, in their own order;
+        # the replacement set is a boundary list, so one order over it is small
+        if "pos" not in new.columns:
+            names = [x for x in (country_col, "name_en") if x in new.columns]
+            new = new.withColumn("pos", F.row_number().over(Window.orderBy(*names)))
         new = new.withColumn("pos", base.select(F.max("pos")).scalar() + 1 + F.col("pos").cast("long"))
     return kept.unionByName(new, allowMissingColumns=True)
 
 
 def merge_groups(regions: DataFrame, groups: DataFrame, country_col: str = "country",
-                 name_col: str = "name_en", keep_children: bool = True) -> DataFrame:
-    """U3/U4 (``fix_france`` / ``fix_libya``) on the attribute table: append one
-    row per parent group (country, parent name) taking the first child's other
-    attributes (its load position becomes one after all existing rows), and
-    either keep (France) or drop (Libya) the children.
-
-    ``groups`` has ``country, child_name, parent_name``; the geometry side of
-    the merge is :func:`dissolve_edges`.
+                 name_col: str = "name_en", keep_children: bool = True, rings: str = "rings") -> DataFrame:
+    """U3/U4 (``fix_france`` / ``fix_libya``): append one row per parent group
+    (``groups``: country, child_name, parent_name) and either keep (France) or
+    drop (Libya) the children.
+
+    The parent has its own name only (other attributes are null), its
+    children's rings, and a load position after all existing rows. Its rings
+    keep the children's inner borders, so its neighbours are those of any
+    child; parents and kept children overlap (see :func:`parent_pairs`).
     """
-    g = groups.select(F.col(country_col).alias("_cc"), F.col("child_name").alias("_cn"),
-                      F.col("parent_name").alias("_pn"))
-    kids = regions.join(g, (F.col(country_col) == F.col("_cc")) & (F.col(name_col) == F.col("_cn")))
-    others = [x for x in regions.columns if x not in (country_col, name_col)]
+    g = groups.select(F.col("country").alias("_cc"), F.col("child_name").alias("_cn"), F.col("parent_name").alias("_pn"))
+    of = (F.col(country_col) == F.col("_cc")) & (F.col(name_col) == F.col("_cn"))
+    kids = regions.join(g, of)
+    types = dict(regions.dtypes)
     order_col = "pos" if "pos" in regions.columns else None
-    if order_col:
-        firsts = [F.min_by(F.col(x), F.col(order_col)).alias(x) for x in others]
-    else:
-        firsts = [F.first(F.col(x), ignorenulls=False).alias(x) for x in others]
+    made = []
+    for x in regions.columns:
+        if x in (country_col, name_col):
+            continue
+        if x == rings:
+            parts = F.struct(F.col(order_col) if order_col else F.col(name_col), F.col(rings).alias("r"))
+            made.append(F.flatten(F.transform(F.array_sort(F.collect_list(parts)), lambda p: p["r"])).alias(x))
+        else:
+            made.append(F.lit(None).cast(types[x]).alias(x))
     parents = (kids.groupBy(F.col("_cc").alias(country_col), F.col("_pn").alias(name_col))
-               .agg(*firsts)).select(*regions.columns)
+               .agg(*(made or [F.count(F.lit(1)).alias("_n")]))).select(*regions.columns)
     if order_col:
         # merged rows are appended after every existing row, ordered by
         # (country, parent name); the group table is small (one row per parent)
         rank = F.row_number().over(Window.orderBy(country_col, name_col))
-        parents = parents.withColumn(order_col, regions.select(F.max(order_col)).scalar() + rank)
+        parents = parents.withColumn(order_col, (regions.select(F.max(order_col)).scalar() + rank).cast(types[order_col]))
     if keep_children:
         return regions.unionByName(parents)
-    rest = regions.join(g, (F.col(country_col) == F.col("_cc")) & (F.col(name_col) == F.col("_cn")), "left_anti")
-    return rest.unionByName(parents)
+    return regions.join(g, of, "left_anti").unionByName(parents)
+
+
+def _groups(spark, rows) -> DataFrame:
+    return spark.createDataFrame(rows, "country string, child_name string, parent_name string")
+
+
+def parent_pairs(spark) -> DataFrame:
+    """(parent_id, child_id) of merged regions whose children are kept."""
+    from . import fixed_values as FV
+    g = _groups(spark, FV.group_rows(FV.FRANCE_REGIONS, "FRA"))
+    name = lambda c: F.concat("country", F.lit(" - "), c)
+    return g.select(name("parent_name").alias("parent_id"), name("child_name").alias("child_id")).distinct()
 
 
-def prepare_boundaries(boundaries: DataFrame, second_set: DataFrame,
+def prepare_boundaries(boundaries: DataFrame, second_set: DataFrame | None = None,
                        replaced: Sequence[str] | None = None, country_col: str = "country",
                        name_col: str = "name_en") -> DataFrame:
     """U3 + U4 + U2 as in the original preparation order: append the merged
     French regions (departments kept), replace Libyan districts by their three
-    groups, then swap the listed countries for the second boundary set
-    (``second_set`` with ``country, name_en`` [+ rings])."""
+    groups, then, with a second boundary set (``country, name_en`` [+ rings]),
+    swap the listed countries for it."""
     from . import fixed_values as FV
     spark = boundaries.sparkSession
-    schema = "country string, child_name string, parent_name string"
-    fr = spark.createDataFrame(FV.group_rows(FV.FRANCE_REGIONS, "FRA"), schema)
-    ly = spark.createDataFrame(FV.group_rows(FV.LIBYA_REGIONS, "LBY"), schema)
-    b = merge_groups(boundaries, fr, country_col, name_col, keep_children=True)
-    b = merge_groups(b, ly, country_col, name_col, keep_children=False)
-    return replace_regions(b, second_set, list(replaced if replaced is not None else FV.REPLACED_COUNTRIES),
-                           country_col)
+    b = merge_groups(boundaries, _groups(spark, FV.group_rows(FV.FRANCE_REGIONS, "FRA")), country_col, name_col, keep_children=True)
+    b = merge_groups(b, _groups(spark, FV.group_rows(FV.LIBYA_REGIONS, "LBY")), country_col, name_col, keep_children=False)
+    if second_set is None:
+        return b
+    return replace_regions(b, second_set, list(replaced if replaced is not None else FV.REPLACED_COUNTRIES), country_col)

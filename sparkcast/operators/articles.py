@@ -15,12 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import fill_placeholders
-
-
-def _axis(df: DataFrame, value: str, order: Sequence[Column], name: str) -> Column:
-    """A bounded config axis as one sorted array<struct<i, v>> scalar."""
-    ranked = df.select(F.struct(*[o.alias(f"o{j}") for j, o in enumerate(order)], F.col(value).alias("v")).alias("s"))
-    return ranked.select(F.array_sort(F.collect_set("s")).alias(name)).scalar()
+from ..session import materialize
 
 
 def search_grid(templates: DataFrame, countries: DataFrame, metrics: DataFrame, years: DataFrame) -> DataFrame:
@@ -29,32 +24,37 @@ def search_grid(templates: DataFrame, countries: DataFrame, metrics: DataFrame,
     ``query_seq`` in template > country > metric > year order.
 
     Inputs: ``templates(t_ord, template)``, ``countries(c_ord, country,
-    code)``, ``metrics(m_ord, metric)``, ``years(y_ord, year)``; each list is
-    a configuration axis (bounded), collected into an array by a scalar
-    subquery and exploded -- the grid is produced by generators, not joins.
+    code)``, ``metrics(m_ord, metric)``, ``years(y_ord, year)``, distinct.
+    The query numbers are a distributed range; each number's place on every
+    axis follows by arithmetic and is looked up by an equi-join with the
+    numbered axis (a written table, so Spark broadcasts it only if its size
+    allows): the grid is made in as many tasks as its size needs.
     """
-    t_arr = _axis(templates, "template", [F.col("t_ord")], "t")
-    c_arr = (countries.select(F.struct(F.col("c_ord").alias("o0"), F.col("country").alias("v"),
-                                       F.col("code").alias("code")).alias("s"))
-             .select(F.array_sort(F.collect_set("s"))).scalar())
-    m_arr = _axis(metrics, "metric", [F.col("m_ord")], "m")
-    y_arr = _axis(years, "year", [F.col("y_ord")], "y")
     spark = templates.sparkSession
-    # each axis subquery is evaluated once, as a column
-    axes = spark.range(1).select(t_arr.alias("t_axis"), c_arr.alias("c_axis"), m_arr.alias("m_axis"),
-                                 y_arr.alias("y_axis"))
-    g = (axes.select("*", F.posexplode("t_axis").alias("ti", "t"))
-         .select("*", F.posexplode("c_axis").alias("ci", "c"))
-         .select("*", F.posexplode("m_axis").alias("mi", "m"))
-         .select("*", F.posexplode("y_axis").alias("yi", "y")))
-    # 64-bit arithmetic: the product of the axes may exceed a 32-bit int
-    seq = (((F.col("ti").cast("long") * F.size("c_axis") + F.col("ci")) * F.size("m_axis") + F.col("mi"))
-           * F.size("y_axis") + F.col("yi"))
-    search = fill_placeholders(F.col("t.v"), {"country": F.col("c.v"), "metric": F.col("m.v"),
-                                              "year": F.col("y.v").cast("string")})
-    return g.select(seq.cast("long").alias("query_seq"), search.alias("search"),
-                    F.col("c.v").alias("country"), F.col("c.code").alias("country_code"),
-                    F.col("m.v").alias("metric"), F.col("y.v").cast("string").alias("year"))
+    axes = {"t": templates.select(F.col("t_ord").alias("_o"), F.col("template").alias("t_v")),
+            "c": countries.select(F.col("c_ord").alias("_o"), F.col("country").alias("c_v"), F.col("code").alias("c_code")),
+            "m": metrics.select(F.col("m_ord").alias("_o"), F.col("metric").alias("m_v")),
+            "y": years.select(F.col("y_ord").alias("_o"), F.col("year").cast("string").alias("y_v"))}
+    numbered, size = {}, {}
+    for k, df in axes.items():
+        values = [x for x in df.columns if x != "_o"]
+        # an axis is a configuration list: numbering it needs one order over it
+        rank = F.row_number().over(Window.orderBy("_o", *values)) - 1
+        numbered[k] = materialize(df.distinct().select(rank.cast("long").alias(f"{k}_i"), *values))
+        size[k] = numbered[k].count()
+    total = 1
+    for n in size.values():
+        total *= n
+    parts = min(max(1, total), max(spark.sparkContext.defaultParallelism, -(-total // 1_000_000)))
+    g, below = spark.range(0, total, 1, parts).withColumnRenamed("id", "query_seq"), 1
+    for k in ("y", "m", "c", "t"):
+        g = g.withColumn(f"{k}_i", F.expr(f"query_seq div {max(1, below)} % {max(1, size[k])}"))
+        below *= size[k]
+    for k in ("y", "m", "c", "t"):
+        g = g.join(numbered[k], f"{k}_i")
+    search = fill_placeholders(F.col("t_v"), {"country": F.col("c_v"), "metric": F.col("m_v"), "year": F.col("y_v")})
+    return g.select("query_seq", search.alias("search"), F.col("c_v").alias("country"), F.col("c_code").alias("country_code"),
+                    F.col("m_v").alias("metric"), F.col("y_v").alias("year"))
 
 
 def top_k_hits(hits: DataFrame, k: int, query: Sequence[str], hit_order: Sequence[str]) -> DataFrame:

@@ -63,11 +63,12 @@ def _assembler(predictors: Sequence[str]):
     return VectorAssembler(inputCols=list(predictors), outputCol="features", handleInvalid="error")
 
 
-def _forest(target: str, num_trees: int, max_depth: int, seed: int, weight: str | None):
+def _forest(target: str, num_trees: int, max_depth: int, seed: int, weight: str | None,
+            max_bins: int = 32, bootstrap: bool = True):
     from pyspark.ml.regression import RandomForestRegressor
     kw = dict(featuresCol="features", labelCol=target, predictionCol="predicted",
               numTrees=num_trees, maxDepth=max_depth, seed=seed,
-              featureSubsetStrategy="all", subsamplingRate=1.0, bootstrap=True,
+              featureSubsetStrategy="all", subsamplingRate=1.0, bootstrap=bootstrap, maxBins=max_bins,
               maxMemoryInMB=1024, cacheNodeIds=True)
     if weight:
         kw["weightCol"] = weight
@@ -85,14 +86,17 @@ def _train_rows(h: DataFrame, predictors: Sequence[str]) -> DataFrame:
 def fit_pooled(panel: DataFrame, predictors: Sequence[str], targets: Sequence[str],
                n: int = 6, num_trees: int = 100, max_depth: int = 10, seed: int = 42,
                weight: str | None = "importance_weight",
-               region: str = REGION, month: str = MONTH):
+               region: str = REGION, month: str = MONTH, max_bins: int = 32, bootstrap: bool = True):
     """M6: one forest per target over all regions' training rows.
 
     Returns ``(predictions, importances)``: predictions ``(region, month,
     target, step, actual, predicted)`` for every region's test months and
     importances ``(target, feature, importance)``. Spark ML's forest is not
-    bit-identical to scikit-learn's (binned splits, depth cap).
+    bit-identical to scikit-learn's (``max_bins`` split points per feature;
+    ``max_depth`` up to Spark ML's limit of 30, more is an error).
     """
+    if max_depth > 30:
+        raise ValueError(f"max_depth is {max_depth}; Spark ML grows trees to a depth of 30")
     from concurrent.futures import ThreadPoolExecutor
 
     spark = panel.sparkSession
@@ -112,7 +116,7 @@ def fit_pooled(panel: DataFrame, predictors: Sequence[str], targets: Sequence[st
     test = asm.transform(h.where(F.col("split") == "test"))
 
     def fit_one(t):
-        return _forest(t, num_trees, max_depth, seed, weight).fit(train)
+        return _forest(t, num_trees, max_depth, seed, weight, max_bins, bootstrap).fit(train)
 
     # one forest per target; the fits are independent Spark jobs, so they
     # are submitted concurrently and share the cluster
@@ -147,7 +151,7 @@ def short_regions(panel: DataFrame, n: int = 6, region: str = REGION) -> DataFra
 
 def fit_region(panel: DataFrame, region_value, target: str, predictors: Sequence[str],
                n: int = 6, num_trees: int = 100, max_depth: int = 30, seed: int = 42,
-               region: str = REGION, month: str = MONTH):
+               region: str = REGION, month: str = MONTH, max_bins: int = 32):
     """M1-M5 for one region and one target (the reference's CLI call).
 
     Raises when the region has no rows or too few for a holdout (Q10).
@@ -159,8 +163,8 @@ def fit_region(panel: DataFrame, region_value, target: str, predictors: Sequence
         raise KeyError(f"region {region_value!r} not in the panel")
     if n_rows <= n:
         raise ValueError(f"region {region_value!r} has {n_rows} rows; need more than {n}")
-    p, i = fit_pooled(one, predictors, [target], n, num_trees, min(max_depth, 30), seed,
-                      region=region, month=month)
+    p, i = fit_pooled(one, predictors, [target], n, num_trees, max_depth, seed,
+                      region=region, month=month, max_bins=max_bins)
     return p, error_metrics(p, [region, "target"]), i
 
 

@@ -17,11 +17,12 @@ LONG_COLS = ["countryiso3code", "country_name", "year", "value", "indicator_code
 
 def flatten_observations(rows: DataFrame, indicator_code: str | None = None,
                          start_year: int | None = None, end_year: int | None = None,
-                         countries: Sequence[str] | None = None) -> DataFrame:
+                         countries: Sequence[str] | None = None, seq: str | None = None) -> DataFrame:
     """Payload rows (``country{id,value}, countryiso3code,
     date, value, indicator{id,value}``) -> the long table. ``year`` from the
-    date string (bad -> null), ``value`` coerced to double (bad -> null) and
-    null values dropped."""
+    date string (bad -> null); rows without a value are dropped first, then
+    ``value`` is coerced to double (bad -> null, the row stays). ``seq``: a
+    load-order column to carry along (for the first value of a cell)."""
     code = F.lit(indicator_code) if indicator_code else F.col("indicator.id")
     out = rows.select(
         F.col("countryiso3code"),
@@ -29,13 +30,13 @@ def flatten_observations(rows: DataFrame, indicator_code: str | None = None,
         F.expr("try_cast(date AS INT)").alias("year"),
         F.col("value").alias("_v"),
         code.alias("indicator_code"),
-        F.col("indicator.value").alias("indicator_name"))
+        F.col("indicator.value").alias("indicator_name"), *([F.col(seq)] if seq else []))
     out = out.where(F.col("_v").isNotNull()).withColumn("value", F.expr("try_cast(_v AS DOUBLE)")).drop("_v")
     if start_year is not None and end_year is not None:
         out = out.where(F.col("year").between(start_year, end_year))
     if countries:
         out = out.where(F.col("countryiso3code").isin(list(countries)))
-    return out.select(*LONG_COLS)
+    return out.select(*LONG_COLS, *([seq] if seq else []))
 
 
 def country_metadata(rows: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from . import fixed_values as FV
-from .adjacency import edges_from_rings, prepare_boundaries
+from .adjacency import edges_from_rings, parent_pairs, prepare_boundaries
 from .panel import build_panel, model_table
 from ..session import materialize
 from .regions import attach_regions, match_regions, prepare_event_keys, region_id
@@ -37,10 +37,8 @@ def build_model_table(events: DataFrame, boundaries: DataFrame, second_set: Data
     """``events``: :func:`sources.readers.read_events` output; ``boundaries``:
     the S3 table (``adm0_a3, name_en, name, name_alt, rings, pos``);
     ``second_set``: replacement regions (``adm0_a3, name_en, rings``) for the
-    listed countries, or None to use ``boundaries`` as they are."""
-    b = boundaries
-    if second_set is not None:
-        b = prepare_boundaries(boundaries, second_set, country_col="adm0_a3")
+    listed countries, or None; merged regions (U3, U4) are always made."""
+    b = materialize(prepare_boundaries(boundaries, second_set, country_col="adm0_a3"))
     # one pass over the raw events: everything below needs only these
     # columns, so the rows collapse to distinct combinations with a count
     pre = materialize(events.groupBy(
@@ -49,7 +47,7 @@ def build_model_table(events: DataFrame, boundaries: DataFrame, second_set: Data
     ev = (matched_events(pre, b)
           .select(F.col("matched_admin1_id").alias("region_id"), "month", "event_type", "sub_event_type", "events"))
     edges = edges_from_rings(b.select(region_id().alias("region_id"), "rings").where(F.col("region_id").isNotNull()),
-                             cell=cell)
+                             cell=cell, overlaps=parent_pairs(b.sparkSession))
     panel = build_panel(ev, edges, "event_type", types, "sub_event_type", subtypes,
                         lag=lag, decay=decay, base_year=base_year, weight="events")
     return model_table(panel, predictors, targets)

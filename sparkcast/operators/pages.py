@@ -1,31 +1,30 @@
 """Page text, prompts, answer parsing and the occurrence matrix
 (T1-T6, F5, F6, F14, F15, F18, A14, A15, P19, P20).
 
-Stored HTML is turned into text with regular expressions inside the JVM
-(no per-row Python): script/style blocks removed first (scripts may hold a
-literal ``</p>``), then block contents extracted, tags stripped and the
-four entities seen in the pages decoded (``&amp;`` last).
+Comments, scripts and styles are removed first (they may hold a literal
+``</p>``). The p and li elements nest and close each other as a browser's
+document has them, which regular expressions can't follow: one Arrow-batched
+helper walks the tags of a page and gives the text of each element. Character
+references, named and numeric, are decoded as HTML has them.
 """
 
 from __future__ import annotations
 
+import html as _html
+import re
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import fill_placeholders, list_placeholder
 
 WS = r"[ \t\n\r\f\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-BLOCK_RE = r"(?is)<(?:p|li)(?:\s[^>]*)?>(.*?)</(?:p|li)>"
-SCRIPT_RE = r"(?is)<script[^>]*>.*?</script>"
-STYLE_RE = r"(?is)<style[^>]*>.*?</style>"
+HIDDEN_RE = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>"
 BODY_RE = r"(?is)<body(?:\s[^>]*)?>(.*)</body>"
 FIRST_P_RE = r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"
 FIRST_DIV_RE = r"(?is)<div(?:\s[^>]*)?>(.*?)</div>"
 
-# Entities present in the stored pages (decoded in this order, &amp; last).
-ENTITIES = [("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
-
 
 def strip_ws(col: Column) -> Column:
     """Trim leading/trailing whitespace: the characters Python's ``str.strip``
@@ -34,24 +33,87 @@ def strip_ws(col: Column) -> Column:
 
 
 def clean_html(html: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(html, SCRIPT_RE, ""), STYLE_RE, "")
+    return F.regexp_replace(html, HIDDEN_RE, "")
+
+
+def _decode(texts: pa.Array) -> pa.Array:
+    return pa.array([t if t is None or "&" not in t else _html.unescape(t) for t in texts.to_pylist()], pa.string())
 
 
 def html_text(fragment: Column) -> Column:
-    """Tags removed, entities decoded, trimmed."""
-    t = F.regexp_replace(fragment, "<[^>]*>", "")
-    for ent, ch in ENTITIES:
-        t = F.replace(t, F.lit(ent), F.lit(ch))
-    return strip_ws(t)
+    """Tags removed, character references decoded, trimmed."""
+    return strip_ws(F.arrow_udf(_decode, "string")(F.regexp_replace(fragment, "<[^>]*>", "")))
+
+
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)\b[^>]*>|<[^>]*>")
+# fixed values: elements whose start ends an open paragraph
+_ENDS_P = frozenset("""address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption
+    figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul
+    li""".split())
+_LISTS = frozenset(("ul", "ol", "menu", "dir"))
+
+
+def block_texts(page: str) -> list[str]:
+    """Trimmed text of every p and li of a page without comments and scripts,
+    in document order. An element's text holds that of those nested in it."""
+    out: list[list[str]] = []
+    stack: list[tuple[str, int]] = []            # open p, li and lists with their place in out
+
+    def close(names, until=()):
+        """Close the innermost of the named elements and what is open in it."""
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in names:
+                del stack[i:]
+                return
+            if stack[i][0] in until:
+                return
+
+    def text(part):
+        for _, i in stack if part else ():
+            if i >= 0:
+                out[i].append(part)
+
+    at = 0
+    for m in _TAG.finditer(page):
+        text(page[at:m.start()])
+        at = m.end()
+        name = (m[2] or "").lower()
+        if m[1]:
+            if name == "p":
+                close(("p",), ("li", *_LISTS))
+            elif name == "li":
+                close(("li",), _LISTS)
+            elif name in _LISTS:
+                close(_LISTS)
+        elif name:
+            if name in _ENDS_P:
+                close(("p",), ("li", *_LISTS))
+            if name == "li":
+                close(("li",), _LISTS)
+            if name in ("p", "li"):
+                stack.append((name, len(out)))
+                out.append([])
+            elif name in _LISTS:
+                stack.append((name, -1))
+    text(page[at:])
+    return [_html.unescape("".join(x)).strip() for x in out]
+
+
+def _blocks(min_len: int):
+    def run(pages: pa.Array) -> pa.Array:
+        out = []
+        for page in pages.to_pylist():
+            kept = [t for t in block_texts(page) if len(t) > min_len] if page else []
+            out.append("\n".join(kept) if kept else None)
+        return pa.array(out, pa.string())
+    return run
 
 
 def page_blocks(html: Column | str, min_len: int = 30) -> Column:
-    """Text of every p/li block longer than ``min_len`` characters,
-    newline-joined; null when there is none."""
+    """Text of every p/li element longer than ``min_len`` characters,
+    newline-joined; null when there is none. Nested elements count each."""
     html = F.col(html) if isinstance(html, str) else html
-    blocks = F.regexp_extract_all(clean_html(html), F.lit(BLOCK_RE), 1)
-    texts = F.filter(F.transform(blocks, html_text), lambda t: F.length(t) > min_len)
-    return F.when(F.size(texts) > 0, F.array_join(texts, "\n"))
+    return F.arrow_udf(_blocks(min_len), "string")(clean_html(html))
 
 
 def _first(html: Column, pattern: str) -> Column:
@@ -80,12 +142,12 @@ def best_text(extracted: Column, html: Column, min_len: int = 1000) -> Column:
 
 
 def prompts(articles: DataFrame, reminder: str, metrics: Column, text: str = "full_text",
-            country: str = "country", max_chars: int = 16000) -> DataFrame:
+            country: str = "country", max_chars: int | None = None) -> DataFrame:
     """T4 (+F3, F4, F15): the per-article prompt: reminder with the metric list
-    and country filled, then the page text cut to ``max_chars``."""
+    and country filled, then the page text, whole unless ``max_chars`` cuts it."""
     r = list_placeholder(F.lit(reminder), metrics)
     r = fill_placeholders(r, {"country": F.col(country)})
-    return articles.withColumn("prompt", F.concat_ws(" ", r, F.substring(F.col(text), 1, max_chars)))
+    return articles.withColumn("prompt", F.concat_ws(" ", r, F.col(text) if max_chars is None else F.substring(F.col(text), 1, max_chars)))
 
 
 def answer_rows(answers: DataFrame, text: str = "text", keys: Sequence[str] = ()) -> DataFrame:
@@ -101,15 +163,29 @@ def answer_rows(answers: DataFrame, text: str = "text", keys: Sequence[str] = ()
                     F.filter(cells, lambda x, i: i >= 2).alias("dates"))
 
 
-DATE_FORMATS = ["MM-yyyy", "MMMM-yyyy", "MMM-yyyy", "yyyy-MM", "yyyy-MM-dd", "d MMMM yyyy", "MMMM yyyy"]
+# Patterns of a date without its weekday and time of day, separators written
+# as one hyphen and month names capitalised; month before day where both fit.
+DATE_FORMATS = ["M-yyyy", "MMMM-yyyy", "MMM-yyyy", "yyyy-M", "yyyy-M-d", "d-MMMM-yyyy", "d-MMM-yyyy", "MMMM-d-yyyy", "MMM-d-yyyy",
+                "yyyy-MMMM", "yyyy-MMM", "yyyy-MMMM-d", "yyyy-MMM-d", "M-d-yyyy", "d-M-yyyy", "yyyyMMdd"]
+_TIME_RE = r"(?i)(?<=\d)[T ,]+(?:at )?\d{1,2}:\d{2}.*$"
+_WEEKDAY_RE = r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*[, ]+"
+
+
+def plain_date(s: Column) -> Column:
+    """A date string without weekday, time of day, ordinal ends and separators
+    of its own: ``Tue, 5th of Sept 2023 10:00 GMT`` -> ``5-Sep-2023``."""
+    d = F.regexp_replace(F.regexp_replace(strip_ws(s), _WEEKDAY_RE, ""), _TIME_RE, "")
+    d = F.regexp_replace(F.regexp_replace(d, r"(?i)(\d)(?:st|nd|rd|th)\b", "$1"), r"(?i)\bof\b|[-/.,\s]+", " ")
+    d = F.regexp_replace(F.initcap(F.trim(d)), r"\bSept\b", "Sep")
+    return F.regexp_replace(d, " +", "-")
 
 
 def parse_month(s: Column | str, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """first of the month of a date string in any listed format; null when
     none parses (counted by the caller; Q16: a bare year is not a month)."""
     s = F.col(s) if isinstance(s, str) else s
-    s = strip_ws(s)
-    return F.trunc(F.to_date(F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])), "month")
+    d = plain_date(s)
+    return F.trunc(F.to_date(F.coalesce(*[F.try_to_timestamp(d, F.lit(f)) for f in formats])), "month")
 
 
 def month_label(d: Column, fmt: str = "MM-yyyy") -> Column:

@@ -75,16 +75,9 @@ def persistence_eval(spark, sf_dir):
                     F.round("mape", ROUND).alias("mape"), "n_test")
 
 
-# The forest is fitted once per session and source; both model queries share it.
-_FITS: dict = {}
-
-
 def _fit(spark, sf_dir, num_trees=100, max_depth=10):
-    key = (id(spark), sf_dir, num_trees, max_depth)
-    if key not in _FITS:
-        _FITS[key] = forecast.fit_pooled(_panel(spark, sf_dir), predictors(), S.TARGETS,
-                                         S.HOLDOUT, num_trees=num_trees, max_depth=max_depth)
-    return _FITS[key]
+    return forecast.fit_pooled(_panel(spark, sf_dir), predictors(), S.TARGETS, S.HOLDOUT,
+                               num_trees=num_trees, max_depth=max_depth)
 
 
 def rf_forecast(spark, sf_dir):
@@ -95,6 +88,14 @@ def rf_importance(spark, sf_dir):
     return _fit(spark, sf_dir)[1]
 
 
+def rf_weighted_mean(spark, sf_dir):
+    """The forest of one tree without a split and without bootstrap: it
+    predicts the weighted mean of the training labels, which SQL can check."""
+    p = forecast.fit_pooled(_panel(spark, sf_dir), predictors(), S.TARGETS, S.HOLDOUT,
+                            num_trees=1, max_depth=0, bootstrap=False)[0]
+    return p.select("region_id", "month", "target", "step", "actual", F.round("predicted", 6).alias("predicted"))
+
+
 QUERIES = {
     "monthly_event_panel": monthly_event_panel,
     "monthly_subevent_panel": monthly_subevent_panel,
@@ -107,4 +108,5 @@ QUERIES = {
     "persistence_eval": persistence_eval,
     "rf_forecast": rf_forecast,
     "rf_importance": rf_importance,
+    "rf_weighted_mean": rf_weighted_mean,
 }

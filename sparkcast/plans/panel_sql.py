@@ -134,6 +134,18 @@ SELECT region_id, target, round(avg(abs(y - yh)), 9) AS mae,
 FROM lt GROUP BY region_id, target"""
 
 
+def rf_weighted_mean() -> str:
+    from .panel_queries import predictors
+    known = " AND ".join(f"{q(x)} IS NOT NULL" for x in predictors())
+    unions = "\n  UNION ALL ".join(
+        f"SELECT region_id, month, {lit(t)} AS target, CAST({S.HOLDOUT} + 1 - rn AS INTEGER) AS step, CAST({q(t)} AS DOUBLE) AS actual, "
+        f"round((SELECT sum(importance_weight * {q(t)}) / sum(importance_weight) FROM r WHERE n > {S.HOLDOUT} AND rn > {S.HOLDOUT} AND {known}), 6) AS predicted "
+        f"FROM r WHERE n > {S.HOLDOUT} AND rn <= {S.HOLDOUT}" for t in S.TARGETS)
+    return f"""WITH {_full_ctes()},
+r AS (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY month DESC) AS rn, count(*) OVER (PARTITION BY region_id) AS n FROM feat)
+{unions}"""
+
+
 SQL = {
     "monthly_event_panel": monthly_event_panel,
     "monthly_subevent_panel": monthly_subevent_panel,
@@ -144,4 +156,5 @@ SQL = {
     "model_table": model_table,
     "holdout_split": holdout_split,
     "persistence_eval": persistence_eval,
+    "rf_weighted_mean": rf_weighted_mean,
 }

@@ -6,6 +6,7 @@ engine: these readers take records already landed in storage.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, LongType, MapType, StringType,
                                StructField, StructType)
@@ -35,7 +36,7 @@ _IDV = StructType([StructField("id", StringType()), StructField("value", StringT
 OBSERVATION = StructType([
     StructField("indicator", _IDV), StructField("country", _IDV),
     StructField("countryiso3code", StringType()), StructField("date", StringType()),
-    StructField("value", DoubleType()),
+    StructField("value", StringType()),         # numbers may arrive quoted; coerced after the null filter
 ])
 COUNTRY = StructType([
     StructField("id", StringType()), StructField("name", StringType()), StructField("iso2Code", StringType()),
@@ -59,9 +60,15 @@ SEARCH_CONFIG = StructType([
 
 
 def read_events(spark: SparkSession, path: str, start_year: int | None = 2018) -> DataFrame:
-    """S1 + P1 + P2: event CSV with a header under a declared schema; rows
-    from ``start_year``; ``month`` = first day of the parsed event month."""
-    df = spark.read.schema(EVENT_SCHEMA).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    """S1 + P1 + P2: event CSV, columns found by their header names whatever
+    their order and number (a missing one is an error); values that don't fit
+    a column's type are null; rows from ``start_year``; ``month`` = first day
+    of the parsed event month."""
+    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    missing = [f.name for f in EVENT_SCHEMA if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)}")
+    df = raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in EVENT_SCHEMA])
     if start_year is not None:
         df = df.where(F.col("year") >= start_year)
     return df.withColumn("month", month_of("event_date", "d MMMM yyyy"))
@@ -72,17 +79,25 @@ def read_boundaries(spark: SparkSession, path: str, fmt: str = "parquet") -> Dat
     return spark.read.schema(BOUNDARY_SCHEMA).format(fmt).load(path)
 
 
-def read_payload_rows(spark: SparkSession, path: str, row_schema: StructType = OBSERVATION) -> DataFrame:
+def read_payload_rows(spark: SparkSession, path: str, row_schema: StructType = OBSERVATION,
+                      seq: str | None = None) -> DataFrame:
     """Files holding one JSON array ``[meta, rows]`` each -> one row per
     element of ``rows``. (A multi-line JSON read fails on this mixed array,
-    so each file is read whole and its second element parsed.)"""
-    raw = spark.read.text(path, wholetext=True)
+    so each file is read whole and its second element parsed.) ``seq`` names a
+    column with the load order: (file name, place in the file)."""
+    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_file"))
     rows = F.from_json(F.get_json_object("value", "$[1]"), ArrayType(row_schema))
-    return raw.select(F.inline(rows))
+    each = raw.select("_file", F.posexplode(rows).alias("_i", "_row")).where(F.col("_row").isNotNull())
+    out = [F.col("_row.*")]
+    if seq:
+        out.append(F.struct(F.col("_file").alias("file"), F.col("_i").alias("place")).alias(seq))
+    return each.select(*out)
 
 
-def read_articles(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """S5 (and S7 for landed search records): article JSON under its schema."""
+def read_articles(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """S5 (and S7 for landed search records): article JSON under its schema,
+    one record a line (as K3 writes it); ``multiline`` for files that hold one
+    JSON array or record each."""
     return spark.read.schema(ARTICLE_SCHEMA).option("multiLine", multiline).json(path)
 
 
@@ -110,7 +125,9 @@ def load_or_build(spark: SparkSession, path: str, build, refresh: bool = False)
     if not refresh:
         try:
             return spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 - absent table
-            pass
+        except AnalysisException as e:
+            # only a table that isn't there is built; any other fault is shown
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
     build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

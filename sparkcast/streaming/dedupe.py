@@ -46,29 +46,40 @@ def dedupe_stream(spark: SparkSession, source: str, schema: StructType, url: str
 
 def first_seen_batches(spark: SparkSession, source: str, schema: StructType, order: list[str],
                        url: str = "url", visited_path: str | None = None,
-                       checkpoint: str | None = None, fmt: str = "parquet") -> str:
+                       checkpoint: str | None = None, fmt: str = "parquet",
+                       max_files_per_trigger: int | None = None) -> str:
     """U5/W4 per micro-batch: keep each batch's first hit per URL not in the
-    visited table, append the kept rows to the visited table (idempotent per
-    batch id). Returns the visited table path."""
+    visited table, append the kept rows to the visited table. Returns the
+    visited table path.
+
+    The table is partitioned by (run, batch): the run is the stream's query
+    id, which its checkpoint keeps, so a retried batch replaces exactly what
+    it wrote and a stream with a new checkpoint never touches older rows."""
     from ..operators.articles import first_seen
 
-    run = uuid.uuid4().hex[:12]
-    visited_path = visited_path or scratch_path(spark, f"first_seen/{run}/visited")
-    checkpoint = checkpoint or scratch_path(spark, f"first_seen/{run}/ckpt")
+    name = uuid.uuid4().hex[:12]
+    visited_path = visited_path or scratch_path(spark, f"first_seen/{name}/visited")
+    checkpoint = checkpoint or scratch_path(spark, f"first_seen/{name}/ckpt")
 
     def batch(df: DataFrame, batch_id: int) -> None:
         sess = df.sparkSession
+        run = sess.sparkContext.getLocalProperty("sql.streaming.queryId")
         seen = None
         try:
-            seen = sess.read.parquet(visited_path).where(F.col("_batch") < batch_id).select(url)
-        except AnalysisException:  # first batch: no table yet
-            pass
+            seen = (sess.read.parquet(visited_path)
+                    .where((F.col("_run") != run) | (F.col("_batch") != batch_id)).select(url))
+        except AnalysisException as e:      # first batch: no table yet
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
         kept = first_seen(df, order, url, visited=seen)
         # a retried batch overwrites only its own partition (idempotent)
-        (kept.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(visited_path))
+        (kept.withColumns({"_run": F.lit(run), "_batch": F.lit(batch_id)}).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("_run", "_batch").parquet(visited_path))
 
-    q = (spark.readStream.schema(schema).format(fmt).load(source).writeStream
+    r = spark.readStream.schema(schema).format(fmt)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    q = (r.load(source).writeStream
          .foreachBatch(batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()

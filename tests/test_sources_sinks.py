@@ -58,7 +58,7 @@ def test_s5_k3_k5_articles(spark, tmp_dir):
     path = os.path.join(tmp_dir, "articles.json")
     with open(path, "w", encoding="utf-8") as f:
         json.dump(arts, f, ensure_ascii=False)
-    df = readers.read_articles(spark, path)
+    df = readers.read_articles(spark, path, multiline=True)
     assert df.count() == 2
     flat = AR.flatten_record(df)
     assert set(flat.columns) == {"title", "description", "published date", "url", "publisher"}
