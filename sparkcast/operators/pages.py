@@ -51,13 +51,15 @@ _ENDS_P = frozenset("""address article aside blockquote center details dialog di
     figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul
     li""".split())
 _LISTS = frozenset(("ul", "ol", "menu", "dir"))
+# fixed values: further elements whose end ends what is open in them
+_HOLDERS = (_ENDS_P | frozenset("body html table thead tbody tr td th button object".split())) - {"hr", "p", "li"} - _LISTS
 
 
 def block_texts(page: str) -> list[str]:
     """Trimmed text of every p and li of a page without comments and scripts,
     in document order. An element's text holds that of those nested in it."""
     out: list[list[str]] = []
-    stack: list[tuple[str, int]] = []            # open p, li and lists with their place in out
+    stack: list[tuple[str, int]] = []            # open elements, p and li with their place in out
 
     def close(names, until=()):
         """Close the innermost of the named elements and what is open in it."""
@@ -85,6 +87,8 @@ def block_texts(page: str) -> list[str]:
                 close(("li",), _LISTS)
             elif name in _LISTS:
                 close(_LISTS)
+            elif name in _HOLDERS:
+                close((name,))
         elif name:
             if name in _ENDS_P:
                 close(("p",), ("li", *_LISTS))
@@ -93,7 +97,7 @@ def block_texts(page: str) -> list[str]:
             if name in ("p", "li"):
                 stack.append((name, len(out)))
                 out.append([])
-            elif name in _LISTS:
+            elif name in _LISTS or name in _HOLDERS:
                 stack.append((name, -1))
     text(page[at:])
     return [_html.unescape("".join(x)).strip() for x in out]
