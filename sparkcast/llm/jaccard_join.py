@@ -6,18 +6,19 @@ sets form one class; the work is on classes.
 Two sets of Jaccard similarity t share a token among the first
 ``n - ceil(t * n) + 1`` of each in any common order, so classes are dealt to
 blocks by those tokens, rarest first. Rarity comes from counts over all
-documents in a table of fixed size (hash buckets, 8 MB), which any token has
+documents in a table of fixed size (hash buckets, 16 MB), which any token has
 the same rank in, so the order is common however coarse it is. Blocks with the
 same members, and blocks contained in the largest block of all their members,
 are dropped: their pairs meet elsewhere.
 
 In a block a signature tree is built: leaves are members, sorted by set size
-and smallest tokens; a node holds the OR of the token bitmaps below it and
+and smallest bits; a node holds the OR of the token bitmaps below it and
 the range of set sizes. The tree is traversed against itself, and a pair of
 nodes is dropped when even the maximum possible overlap (bits both have, plus
-tokens that share a bit) or the size ranges can't reach the threshold. Pairs of
-leaves left are compared exactly, except members that verified links already
-join. A block of more than two chunks' ``TOKENS`` is cut into chunks of
+tokens that share a bit) or the size ranges can't reach the threshold. This is
+done twice: with the members' own bitmaps (under a byte a token), which leaves
+nearly only true groups, then with whole sets, where pairs of leaves left are
+compared exactly, except members that verified links already join. A block of more than two chunks' ``TOKENS`` is cut into chunks of
 neighbouring sizes: each chunk is joined with itself and the block's pivots
 first; pairs of chunks then only need the members outside the component that
 holds the pivots' majority. No cap, no sampling.
@@ -39,7 +40,7 @@ from . import textbytes as tb
 from .components import components
 from .util import maybe_flag, maybe_in, save
 
-BUCKETS = 1 << 23       # of the table of token counts
+BUCKETS = 1 << 24       # of the table of token counts
 PARTS = 64              # rows it is aggregated in
 TOKENS = 4_000_000      # of a chunk of a block; one task handles two
 MEMBERS = 2_000         # of a chunk, at most
@@ -70,7 +71,7 @@ def _count_tokens(k: int):
         for b in batches:
             for _, buf, offs in tb.slices(b.column(0), 4 * tb.SLICE):
                 h, _ = tb.shingles(*tb.word_hashes(buf, offs), k)
-                total += np.bincount(_bucket(h), minlength=BUCKETS).astype(np.uint32)
+                np.add.at(total, _bucket(h), 1)
         z = zstandard.ZstdCompressor(level=1)
         # byte planes: the high ones are nearly all zero
         parts = [z.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes()) for x in np.split(total, PARTS)]
@@ -108,20 +109,33 @@ def _need(n: np.ndarray, m, num: int, den: int) -> np.ndarray:
     return -(-num * (n + m) // (den + num))
 
 
+def _width(n: np.ndarray) -> np.ndarray:
+    """Bits of a set's own bitmap: four to eight a token, a power of two."""
+    return 1 << np.ceil(np.log2(np.maximum(4 * n, 64))).astype(np.int64)
+
+
+def _bitmaps(h: np.ndarray, at: np.ndarray, rows: np.ndarray) -> list[bytes]:
+    """Token bitmap of each of the rows, whose hashes are h[at[row]:at[row + 1]]."""
+    out = []
+    for i, w in zip(rows.tolist(), _width(np.diff(at)[rows]).tolist()):
+        bits = np.zeros(w, np.uint8)
+        bits[(h[at[i]:at[i + 1]] & np.uint64(w - 1)).astype(np.int64)] = 1
+        out.append(np.packbits(bits).tobytes())
+    return out
+
+
 def _describe(k: int, num: int, den: int, ranks):
-    """Per row: set size, class key, tokens to be dealt by (once per class and partition)."""
+    """Per row: set size, class key and, once per class and partition, the
+    tokens to be dealt by and the token bitmap."""
     def run(batches):
         table = np.frombuffer(ranks.value, np.uint8)
         seen: set[bytes] = set()
         for b in batches:
-            sizes, keys, pre, ends = [], [], [], [0]
+            sizes, keys, pre, ends, maps = [], [], [], [0], []
             for _, rows, h, t in _sets(b.column("_text"), k):
                 n = np.bincount(t, minlength=rows)
                 at = np.concatenate([[0], np.cumsum(n)])
-                total = lambda x: np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)])[at])
-                key = np.stack([tb.mix(total(tb.mix(h)) + n.astype(np.uint64)), total(tb.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)))], 1)
-                raw = key.tobytes()
-                own = [raw[i:i + 16] for i in range(0, len(raw), 16)]
+                own = _class_keys(h, at)
                 order = np.argsort(t << 8 | table[_bucket(h)], kind="stable")      # h grows within a text
                 place = np.arange(len(h)) - at[t]
                 length = n - -(-num * n // den) + 1
@@ -134,52 +148,62 @@ def _describe(k: int, num: int, den: int, ranks):
                         fresh[i] = True
                 use = (place < length[t]) & fresh[t]
                 sizes.append(n), pre.append(h[order][use])
+                own_maps = np.full(rows, None, object)
+                own_maps[fresh] = _bitmaps(h, at, np.flatnonzero(fresh))
+                maps += own_maps.tolist()
                 keys += own
                 ends += (ends[-1] + np.cumsum(np.where(fresh, np.minimum(length, n), 0))).tolist()
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(pre).view(np.int64) if pre else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_th"), pa.array(np.concatenate(sizes) if sizes else np.empty(0, np.int64)),
-                                              pa.array(keys, pa.binary()), lists], ["_id", "_th", "n", "key", "deal"])
+                                              pa.array(keys, pa.binary()), lists, pa.array(maps, pa.binary())], ["_id", "_th", "n", "key", "deal", "bitmap"])
     return run
 
 
+def _class_keys(h: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """128-bit key of each row's set, whatever the order of its hashes."""
+    total = lambda x: np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)])[at])
+    key = np.stack([tb.mix(total(tb.mix(h)) + np.diff(at).astype(np.uint64)), total(tb.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)))], 1)
+    raw = key.tobytes()
+    return [raw[i:i + 16] for i in range(0, len(raw), 16)]
+
+
 def _whole_sets(k: int):
+    """Class key and whole set of texts, once per class and partition."""
     def run(batches):
+        seen: set[bytes] = set()
         for b in batches:
-            out, ends = [], [0]
+            out, ends, keys = [], [0], []
             for _, rows, h, t in _sets(b.column("_text"), k):
-                out.append(h)
-                ends += (ends[-1] + np.cumsum(np.bincount(t, minlength=rows))).tolist()
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)))], ["key", "tokens"])
+                at = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=rows))])
+                for i, x in enumerate(_class_keys(h, at)):
+                    if x not in seen:
+                        if len(seen) > 200_000:
+                            seen.clear()
+                        seen.add(x)
+                        keys.append(x), out.append(h[at[i]:at[i + 1]]), ends.append(ends[-1] + len(out[-1]))
+            flat = np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["key", "tokens"])
     return run
 
 
 # --- signature tree --------------------------------------------------------
 
 class Tree:
-    """Signature tree over sets (sorted arrays of hashes), in the order given."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
-        self.size = np.array([len(s) for s in sets], np.int64)
-        bits = max(BITMAP, 1 << int(8 * self.size.max()).bit_length())
-        # a lowest node must stay sparse: eight bits a token, up to 8 MB a task
-        self.bits = min(bits, 1 << 22)
-        mask = np.uint64(self.bits - 1)
-        self.at = [np.unique((s & mask).astype(np.int64)) for s in sets]
-        self.levels = []
-        lo = np.arange(0, len(sets), LEAF)
-        edges = [(int(a), int(min(a + LEAF, len(sets)))) for a in lo]
-        nodes = [self._node(range(a, b), [self.at[i] for i in range(a, b)]) for a, b in edges]
-        self.levels.append(nodes)
+    """Signature tree over members given by the places of their bits in a
+    bitmap of ``bits`` bits and their set sizes, in the order given."""
+
+    def __init__(self, at: list[np.ndarray], size: np.ndarray, bits: int):
+        self.at, self.size, self.bits = at, size, bits
+        self.levels = [[self._node(range(a, min(a + LEAF, len(at)))) for a in range(0, len(at), LEAF)]]
         while len(self.levels[-1]) > 1:
             below = self.levels[-1]
             self.levels.append([self._join(below, a, min(a + FANOUT, len(below))) for a in range(0, len(below), FANOUT)])
 
-    def _node(self, members, ats):
+    def _node(self, members):
         members = list(members)
         n = self.size[members]
-        slack = max(int(self.size[i]) - len(self.at[i]) for i in members)
-        return dict(members=members, least=int(n.min()), most=int(n.max()), slack=slack, on=np.unique(np.concatenate(ats)))
+        return dict(members=members, least=int(n.min()), most=int(n.max()), slack=max(int(self.size[i]) - len(self.at[i]) for i in members),
+                    on=np.unique(np.concatenate([self.at[i] for i in members])))
 
     def _join(self, below, a, b):
         part = below[a:b]
@@ -219,34 +243,38 @@ class Union:
             self.up = up
 
 
-def links(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None) -> np.ndarray:
-    """Root of each set under all links among the sets. ``side``: only pairs of
-    different sides are compared (members of one side were compared before)."""
-    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(sets[i][0]), int(sets[i][-1])))
-    tree = Tree([sets[i] for i in order])
-    side = None if side is None else side[order]
-    u = Union(len(sets))
-    flags = np.zeros(tree.bits, bool)
+def links(at: list[np.ndarray], size: np.ndarray, bits: int, num: int, den: int, sets: list[np.ndarray] | None = None,
+          side: np.ndarray | None = None, skip: tuple = (0, 1)) -> np.ndarray:
+    """Root of each member under all links. With ``sets`` links are exact, else
+    pairs whose bitmaps allow the threshold are links. ``side``: pairs within a
+    side of ``skip`` aren't compared (they are elsewhere)."""
+    order = sorted(range(len(at)), key=lambda i: (int(size[i]), int(at[i][0]), int(at[i][-1])))
+    tree = Tree([at[i] for i in order], size[order], bits)
+    side = None if side is None else side[order].tolist()
+    u = Union(len(at))
+    flags = np.zeros(bits, bool)
     top = len(tree.levels) - 1
 
     def leaves(x, y):
         for i in x["members"]:
-            a = tree.sets[i]
+            n = int(tree.size[i])
             for j in y["members"]:
-                if (j <= i and x is y) or u.find(i) == u.find(j) or (side is not None and side[i] == side[j]):
+                if (j <= i and x is y) or u.find(i) == u.find(j) or (side is not None and side[i] == side[j] and side[i] in skip):
                     continue
-                b = tree.sets[j]
-                n, m = len(a), len(b)
+                m = int(tree.size[j])
                 if num * max(n, m) > den * min(n, m):
                     continue
                 need = _need(n, m, num, den)
                 if np.count_nonzero(flags_of(i)[tree.at[j]]) + min(n - len(tree.at[i]), m - len(tree.at[j])) < need:
                     continue
-                at = np.minimum(np.searchsorted(a, b), n - 1)
-                if int(np.count_nonzero(a[at] == b)) >= need:
+                if sets is None:
+                    u.join(i, j)
+                    continue
+                a, b = sets[order[i]], sets[order[j]]
+                if int(np.count_nonzero(a[np.minimum(np.searchsorted(a, b), n - 1)] == b)) >= need:
                     u.join(i, j)
 
-    leaf_flags = np.zeros(tree.bits, bool)
+    leaf_flags = np.zeros(bits, bool)
     lit = [-1]
 
     def flags_of(i):
@@ -301,63 +329,121 @@ def links(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None =
                 else:
                     keep.append((i, j))
         pairs = keep
-    out = np.empty(len(sets), np.int64)
+    out = np.empty(len(at), np.int64)
     out[order] = np.array(order)[u.roots()]
     return out
 
 
-def _join_blocks(num: int, den: int):
-    """Rows (block, part, side, key, tokens), whole parts in order -> links (a, b)."""
-    def solve(keys, sets, sides):
-        if len(keys) < 2:
-            return [], []
-        side = np.array(sides) if len(set(sides)) > 1 else None
-        root = links(sets, num, den, side)
-        return [keys[i] for i in range(len(keys)) if root[i] != i], [keys[r] for i, r in enumerate(root) if r != i]
-
+def exact_links(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None) -> np.ndarray:
+    size = np.array([len(x) for x in sets], np.int64)
+    # a lowest node must stay sparse: eight bits a token and more
+    bits = min(max(BITMAP, 1 << int(8 * size.max()).bit_length()), 1 << 22)
+    return links([np.unique((x & np.uint64(bits - 1)).astype(np.int64)) for x in sets], size, bits, num, den, sets, side)
+
+
+def possible_links(maps: list[bytes], size: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Root of each member when every pair that its bitmaps don't rule out is a
+    link. Similar sets have bitmaps of one width or of two neighbouring ones;
+    the wider is folded."""
+    width = _width(size)
+    u = Union(len(maps))
+    for w in np.unique(width).tolist():
+        own = np.flatnonzero((width == w) | (width == 2 * w))
+        if len(own) < 2:
+            continue
+        at = [np.unique(np.flatnonzero(np.unpackbits(np.frombuffer(maps[i], np.uint8))) & (w - 1)) for i in own]
+        wide = (width[own] > w).astype(np.int64)
+        for i, r in enumerate(links(at, size[own], w, num, den, None, wide if wide.any() else None, (1,))):
+            u.join(int(own[i]), int(own[r]))
+    return u.roots()
+
+
+def _stream(columns: tuple, solve, out: tuple):
+    """Gather rows by their first two columns, which come in order, and solve each group."""
     def run(batches):
-        now, keys, sets, sides, a, b = None, [], [], [], [], []
+        now, rows, found = None, [], []
+
+        def close():
+            if len(rows) > 1:
+                found.extend(solve(now, rows))
+
         for batch in batches:
-            tok = batch.column("tokens")
-            flat, offs = tok.values.to_numpy().view(np.uint64), tok.offsets.to_numpy()
-            for r, (block, part, side, key) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("block", "part", "side", "key")))):
-                if (block, part) != now:
-                    x, y = solve(keys, sets, sides)
-                    a += x
-                    b += y
-                    now, keys, sets, sides = (block, part), [], [], []
-                keys.append(key)
-                sets.append(flat[offs[r]:offs[r + 1]].copy())
-                sides.append(side)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-            a, b = [], []
-        x, y = solve(keys, sets, sides)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["a", "b"])
+            for r in zip(*(_values(batch.column(c)) for c in columns)):
+                if r[:2] != now:
+                    close()
+                    now, rows = r[:2], []
+                rows.append(r[2:])
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, (_, t) in enumerate(out)], [c for c, _ in out])
+            found = []
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, (_, t) in enumerate(out)], [c for c, _ in out])
     return run
 
 
+def _values(col):
+    if not pa.types.is_list(col.type):
+        return col.to_pylist()
+    flat, offs = col.values.to_numpy().view(np.uint64), col.offsets.to_numpy()
+    return [flat[a:b].copy() for a, b in zip(offs, offs[1:])]
+
+
+def _narrow_blocks(num: int, den: int):
+    """(block, part, key, n, bitmap) -> links (a, b) that join members which may be linked."""
+    def solve(now, rows):
+        keys = [r[0] for r in rows]
+        root = possible_links([r[2] for r in rows], np.array([r[1] for r in rows], np.int64), num, den)
+        return [(keys[i], keys[r]) for i, r in enumerate(root) if r != i]
+    return _stream(("block", "part", "key", "n", "bitmap"), solve, (("a", pa.binary()), ("b", pa.binary())))
+
+
+def _join_blocks(num: int, den: int):
+    """(block, part, side, key, tokens) -> links (a, b)."""
+    def solve(now, rows):
+        keys = [r[1] for r in rows]
+        side = np.array([r[0] for r in rows])
+        root = exact_links([r[2] for r in rows], num, den, side if side.any() else None)
+        return [(keys[i], keys[r]) for i, r in enumerate(root) if r != i]
+    return _stream(("block", "part", "side", "key", "tokens"), solve, (("a", pa.binary()), ("b", pa.binary())))
+
+
 # --- the join --------------------------------------------------------------
 
-def _blocks(sets: DataFrame) -> DataFrame:
-    """(block, key, n, c): classes that share a token they are dealt by, without
-    blocks whose pairs meet in another one. c: classes of the block."""
-    by_token = Window.partitionBy("block")
-    short = F.xxhash64("key").alias("k")
-    dealt = sets.select(F.explode("deal").alias("block"), short)
-    shared = save(dealt.withColumns({"lo": F.min("k").over(by_token), "hi": F.max("k").over(by_token)})
-                  .filter("lo <> hi").select("block", "k").distinct())
-    keys = sets.filter("size(deal) > 0").select(short, "key", "n").distinct()
+def _prune(shared: DataFrame) -> DataFrame:
+    """(block, k): the blocks without those whose pairs meet in another one."""
     same = shared.groupBy("block").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("k")).alias("x"), F.sum(F.hash("k").cast("long")).alias("s"))
     one = same.groupBy("c", "x", "s").agg(F.min("block").alias("block"))
     distinct = save(shared.join(one.select("block", "c"), "block"))
     largest = distinct.groupBy("k").agg(F.max(F.struct("c", "block")).alias("top"))
     inside = (distinct.join(largest, "k").groupBy("block")
               .agg(F.min("top.block").alias("lo"), F.max("top.block").alias("hi")).filter("lo = hi and lo <> block"))
-    return save(distinct.join(inside, "block", "left_anti").join(keys, "k").select("block", "key", "n", "c"))
+    return distinct.join(inside, "block", "left_anti").select("block", "k")
+
+
+def _blocks(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(block, key, n): groups of classes between which the bitmaps allow links.
+
+    Classes that share a token they are dealt by meet in blocks; what the
+    bitmaps leave of them forms components, one block each."""
+    by_token = Window.partitionBy("block")
+    short = F.xxhash64("key").alias("k")
+    dealt = sets.select(F.explode("deal").alias("block"), short)
+    shared = save(dealt.withColumns({"lo": F.min("k").over(by_token), "hi": F.max("k").over(by_token)})
+                  .filter("lo <> hi").select("block", "k").distinct())
+    fresh = sets.filter("size(deal) > 0")
+    keys = fresh.select(short, "key", "n").distinct()
+    blocks = save(_prune(shared).join(keys, "k").select("block", "key", "n"))
+    small, large = _parts(blocks)
+    bitmaps = maybe_in(fresh.select("key", "n", "bitmap"), F.col("key"), blocks, "key").groupBy("key", "n").agg(F.first("bitmap").alias("bitmap"))
+    found = save(small.join(bitmaps, "key").select("block", "part", "key", "n", "bitmap")
+                 .repartition("block").sortWithinPartitions("block", "key")
+                 .mapInArrow(_narrow_blocks(num, den), "a binary, b binary"))
+    narrow = components(found).join(keys.drop("k"), F.col("key") == F.col("node")).select(F.xxhash64("root").alias("block"), "key", "n")
+    return save(narrow.unionByName(large.select("block", "key", "n")))
 
 
 def _parts(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Blocks as they are, and the chunks of those that are too large for a task."""
+    """Blocks (block, key, n) as they are, and the chunks of those that are too
+    large for a task."""
     block = Window.partitionBy("block")
     w = blocks.withColumn("w", F.greatest(F.col("n"), F.lit(TOKENS // MEMBERS))).withColumn("all", F.sum("w").over(block))
     before = F.sum("w").over(block.orderBy("n", "key").rowsBetween(Window.unboundedPreceding, -1))
@@ -369,7 +455,8 @@ def _parts(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
 def similar_links(df_sets: DataFrame, blocks: DataFrame, num: int, den: int) -> DataFrame:
     """Verified links (a, b) that join all classes of a component."""
     def solve(members: DataFrame) -> DataFrame:
-        rows = members.join(df_sets, "key").select("block", "part", "side", "key", "tokens")
+        whole = df_sets.groupBy("key").agg(F.first("tokens").alias("tokens"))
+        rows = members.join(whole, "key").select("block", "part", "side", "key", "tokens")
         return (rows.repartition("block", "part").sortWithinPartitions("block", "part", "side", "key")
                 .mapInArrow(_join_blocks(num, den), "a binary, b binary"))
 
@@ -419,15 +506,15 @@ def _groups(df: DataFrame, id_col: str, text: str, k: int, num: int, den: int) -
     raw = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     docs = _keyed(df, id_col, text).select("_id", "_th", raw.alias("_text"))
     ranks = df.sparkSession.sparkContext.broadcast(token_ranks(docs.select("_text"), k))
-    sets = save(docs.mapInArrow(_describe(k, num, den, ranks), "_id long, _th long, n long, key binary, deal array<long>"))
+    sets = save(docs.mapInArrow(_describe(k, num, den, ranks), "_id long, _th long, n long, key binary, deal array<long>, bitmap binary"))
 
-    blocks = _blocks(sets)
+    blocks = _blocks(sets, num, den)
     classes = blocks.select("key").distinct()
     holders = (sets.filter("size(deal) > 0").join(classes, "key", "left_semi")
                .groupBy("key").agg(F.min(F.struct("_id", "_th")).alias("h")).select("key", "h._id", "h._th"))
     holders = save(holders)
-    texts = maybe_in(docs, F.col("_th"), holders, "_th").join(holders, ["_id", "_th"]).dropDuplicates(["key"])
-    whole = save(texts.select("key", "_text").mapInArrow(_whole_sets(k), "key binary, tokens array<long>"))
+    # texts that hash like a holder's; whole sets of other classes find no block
+    whole = save(maybe_in(docs.select("_th", "_text"), F.col("_th"), holders, "_th").mapInArrow(_whole_sets(k), "key binary, tokens array<long>"))
     roots = components(similar_links(whole, blocks, num, den))
 
     # least id of each component; only classes with copies or links have to be looked up
