@@ -216,7 +216,7 @@ def _walk(queries: list, graph: DataFrame, nodes: DataFrame, pivots: list, beam:
     shared = spark.sparkContext.broadcast(({r["q"]: i for i, r in enumerate(queries)}, x))
     start = _between(x, _matrix([bytes(r["code"]) for r in pivots], [r["scale"] for r in pivots]))
     rows = [(r["q"], p["node"], float(start[i, j])) for i, r in enumerate(queries) for j, p in enumerate(pivots) if p["node"] != r["q"]]
-    own = nodes.filter(F.col("node").isin([])) if not queries else nodes.join(F.broadcast(spark.createDataFrame([(r["q"],) for r in queries], "q long")), F.col("node") == F.col("q"))
+    own = nodes.join(F.broadcast(spark.createDataFrame([(r["q"],) for r in queries], "q long")), F.col("node") == F.col("q"))
     state = save(spark.createDataFrame(rows, "q long, node long, d float").unionByName(own.select("q", "node", F.lit(0.0).cast("float").alias("d")))
                  .distinct().withColumn("done", F.lit(False)))
     order = Window.partitionBy("q").orderBy("d", "node")
@@ -243,6 +243,8 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: st
     each row of ``queries`` (same columns), by Euclidean distance."""
     rows = save(vectors(df, id_col, vector))
     asked = save(vectors(queries, id_col, vector).withColumnRenamed("node", "q"))
+    if not rows.take(1) or not asked.take(1):
+        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     # the k + 1 least ids of each vector are all that an answer can need
     ids = save(rows.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("id"))).filter(F.col("r") <= k + 1)
                .select("node", "id", "r", F.when(F.col("r") == 1, F.col("v")).alias("v")))
@@ -257,6 +259,8 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: st
     beams = None
     for i in range(blocks):
         block = ask.filter(F.pmod(F.xxhash64("q", F.lit(2)), F.lit(blocks)) == i).orderBy("q").collect()
+        if not block:
+            continue
         part = _walk(block, graph, nodes, pivots, beam)
         beams = part if beams is None else beams.unionByName(part)
     top = beams.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "node"))).filter(F.col("r") <= RERANK).select("q", "node")
