@@ -55,7 +55,7 @@ def edges_from_rings(boundaries: DataFrame, id_col: str = "region_id",
     Shared (snapped) vertices always count. With ``cell`` (a grid size in
     coordinate units, e.g. 0.1 degrees) a vertex lying on another region's
     edge without a vertex there (a T-junction) counts too: segments are
-    bucketed into the grid cells their bounding box covers and joined to the
+    bucketed into the grid cells they cross and joined to the
     vertices of the same cell, then tested exactly for point-on-segment.
 
     ``overlaps`` (parent_id, child_id): regions known to contain others, which
@@ -103,7 +103,13 @@ def t_junction_pairs(boundaries: DataFrame, v: DataFrame, id_col: str, rings: st
         return F.floor(col / F.lit(cell)).cast("long")
 
     seg = seg.select("*", F.explode(F.sequence(cidx(F.least("ax", "bx")), cidx(F.greatest("ax", "bx")))).alias("cx"))
-    seg = seg.select("*", F.explode(F.sequence(cidx(F.least("ay", "by")), cidx(F.greatest("ay", "by")))).alias("cy"))
+    # in a column of cells only those between the segment's entry and exit
+    slope = F.when(F.col("ax") != F.col("bx"), (F.col("by") - F.col("ay")) / (F.col("bx") - F.col("ax")))
+    left = F.greatest(F.least("ax", "bx"), F.col("cx") * F.lit(cell))
+    right = F.least(F.greatest("ax", "bx"), (F.col("cx") + 1) * F.lit(cell))
+    y0 = F.coalesce(F.col("ay") + slope * (left - F.col("ax")), F.col("ay"))
+    y1 = F.coalesce(F.col("ay") + slope * (right - F.col("ax")), F.col("by"))
+    seg = seg.select("*", F.explode(F.sequence(cidx(F.least(y0, y1) - F.lit(eps)), cidx(F.greatest(y0, y1) + F.lit(eps)))).alias("cy"))
     pv = v.select("rid", "vx", "vy", cidx(F.col("vx")).alias("cx"), cidx(F.col("vy")).alias("cy"))
     j = pv.join(seg, ["cx", "cy"]).where(F.col("rid") != F.col("sid"))
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import (MAX_BITS, ascii_mask_array, char_codes, char_masks, fuzzy_ratio,
                               lcs_bits_codes, normalize, ratio_process, word_tokens)
-from ..session import broadcast_if_small, materialize
+from ..session import materialize
 from . import fixed_values as FV
 
 TIER_EN, TIER_NAME, TIER_ALT, TIER_FUZZY, TIER_WORDS = 1, 2, 3, 4, 5
@@ -216,15 +216,14 @@ def prepare_event_keys(events: DataFrame, id_col: str = "event_id_cnty", country
     names = names.select("_raw", normalize("_raw").alias("_norm"))
     names = materialize(names.join(F.broadcast(nf), F.col("_norm") == F.col("_nfn"), "left")
                         .select("_raw", F.coalesce("_nff", "_norm").alias("admin1_norm")))
-    # distinct names are few next to the events: broadcast them (size checked)
-    # so the events are not shuffled for the join back
-    names = broadcast_if_small(names)
+    # distinct names are few next to the events; as a written table Spark knows
+    # their size and broadcasts them if it allows, so that events stay in place
     return (e.join(names, e[admin_col].eqNullSafe(names["_raw"]), "left").drop("_raw"))
 
 
 def attach_regions(events: DataFrame, matches: DataFrame) -> DataFrame:
     """Each event gets its key's ``matched_admin1_id`` (null if none)."""
-    m = broadcast_if_small(materialize(matches.select(
-        F.col("country").alias("_mc"), F.col("key").alias("_mk"), F.col("region_id").alias("matched_admin1_id"))))
+    m = materialize(matches.select(
+        F.col("country").alias("_mc"), F.col("key").alias("_mk"), F.col("region_id").alias("matched_admin1_id")))
     return (events.join(m, (F.col("country_code") == F.col("_mc")) & (F.col("admin1_norm") == F.col("_mk")), "left")
             .drop("_mc", "_mk"))

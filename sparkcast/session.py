@@ -74,10 +74,31 @@ def materialize(df):
     import uuid
     spark = df.sparkSession
     path = scratch_path(spark, f"tables/{uuid.uuid4().hex}")
+    _written.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+_written: list[str] = []
+
+
+def drop_intermediates() -> int:
+    """Delete the intermediate tables that this process has written with
+    :func:`materialize`; call it once their results are stored. Returns how
+    many went. (Results are lazy, so nothing can be dropped before that.)"""
+    from pyarrow import fs
+    n = 0
+    while _written:
+        path = _written.pop()
+        if path.startswith("file:/") and not path.startswith("file://"):
+            path = "file://" + path[5:]
+        where, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        if where.get_file_info(root).type == fs.FileType.Directory:
+            where.delete_dir(root)
+            n += 1
+    return n
+
+
 def spread(df):
     """Spread CPU-heavy per-row work over all cores when the input arrives in
     fewer partitions than the cluster has (e.g. one large row group). Inputs
@@ -85,16 +106,3 @@ def spread(df):
     as they are, so no shuffle is added there."""
     target = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
-
-
-# Row bound for broadcasting a small look-up side built from the data
-# (distinct names, distinct keys): checked on the materialised table.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def broadcast_if_small(df, max_rows: int = BROADCAST_MAX_ROWS):
-    """Broadcast ``df`` only when a count proves it small; otherwise leave the
-    join to a shuffle (sort-merge) join. Use on materialised tables, where the
-    count is a cheap job."""
-    from pyspark.sql import functions as F
-    return F.broadcast(df) if df.count() <= max_rows else df

@@ -18,11 +18,15 @@ from pyspark.sql.types import StructType
 
 from ..session import scratch_path
 
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def dedupe_stream(spark: SparkSession, source: str, schema: StructType, url: str = "url",
                   out: str | None = None, checkpoint: str | None = None,
                   event_time: str | None = None, delay: str = "7 days",
-                  max_files_per_trigger: int | None = None, fmt: str = "parquet") -> str:
+                  max_files_per_trigger: int | None = None, fmt: str = "parquet",
+                  state: str | None = ROCKSDB) -> str:
     """Run the dedupe stream over everything landed at ``source`` (trigger
     availableNow) and return the output path. Output and checkpoint default
     to fresh folders under the shared checkpoint directory."""
@@ -33,14 +37,22 @@ def dedupe_stream(spark: SparkSession, source: str, schema: StructType, url: str
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     s = r.load(source)
+    # the state holds a digest per URL, on disk rather than on the heap
+    s = s.withColumn("_key", F.sha2(F.col(url), 256))
     if event_time:
-        s = s.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([url])
+        s = s.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["_key"])
     else:
-        s = s.dropDuplicates([url])
-    q = (s.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start(out))
-    q.awaitTermination()
+        s = s.dropDuplicates(["_key"])
+    before = spark.conf.get(STATE_PROVIDER)
+    if state:
+        spark.conf.set(STATE_PROVIDER, state)
+    try:                                    # a query keeps the provider it starts with
+        q = (s.drop("_key").writeStream.format("parquet").outputMode("append")
+             .option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start(out))
+        q.awaitTermination()
+    finally:
+        spark.conf.set(STATE_PROVIDER, before)
     return out
 
 

@@ -67,15 +67,18 @@ def test_pooled_fit_without_training_rows(spark):
 
 
 def test_session_helpers(spark):
-    from sparkcast.session import broadcast_if_small, spread
+    from sparkcast.session import spread
     par = spark.sparkContext.defaultParallelism
     one = spark.range(100).coalesce(1)
     assert spread(one).rdd.getNumPartitions() == par
     many = spark.range(100).repartition(par + 3)
     assert spread(many).rdd.getNumPartitions() == par + 3          # enough splits: untouched
-    small = spark.range(10)
-    big_side = spark.range(1000).withColumnRenamed("id", "k")
-    hinted = big_side.join(broadcast_if_small(small, max_rows=100), big_side.k == small.id)
-    plain = big_side.join(broadcast_if_small(small, max_rows=5), big_side.k == small.id)
-    assert "broadcast" in hinted._jdf.queryExecution().analyzed().toString().lower()
-    assert "broadcast" not in plain._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_intermediates_are_dropped(spark):
+    import os
+    from sparkcast.session import _written, drop_intermediates, materialize
+    drop_intermediates()
+    assert materialize(spark.range(3)).count() == 3 and len(_written) == 1
+    path = _written[0].removeprefix("file:")
+    assert os.path.isdir(path) and drop_intermediates() == 1 and not os.path.exists(path)
