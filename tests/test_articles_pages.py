@@ -97,9 +97,10 @@ def test_stream_dedupe(spark, tmp_dir):
 
 def test_prompts(spark):
     a = spark.createDataFrame([("Kenya", "x" * 20000)], "country string, full_text string")
-    p = PG.prompts(a, "Report [all metrics] for [country].", F.array(F.lit("coup"), F.lit("war")))
-    t = p.first().prompt
-    assert t.startswith("Report coup, war for Kenya. ") and len(t) == len("Report coup, war for Kenya. ") + 16000
+    for cut, size in ((None, 20000), (16000, 16000)):
+        p = PG.prompts(a, "Report [all metrics] for [country].", F.array(F.lit("coup"), F.lit("war")), max_chars=cut)
+        t = p.first().prompt
+        assert t.startswith("Report coup, war for Kenya. ") and len(t) == len("Report coup, war for Kenya. ") + size
 
 
 def test_q17_no_valid_dates_raises(spark):

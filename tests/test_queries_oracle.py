@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from sparkcast import plans
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents "
@@ -42,7 +43,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(plans.queries()))
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
@@ -57,6 +58,10 @@ def test_query_matches_oracle(spark, duck, name):
     assert _rows(df.columns, rows) == _rows(dcols, res.fetchall())
 
 
+def test_entry_has_every_query():
+    assert set(plans.queries()) <= set(E.queries()) and set(plans.oracle_sql()) <= set(E.oracle_sql())
+
+
 def test_entry(spark):
     df = E.entry(spark)
     assert df.count() > 0 and "importance_weight" in df.columns
