@@ -99,14 +99,30 @@ def flatten_record(records: DataFrame) -> DataFrame:
                           "url", F.col("publisher.title").alias("publisher"))
 
 
+def published_time(date: Column | str = "published date") -> Column:
+    """Time stamp of an RFC 822 publication date (``Mon, 01 Jan 2024 10:00:00
+    GMT``, weekday optional); null when it isn't one."""
+    d = F.col(f"`{date}`") if isinstance(date, str) else date
+    plain = F.regexp_replace(F.trim(d), r"^[A-Za-z]{3},\s*", "")
+    return F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) for f in ("d MMM yyyy HH:mm:ss zzz", "d MMM yyyy HH:mm:ss Z")])
+
+
 def restrict(records: DataFrame, start=None, end=None, excluded_hosts: DataFrame | None = None,
-             published: str = "published_ts") -> DataFrame:
-    """Date window and excluded sites (left anti join on the URL host)."""
+             published: str = "published_ts", countries: Sequence[str] | None = None,
+             languages: Sequence[str] | None = None, country: str = "country", language: str = "language") -> DataFrame:
+    """Date window, countries, languages and excluded sites (left anti join
+    on the URL host). Without a ``published`` column the time is parsed from
+    ``published date``; rows without a time are outside any window."""
     r = records
+    when = F.col(published) if published in r.columns else published_time() if "published date" in r.columns else None
     if start is not None:
-        r = r.where(F.col(published) >= F.lit(start))
+        r = r.where(when >= F.lit(start))
     if end is not None:
-        r = r.where(F.col(published) < F.lit(end))
+        r = r.where(when < F.lit(end))
+    if countries is not None:
+        r = r.where(F.col(country).isin(list(countries)))
+    if languages is not None:
+        r = r.where(F.col(language).isin(list(languages)))
     if excluded_hosts is not None:
         ex = excluded_hosts.select(F.col(excluded_hosts.columns[0]).alias("_host"))
         r = (r.withColumn("_host", F.expr("parse_url(url, 'HOST')"))

@@ -151,3 +151,12 @@ def test_dates(spark, s):
 def test_not_dates(spark):
     df = spark.createDataFrame([(x,) for x in ("2023", "junk", "", "13-2023", "Smarch 2023", None)], "s string")
     assert df.filter(PG.parse_month("s").isNotNull()).count() == 0
+
+
+def test_restrict_by_time_country_and_language(spark):
+    rows = [("https://a.example/1", "Mon, 01 Jan 2024 10:00:00 GMT", "Kenya", "en"), ("https://a.example/2", "02 Feb 2024 10:00:00 GMT", "Kenya", "fr"),
+            ("https://a.example/3", "not a date", "Kenya", "en"), ("https://a.example/4", "Sun, 03 Mar 2024 00:00:00 +0200", "Mali", "en"), ("https://a.example/5", None, None, None)]
+    df = spark.createDataFrame(rows, "url string, `published date` string, country string, language string")
+    got = lambda **k: sorted(r.url[-1] for r in AR.restrict(df, **k).collect())
+    assert got(start="2024-01-15") == ["2", "4"] and got(end="2024-02-02 10:00:00") == ["1"]
+    assert got(countries=["Mali"], languages=["en"]) == ["4"] and got(languages=["en"]) == ["1", "3", "4"] and got() == ["1", "2", "3", "4", "5"]
