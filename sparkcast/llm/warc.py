@@ -70,19 +70,19 @@ def chunk_table(df: DataFrame, id_col: str, url: str, payload: str, chunk: int =
     return parts.mapInArrow(_running_digests, "id long, url string, th long, size long, no int, chunk binary, digest string")
 
 
-def record_types(chunks: DataFrame, least: int = LEAST, chunk: int = CHUNK) -> DataFrame:
-    """(id, url, th, copy, size, digest, record_type, refers_to) of every record,
-    from the last chunk of each."""
+def decisions(chunks: DataFrame, least: int = LEAST, chunk: int = CHUNK) -> DataFrame:
+    """(id, url, th, size, digest, copies, response, refers_to) of every distinct
+    row, from the last chunk of each: how often it occurs, whether its first
+    copy is the response, and what its revisits refer to."""
     last = chunks.filter(F.col("no") == F.floor(F.greatest(F.col("size") - 1, F.lit(0)) / chunk)).drop("chunk", "no")
     ends = save(last.groupBy("id", "url", "th", "size", "digest").agg(F.count("*").cast("int").alias("copies")))
-    large = ends.filter(F.col("size") >= least)
     # equal payloads: only groups of several records are looked up again
-    groups = save(large.groupBy("digest", "size").agg(F.max("id").alias("of"), F.count("*").alias("c"), F.max(F.struct("id", "th")).alias("top")).filter("c > 1")
-                  .select("digest", "size", "of", F.col("top.th").alias("of_th")))
-    each = ends.join(groups, ["digest", "size"], "left").withColumn("copy", F.explode(F.expr("sequence(0, copies - 1)")))
-    response = (F.col("size") < least) | ((F.col("copy") == 0) & (F.col("of").isNull() | ((F.col("id") == F.col("of")) & (F.col("th") == F.col("of_th")))))
-    return each.select("id", "url", "th", "copy", "size", "digest", F.when(response, "response").otherwise("revisit").alias("record_type"),
-                       F.when(~response, F.coalesce("of", "id")).alias("refers_to"))
+    groups = save(ends.filter(F.col("size") >= least).groupBy("digest", "size")
+                  .agg(F.count("*").alias("c"), F.max(F.struct("id", "th")).alias("top")).filter("c > 1")
+                  .select("digest", "size", F.col("top.id").alias("of"), F.col("top.th").alias("of_th")))
+    first = (F.col("size") < least) | F.col("of").isNull() | ((F.col("id") == F.col("of")) & (F.col("th") == F.col("of_th")))
+    return (ends.join(groups, ["digest", "size"], "left")
+            .select("id", "url", "th", "size", "digest", "copies", first.alias("response"), F.coalesce("of", "id").alias("refers_to")))
 
 
 # --- archives --------------------------------------------------------------
@@ -140,33 +140,51 @@ class Archive:
         return self.name, self.size
 
 
-def _write(folder: str, roll: int):
-    """Records (response chunks in order, revisits as one row each) to archives; yields (name, bytes)."""
+def _write(folder: str, roll: int, least: int):
+    """Decision rows (no -1), each before its record's chunks, to archives; yields (name, bytes)."""
     def run(batches):
         from pyspark import TaskContext
-        part, n, archive, open_record, seen, made = TaskContext.get().partitionId(), 0, None, None, None, []
+        part, made = TaskContext.get().partitionId(), []
+        archive, record, begun, held, seen = None, None, False, [], None
+
+        def out() -> Archive:
+            nonlocal archive
+            if archive is not None and archive.size >= roll:
+                made.append(archive.close())
+                archive = None
+            if archive is None:
+                archive = Archive(folder, f"part-{part:06d}-{len(made):05d}.warc.gz")
+            return archive
+
+        def finish():
+            """End the open response; the other copies of the row follow."""
+            if begun:
+                archive.end()
+            for copy in range(1 if record["response"] else 0, record["copies"]):
+                again = dict(record, copy=copy, record_type="response" if record["size"] < least else "revisit")
+                out().begin(_header(again))
+                for piece in held if again["record_type"] == "response" else ():
+                    archive.add(piece)
+                archive.end()
+
         for b in batches:
             chunks = b.column("chunk")
             for k, r in enumerate(b.drop_columns(["chunk"]).to_pylist()):
-                key = (r["id"], r["url"], r["th"], r["copy"])
-                if seen == (key, r["no"]):
-                    continue                            # the same chunk of a repeated row
-                seen = (key, r["no"])
-                if key != open_record:
-                    if open_record is not None:
-                        archive.end()
-                        if archive.size >= roll:
-                            made.append(archive.close())
-                            archive = None
-                    if archive is None:
-                        archive = Archive(folder, f"part-{part:06d}-{n:05d}.warc.gz")
-                        n += 1
-                    archive.begin(_header(r))
-                    open_record = key
-                if r["record_type"] == "response":
-                    archive.add(chunks[k].as_buffer())
-        if open_record is not None:
-            archive.end()
+                if r["no"] < 0:
+                    if record is not None:
+                        finish()
+                    record, begun, held, seen = r, False, [], -1
+                elif r["no"] != seen and record["response"]:        # the same chunk of a repeated row is skipped
+                    seen = r["no"]
+                    if not begun:
+                        out().begin(_header(dict(record, copy=0, record_type="response")))
+                        begun = True
+                    piece = chunks[k].as_py()
+                    archive.add(piece)
+                    if record["copies"] > 1 and record["size"] < least:
+                        held.append(piece)
+        if record is not None:
+            finish()
             made.append(archive.close())
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in made], pa.string()), pa.array([x for _, x in made], pa.int64())], ["archive", "bytes"])
     return run
@@ -177,16 +195,11 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url: str
     """Write a record per row under ``folder`` (shared, made if absent); (archive, bytes) of what was written."""
     filesystem, root = fs.FileSystem.from_uri(folder)
     filesystem.create_dir(root, recursive=True)
-    types = save(record_types(chunk_table(df, id_col, url, payload, chunk), least, chunk))
-    response = F.col("record_type") == "response"
-    wanted = types.withColumnRenamed("digest", "whole")
-    chunks = (chunk_table(df, id_col, url, payload, chunk).drop("digest", "size")
-              .join(wanted.filter(response).withColumn("_u", F.coalesce("url", F.lit(""))).drop("url"), ["id", "th"])
-              .filter(F.coalesce("url", F.lit("")) == F.col("_u")).drop("_u"))
-    revisits = wanted.filter(~response).withColumns({"no": F.lit(0), "chunk": F.lit(b"")})
-    columns = ["id", "url", "th", "copy", "size", F.col("whole").alias("digest"), "record_type", "refers_to", "no", "chunk"]
-    records = chunks.select(*columns).unionByName(revisits.select(*columns))
-    return save(records.repartition("id", "th", "copy").sortWithinPartitions("id", "url", "th", "copy", "no").mapInArrow(_write(folder, roll), "archive string, bytes long"))
+    known = save(decisions(chunk_table(df, id_col, url, payload, chunk), least, chunk))
+    chunks = chunk_table(df, id_col, url, payload, chunk)
+    # decisions and chunks meet in one shuffle, in the order of the archive
+    rows = known.withColumns({"no": F.lit(-1), "chunk": F.lit(None).cast("binary")}).unionByName(chunks.drop("digest", "size"), allowMissingColumns=True)
+    return save(rows.repartition("id", "th").sortWithinPartitions("id", "th", "url", "no").mapInArrow(_write(folder, roll, least), "archive string, bytes long"))
 
 
 # --- reading ---------------------------------------------------------------
