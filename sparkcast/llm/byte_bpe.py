@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import pretoken, textbytes as tb
 from .wordcache import WordCache, distinct
 
-WORDS = 50_000          # words of one recursive query
+WORDS = 20_000          # words of one recursive query
 
 MERGE = """
 WITH RECURSIVE step AS (
@@ -43,6 +43,25 @@ SELECT w, list(t ORDER BY p) AS ids, string_agg(bytes, '' ORDER BY p) AS decoded
 FROM step JOIN vocabulary ON id = t WHERE done GROUP BY w ORDER BY w
 """
 
+LONG = 64               # bytes; longer words are contracted round by round, so that their earlier rounds aren't kept
+
+# One round for long words. All places of the least-ranked pair are contracted
+# at once, leftmost first where they overlap, if no pair with the new token
+# could come before it ("calm"); else only the leftmost.
+ROUND = """
+CREATE OR REPLACE TABLE long_next AS
+SELECT w, p, t FROM (
+  SELECT w, p, CASE WHEN take THEN best ELSE t END AS t, coalesce(lag(take) OVER (PARTITION BY w ORDER BY p), false) AS gone
+  FROM (SELECT *, hit AND CASE WHEN calm THEN in_run % 2 = 1 ELSE nth = 1 END AS take
+        FROM (SELECT *, sum(hit::int) OVER (PARTITION BY w, run ORDER BY p) AS in_run, sum(hit::int) OVER (PARTITION BY w ORDER BY p) AS nth
+              FROM (SELECT *, sum((NOT hit)::int) OVER (PARTITION BY w ORDER BY p) AS run
+                    FROM (SELECT *, coalesce(id = best, false) AS hit
+                          FROM (SELECT x.w, x.p, x.t, m.id, m.calm, min(m.id) OVER (PARTITION BY x.w) AS best
+                                FROM (SELECT w, p, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS after FROM long_words) x
+                                LEFT JOIN merges m ON m.pair = x.t << 32 | x.after))))))
+WHERE NOT gone
+"""
+
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -60,10 +79,16 @@ class Encoder:
         self.ranks = ranks = read_ranks(path)
         pairs = [(a << 32 | b, i) for t, i in ranks.items() for k in range(1, len(t))
                  if (a := ranks.get(t[:k])) is not None and (b := ranks.get(t[k:])) is not None]
-        self.db = duckdb.connect(config={"threads": 1, "temp_directory": ""})
+        # a token is calm if no merge with it makes an earlier one
+        least: dict[int, int] = {}
+        for p, i in pairs:
+            for part in (p >> 32, p & 0xFFFFFFFF):
+                least[part] = min(least.get(part, i), i)
+        self.db = duckdb.connect(config={"threads": 1, "temp_directory": "", "memory_limit": "512MB"})
         self.db.execute("SET preserve_insertion_order = false")
         for name, table in (
-                ("merges", pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "id": pa.array([i for _, i in pairs], pa.int64())})),
+                ("merges", pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "id": pa.array([i for _, i in pairs], pa.int64()),
+                                    "calm": pa.array([least.get(i, i) >= i for _, i in pairs], pa.bool_())})),
                 ("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int64()), "bytes": pa.array([t.hex() for t in ranks], pa.string())}))):
             self.db.register("given", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
@@ -88,8 +113,13 @@ class Encoder:
         """Ids and decoded bytes of each word."""
         ids: list = [None] * len(words)
         back: list = [None] * len(words)
-        for lo in range(0, len(words), WORDS):
-            part = words[lo:lo + WORDS]
+        long = [i for i, w in enumerate(words) if len(w) > LONG and w not in self.ranks]
+        for i, x in zip(long, self._long([words[i] for i in long])):
+            ids[i], back[i] = x
+        short = [i for i, x in enumerate(ids) if x is None]
+        for lo in range(0, len(short), WORDS):
+            place = short[lo:lo + WORDS]
+            part = [words[i] for i in place]
             whole = [self.ranks.get(w, -1) for w in part]
             # a word that is a token is that token: one row; others start as bytes
             size = np.array([1 if i >= 0 else len(w) for w, i in zip(part, whole)], np.int64)
@@ -100,9 +130,32 @@ class Encoder:
             got = self.db.sql(MERGE).to_arrow_table()
             self.db.unregister("tokens")
             for i, x, y in zip(got["w"].to_pylist(), got["ids"].to_pylist(), got["decoded"].to_pylist()):
-                ids[lo + i], back[lo + i] = x, bytes.fromhex(y)
+                ids[place[i]], back[place[i]] = x, bytes.fromhex(y)
         return ids, back
 
+    def _long(self, words: list[bytes]):
+        """(ids, decoded bytes) of long words."""
+        if not words:
+            return
+        size = np.array([len(w) for w in words], np.int64)
+        w = np.repeat(np.arange(len(words)), size)
+        p = np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
+        self.db.register("tokens", pa.table({"w": w, "p": p, "t": self.byte[np.frombuffer(b"".join(words), np.uint8)]}))
+        self.db.execute("CREATE OR REPLACE TABLE long_words AS SELECT * FROM tokens")
+        self.db.unregister("tokens")
+        n = len(w)
+        while True:
+            self.db.execute(ROUND)
+            self.db.execute("CREATE OR REPLACE TABLE long_words AS SELECT * FROM long_next")
+            now = self.db.execute("SELECT count(*) FROM long_words").fetchone()[0]
+            if now == n:
+                break
+            n = now
+        rows = self.db.execute("SELECT w, list(t ORDER BY p), string_agg(bytes, '' ORDER BY p) FROM long_words JOIN vocabulary ON id = t GROUP BY w ORDER BY w").fetchall()
+        self.db.execute("DROP TABLE long_words; DROP TABLE long_next")
+        for _, x, y in rows:
+            yield x, bytes.fromhex(y)
+
     def _numbers(self, buf: np.ndarray, st: np.ndarray) -> np.ndarray:
         """Number of each word of a batch among the known words."""
         end = np.append(st[1:], len(buf))
@@ -129,16 +182,16 @@ class Encoder:
         ends = np.concatenate([[0], np.cumsum(size)])
         return pool[np.repeat(at[n] - ends[:-1], size) + np.arange(ends[-1])], ends
 
-    def encode(self, col) -> pa.StructArray:
-        """ids: list of int32, decoded: binary, of each text."""
+    def encode(self, col, decode: bool = True) -> pa.StructArray:
+        """ids: list of int32 and, if asked for, decoded: binary, of each text."""
         ids, raw, id_end, raw_end = [], [], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
-        for _, buf, offs in tb.slices(col, 2 * tb.SLICE):
+        for _, buf, offs in tb.slices(col, (1 << 20) - 1):
             st = pretoken.starts(buf, offs)
             if len(st):
                 n = self._numbers(buf, st)
                 first = np.searchsorted(st, offs)
                 i, i_ends = self._gather(self.ids, self.id_at, n)
-                r, r_ends = self._gather(self.raw, self.raw_at, n)
+                r, r_ends = self._gather(self.raw, self.raw_at, n) if decode else (np.empty(0, np.uint8), np.zeros(len(n) + 1, np.int64))
             else:
                 first = np.zeros(len(offs), np.int64)
                 i, r, i_ends, r_ends = np.empty(0, np.int32), np.empty(0, np.uint8), first, first
@@ -148,9 +201,22 @@ class Encoder:
             raw_end.append(raw_end[-1][-1] + r_ends[first[1:]])
         cat = lambda x, d: np.concatenate(x) if x else np.empty(0, d)
         at = pa.array(cat(id_end, np.int64), pa.int32())
+        lists = pa.ListArray.from_arrays(at, pa.array(cat(ids, np.int32)))
+        if not decode:
+            return lists
         data = cat(raw, np.uint8)
         binary = pa.Array.from_buffers(pa.binary(), len(col), [None, pa.py_buffer(cat(raw_end, np.int64).astype(np.int32)), pa.py_buffer(data)])
-        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(at, pa.array(cat(ids, np.int32))), binary], ["ids", "decoded"])
+        return pa.StructArray.from_arrays([lists, binary], ["ids", "decoded"])
+
+
+def encode(df: DataFrame, ranks: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """Add the token ids (array of int) of every text."""
+    @F.arrow_udf("array<int>")
+    def ids_of(t: pa.Array) -> pa.Array:
+        return Encoder.of(ranks).encode(t, decode=False)
+
+    keep = [F.col(f"`{c}`") for c in df.columns if c != ids]
+    return df.select(*keep, ids_of(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias(ids))
 
 
 def encode_decode(df: DataFrame, ranks: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
