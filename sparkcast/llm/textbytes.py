@@ -9,10 +9,12 @@ such a pass: it cuts an Arrow column into runs of whole texts of about
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
-SLICE = 512 << 10
+SLICE = (512 << 10) - 1
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
@@ -68,6 +70,20 @@ def column(col) -> tuple[np.ndarray, np.ndarray]:
     return buf, (o - o[0] if len(col) else np.zeros(1, np.int64))
 
 
+def release():
+    """Give memory that is free in this process back to the system: Python
+    workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):       # another C library
+    _trim = None
+
+
 def slices(col, limit: int = SLICE):
     """(first row, bytes, offsets) for runs of whole texts of about ``limit`` bytes."""
     buf, offs = column(col)
@@ -76,6 +92,7 @@ def slices(col, limit: int = SLICE):
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, "right")) - 1)
         yield i, buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i]
         i = j
+    release()
 
 
 _SPACE = np.zeros(256, bool)

@@ -76,7 +76,7 @@ class Counter:
     def texts(self, col) -> np.ndarray:
         """Tokens of each text of an Arrow string or binary array."""
         out = np.zeros(len(col), np.int64)
-        for first, buf, offs in tb.slices(col, 4 * tb.SLICE):
+        for first, buf, offs in tb.slices(col, (1 << 20) - 1):
             marks = [m.span() for m in self.special.finditer(buf.tobytes())] if self.special else []
             marks = [m for m in marks if np.searchsorted(offs, m[0], "right") == np.searchsorted(offs, m[1], "left")]
             if marks:

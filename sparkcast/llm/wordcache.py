@@ -11,7 +11,7 @@ import numpy as np
 
 
 class WordCache:
-    def __init__(self, limit: int = 2_000_000):
+    def __init__(self, limit: int = 1_000_000):
         self.limit = limit
         self.clear()
 
