@@ -431,6 +431,12 @@ def _blocks(sets: DataFrame, num: int, den: int) -> DataFrame:
                   .filter("lo <> hi").select("block", "k").distinct())
     fresh = sets.filter("size(deal) > 0")
     keys = fresh.select(short, "key", "n").distinct()
+    # a class can only link to one of a size within the ratio: if the next
+    # smaller and the next larger of a block aren't, none is
+    by_size = Window.partitionBy("block").orderBy("n", "k")
+    near = (F.col("n") * num <= F.lag("n").over(by_size) * den) | (F.lead("n").over(by_size) * num <= F.col("n") * den)
+    sized = shared.join(keys.select("k", "n"), "k").withColumn("near", F.coalesce(near, F.lit(False)))
+    shared = save(sized.filter("near").select("block", "k").distinct())
     blocks = save(_prune(shared).join(keys, "k").select("block", "key", "n"))
     small, large = _parts(blocks)
     bitmaps = maybe_in(fresh.select("key", "n", "bitmap"), F.col("key"), blocks, "key").groupBy("key", "n").agg(F.first("bitmap").alias("bitmap"))
