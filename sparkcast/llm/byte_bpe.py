@@ -63,6 +63,7 @@ WHERE NOT gone
 """
 
 _encoders: dict[str, "Encoder"] = {}
+tb.kept.append(_encoders)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

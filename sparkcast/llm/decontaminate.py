@@ -189,6 +189,7 @@ def _overlap(grams: dict[int, np.ndarray], w: np.ndarray, part: tuple[int, np.nd
 
 def _search(shared, window: int):
     def run(batches):
+        tb.begin()
         index = shared.value
         for b in batches:
             rows, item, score, q, a = [], [], [], [], []

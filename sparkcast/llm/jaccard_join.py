@@ -67,6 +67,7 @@ def _count_tokens(k: int):
     """Bucket counts of a partition's shingles, as PARTS compressed rows."""
     def run(batches):
         import zstandard
+        tb.begin()
         total = np.zeros(BUCKETS, np.uint32)
         for b in batches:
             for _, buf, offs in tb.slices(b.column(0), 4 * tb.SLICE):
@@ -128,6 +129,7 @@ def _describe(k: int, num: int, den: int, ranks):
     """Per row: set size, class key and, once per class and partition, the
     tokens to be dealt by and the token bitmap."""
     def run(batches):
+        tb.begin()
         table = np.frombuffer(ranks.value, np.uint8)
         seen: set[bytes] = set()
         for b in batches:

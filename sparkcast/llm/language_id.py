@@ -56,6 +56,7 @@ def _codes(buf: np.ndarray, offs: np.ndarray):
 
 def _count(batches):
     """(language, n-gram number, count) of a partition."""
+    tb.begin()
     total: dict[str, np.ndarray] = {}
     for b in batches:
         langs = np.array(b.column("_lang").to_pylist(), object)

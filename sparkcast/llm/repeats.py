@@ -88,6 +88,7 @@ def _segments(col, size: int):
 def _find_runs(size: int, gram: int):
     """One row a text and batch: its runs as arrays."""
     def run(batches):
+        tb.begin()
         for b in batches:
             out: list = []
             for first, shift, buf, offs in _segments(b.column("_text"), size):

@@ -10,6 +10,7 @@ such a pass: it cuts an Arrow column into runs of whole texts of about
 from __future__ import annotations
 
 import ctypes
+import gc
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +85,20 @@ except (OSError, AttributeError):       # another C library
     _trim = None
 
 
+#: What operators keep in a process from task to task (vocabularies, known words).
+kept: list[dict] = []
+
+
+def begin():
+    """Called where another operator's task begins: what earlier stages kept
+    in this process goes, so that it doesn't add up over a pipeline."""
+    for k in kept:
+        if k:
+            k.clear()
+            gc.collect()
+    release()
+
+
 def slices(col, limit: int = SLICE):
     """(first row, bytes, offsets) for runs of whole texts of about ``limit`` bytes."""
     buf, offs = column(col)

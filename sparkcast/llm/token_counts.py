@@ -34,6 +34,7 @@ from .wordcache import WordCache, distinct
 CHUNK = 64 << 10
 
 _counters: dict[str, "Counter"] = {}
+tb.kept.append(_counters)
 
 
 class Counter:
