@@ -13,8 +13,11 @@ found; each round expands up to ``EXPAND`` unexpanded ones (a join of the
 frontier with the graph, whose rows carry the neighbours' codes) and what is
 nearer than the beam's farthest is merged in, until all of the beam is
 expanded. Queries that are rows of the index start at their own node, others at
-``PIVOTS`` fixed nodes. They run in blocks of ``QUERIES``, which bounds the
-frontier that is broadcast.
+``PIVOTS`` fixed nodes. They run in blocks of ``QUERIES`` (fewer as the beam
+grows), which bounds the frontier that is broadcast.
+
+NN-descent runs until at most ``SETTLED`` of the edges change; ``settings`` lets
+degree, trees and beam follow the number of nodes.
 
 Graph and walk compare vectors by 8-bit codes with a scale per vector; the
 nearest ``RERANK`` of a beam are measured in double precision on the vectors
@@ -36,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .util import save
 
 DEGREE = 24
-ROUNDS = 6              # of NN-descent, at most
+ROUNDS = 60             # of NN-descent: a safety bound, it stops when settled
 SETTLED = 0.01          # share of edges that changed, below which it stops
 TREES = 2
 BLOCK = 256
@@ -45,6 +48,17 @@ EXPAND = 48
 PIVOTS = 16
 RERANK = 64
 QUERIES = 20_000
+SMALL = 25_000          # nodes up to which DEGREE, TREES and BEAM hold as they are
+
+
+def settings(count: int) -> dict[str, int]:
+    """Degree, trees, beam and expansions for a graph of ``count`` nodes: beam
+    and expansions grow with the square root of ``count / SMALL``, degree by 4
+    and trees by one a doubling."""
+    more = max(1.0, count / SMALL)
+    beam = int(np.ceil(BEAM * more ** 0.5))
+    doublings = int(np.ceil(np.log2(more)))
+    return {"degree": DEGREE + 4 * doublings, "trees": TREES + doublings, "beam": beam, "expand": -(-EXPAND * beam // BEAM)}
 
 
 # --- vectors ---------------------------------------------------------------
@@ -123,11 +137,12 @@ def _nearest_in_block(degree: int):
 
 
 def _local_join():
-    """All pairs of the neighbours that meet at a node, as far as nearer than an end's farthest."""
+    """Pairs of the neighbours that meet at a node, as far as nearer than an end's
+    farthest. Two that met there in the round before were compared then."""
     def solve(t: pa.Table):
-        n, far = t["u"].to_numpy(), t["far"].to_numpy()
+        n, far, new = t["u"].to_numpy(), t["far"].to_numpy(), t["new"].to_numpy()
         d = _between(*(2 * [_matrix(t["code"].to_pylist(), t["scale"].to_numpy())]))
-        a, b = np.nonzero(d < far[:, None])
+        a, b = np.nonzero((d < far[:, None]) & (new[:, None] | new[None]))
         ok = n[a] != n[b]
         a, b = a[ok], b[ok]
         return n[a], n[b], d[a, b]
@@ -141,20 +156,20 @@ def _nearest(edges: DataFrame, degree: int) -> DataFrame:
     return once.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= degree).drop("r")
 
 
-def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
+def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, trees: int = TREES) -> DataFrame:
     """(a, b, d): edges of the neighbour graph over nodes (node, code, scale)."""
     count = nodes.count()
     bits = max(0, int(np.ceil(np.log2(max(1, count / BLOCK)))))
     first = nodes.limit(1).collect()
     dim = len(first[0]["code"]) if first else 1
-    planes = np.random.default_rng(11).standard_normal((TREES, bits, dim)).astype(np.float32)
+    planes = np.random.default_rng(11).standard_normal((trees, bits, dim)).astype(np.float32)
 
     def leaves(batches):
         for b in batches:
             x = _matrix(b.column("code").to_pylist(), b.column("scale").to_numpy()) if b.num_rows else np.empty((0, dim), np.float32)
-            for t in range(TREES):
+            for t in range(trees):
                 leaf = ((x @ planes[t].T > 0) @ (1 << np.arange(bits))).astype(np.int64) if bits else np.zeros(len(x), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf * TREES + t), *(b.column(c) for c in ("node", "code", "scale"))], ["leaf", "node", "code", "scale"])
+                yield pa.RecordBatch.from_arrays([pa.array(leaf * trees + t), *(b.column(c) for c in ("node", "code", "scale"))], ["leaf", "node", "code", "scale"])
 
     cut = save(nodes.mapInArrow(leaves, "leaf long, node long, code binary, scale float"))
     # a leaf that holds more than its share (near copies) is dealt to several blocks
@@ -163,10 +178,15 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) ->
     start = (blocks.select("block", "node", "code", "scale").repartition("block").sortWithinPartitions("block")
              .mapInArrow(_nearest_in_block(degree), "a long, b long, d float"))
     edges = save(_nearest(start, degree))
+    met = None
     for _ in range(rounds):
         far = edges.groupBy("a").agg(F.when(F.count("*") >= degree, F.max("d")).otherwise(F.lit(float("inf"))).cast("float").alias("far"))
         to = edges.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("d", "a"))).filter(F.col("r") <= degree)
         meet = (edges.select(F.col("a").alias("m"), F.col("b").alias("u")).unionByName(to.select(F.col("b").alias("m"), F.col("a").alias("u"))).distinct())
+        meet = meet.withColumn("new", F.lit(True)) if met is None else meet.join(met.select("m", "u", F.lit(False).alias("new")), ["m", "u"], "left").fillna(True, ["new"])
+        met = meet = save(meet)
+        # where nobody is new, all pairs were compared
+        meet = meet.join(meet.filter("new").select("m").distinct(), "m", "left_semi")
         known = nodes.join(far, nodes.node == far.a, "left").select(F.col("node").alias("u"), "code", "scale", F.coalesce("far", F.lit(float("inf")).cast("float")).alias("far"))
         found = (meet.join(known, "u").repartition("m").sortWithinPartitions("m").mapInArrow(_local_join(), "a long, b long, d float")
                  .groupBy("a", "b").agg(F.min("d").alias("d")))
@@ -209,7 +229,7 @@ def _expand(shared):
     return run
 
 
-def _walk(queries: list, graph: DataFrame, nodes: DataFrame, pivots: list, beam: int) -> DataFrame:
+def _walk(queries: list, graph: DataFrame, nodes: DataFrame, pivots: list, beam: int, expand: int) -> DataFrame:
     """(q, node, d) of the beams of a block of queries (q, code, scale)."""
     spark = nodes.sparkSession
     x = _matrix([bytes(r["code"]) for r in queries], [r["scale"] for r in queries])
@@ -222,11 +242,11 @@ def _walk(queries: list, graph: DataFrame, nodes: DataFrame, pivots: list, beam:
     order = Window.partitionBy("q").orderBy("d", "node")
     while True:
         full = state.groupBy("q").agg(F.when(F.count("*") >= beam, F.max("d")).otherwise(F.lit(float("inf"))).cast("float").alias("far"))
-        frontier = (state.filter("not done").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= EXPAND).drop("r", "d", "done").join(full, "q"))
+        frontier = (state.filter("not done").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= expand).drop("r", "d", "done").join(full, "q"))
         frontier = save(frontier)
         if not frontier.take(1):
             return state
-        # bounded: QUERIES * EXPAND rows at most
+        # bounded: QUERIES * EXPAND rows at most, as there are fewer queries the more are expanded
         at = frontier.groupBy("node").agg(F.collect_list("q").alias("qs"), F.collect_list("far").alias("fars"))
         found = graph.join(F.broadcast(at), "node").select("qs", "fars", "near", "codes", "scales").mapInArrow(_expand(shared), "q long, node long, d float")
         seen = state.join(frontier.select("q", "node", F.lit(True).alias("now")), ["q", "node"], "left").select("q", "node", "d", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
@@ -238,9 +258,10 @@ def _exact(a: str, b: str) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: int = 10, degree: int = DEGREE, beam: int = BEAM) -> DataFrame:
+def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: int = 10, degree: int | None = None, beam: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest rows of ``df`` found for
-    each row of ``queries`` (same columns), by Euclidean distance."""
+    each row of ``queries`` (same columns), by Euclidean distance. Degree and
+    beam follow the number of distinct vectors (``settings``) unless given."""
     rows = save(vectors(df, id_col, vector))
     asked = save(vectors(queries, id_col, vector).withColumnRenamed("node", "q"))
     if not rows.take(1) or not asked.take(1):
@@ -250,18 +271,20 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: st
                .select("node", "id", "r", F.when(F.col("r") == 1, F.col("v")).alias("v")))
     distinct = ids.filter("r = 1").select("node", "v")
     nodes = save(distinct.withColumn("c", _code("v")).select("node", "c.code", "c.scale"))
-    edges = build_graph(nodes, degree)
+    rule = settings(nodes.count())
+    degree, beam = degree or rule["degree"], beam or rule["beam"]
+    edges = build_graph(nodes, degree, trees=rule["trees"])
     graph = save(_adjacency(edges, nodes, degree))
     pivots = nodes.orderBy(F.xxhash64("node")).limit(PIVOTS).collect()
     ask = asked.groupBy("q").agg(F.first("v").alias("v")).withColumn("c", _code("v")).select("q", "c.code", "c.scale")
     ask = save(ask)
-    blocks = max(1, -(-ask.count() // QUERIES))
+    blocks = max(1, -(-ask.count() * rule["expand"] // (QUERIES * EXPAND)))
     beams = None
     for i in range(blocks):
         block = ask.filter(F.pmod(F.xxhash64("q", F.lit(2)), F.lit(blocks)) == i).orderBy("q").collect()
         if not block:
             continue
-        part = _walk(block, graph, nodes, pivots, beam)
+        part = _walk(block, graph, nodes, pivots, beam, rule["expand"])
         beams = part if beams is None else beams.unionByName(part)
     top = beams.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "node"))).filter(F.col("r") <= RERANK).select("q", "node")
     # a query's own vector is a candidate for its other holders

@@ -144,3 +144,32 @@ def test_recall_on_table(spark):
     for r in Q.op3_nn_descent(spark, SF).collect():
         got[r.query_id].add(r.vec_id)
     assert sum(len(got[q] & {j for _, j in w}) for q, w in want.items()) / sum(map(len, want.values())) >= 0.95
+
+
+def uniform(spark, n, dim=32):
+    x = np.random.default_rng(5).standard_normal((n, dim))
+    return x, spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+
+
+def test_graph_settles(spark, monkeypatch):
+    """Rounds go on until few edges change, however many that takes."""
+    _, df = uniform(spark, 3000)
+    nodes = N.save(N.vectors(df, "vec_id", "embedding").withColumn("c", N._code("v")).select("node", "c.*"))
+    made, save = [], N.save
+
+    def spy(x):
+        out = save(x)
+        if out.columns == ["a", "b", "d"]:
+            made.append(out)
+        return out
+    monkeypatch.setattr(N, "save", spy)
+    monkeypatch.setattr(N, "BLOCK", 8)
+    N.build_graph(nodes, 6)
+    last, before = ({(r.a, r.b) for r in x.collect()} for x in (made[-1], made[-2]))
+    assert len(made) < N.ROUNDS and len(last - before) <= N.SETTLED * len(last)
+
+
+def test_settings_follow_the_row_count():
+    few, many, more = (N.settings(n) for n in (N.SMALL, 51_300, 205_000))
+    assert (few["degree"], few["trees"], few["beam"], few["expand"]) == (N.DEGREE, N.TREES, N.BEAM, N.EXPAND)
+    assert all(few[k] < many[k] < more[k] for k in few) and more["beam"] >= 2 * N.BEAM
