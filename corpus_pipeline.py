@@ -62,7 +62,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encode(docs, public_tokenizers.path(RANKS)).select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
-PASSAGE = 256           # bytes; passages of over 50 words are longer
+PASSAGE = 101           # bytes; 51 words of one letter and the blanks between them: no passage of over 50 words is shorter
 
 STAGES = [("language", language), ("near_copies", near_copies), ("passages", passages), ("benchmark", benchmark), ("tokens", tokens)]
 

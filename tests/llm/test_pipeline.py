@@ -71,3 +71,14 @@ def test_stage_takes_awkward_and_empty(spark, name):
     assert out.count() <= len(AWKWARD) + 2 and stage(spark, df.limit(0), SF).count() == 0
     if name != "tokens":
         assert out.columns == COLUMNS and out.dtypes == df.dtypes
+
+
+@pytest.mark.parametrize("word", ["a", "to"])
+def test_passage_of_51_short_words_goes(spark, word):
+    """Planted in the middle of two texts, it stays in the first only."""
+    planted = " ".join(word[:-1] + chr(97 + i % 26) if len(word) > 1 else chr(97 + i * i % 26) for i in range(51))
+    around = [[" ".join(f"before{i}in{n}" for i in range(60)), " ".join(f"{n}after{i}" for i in range(60))] for n in (1, 2)]
+    docs = spark.createDataFrame([(n, f"{b} {planted} {a}", "en", "s", 0) for n, (b, a) in enumerate(around)], "doc_id long, text string, lang string, source string, n_chars long")
+    after = rows(dict(C.STAGES)["passages"](spark, docs, SF))
+    assert planted in after[0] and planted not in after[1]
+    assert all(part in after[n] for n in (0, 1) for part in around[n])
