@@ -19,9 +19,13 @@ grows), which bounds the frontier that is broadcast.
 NN-descent runs until at most ``SETTLED`` of the edges change; ``settings`` lets
 degree, trees and beam follow the number of nodes.
 
-Graph and walk compare vectors by 8-bit codes with a scale per vector; the
-nearest ``RERANK`` of a beam are measured in double precision on the vectors
-as given, with equal vectors listed by id.
+Graph and walk compare vectors by 8-bit codes with a scale per vector. Near
+copies, whose codes say little about their order, carry the vector itself behind
+the code (the first blocks find them): pairs of them with a code distance of at
+most ``CLOSE`` error bounds are measured on the vectors. Of a beam, the nearest
+``RERANK`` and all whose code distance is within the error bounds of the k-th
+are measured in double precision on the vectors as given, with equal vectors
+listed by id.
 
 Defined results: vectors that are null, zero, hold a null or non-finite
 component or don't have the commonest length (ties: the longer) take no part,
@@ -46,7 +50,8 @@ BLOCK = 256
 BEAM = 400
 EXPAND = 48
 PIVOTS = 16
-RERANK = 64
+RERANK = 64             # of a beam, at least
+CLOSE = 4               # code distances up to so many error bounds are measured on the vectors where both ends carry them
 QUERIES = 20_000
 SMALL = 25_000          # nodes up to which DEGREE, TREES and BEAM hold as they are
 
@@ -76,28 +81,47 @@ def vectors(df: DataFrame, id_col: str, vector: str) -> DataFrame:
 
 
 def _codes(v: pa.Array) -> pa.Array:
-    """8-bit code of each vector and the scale that gives it back."""
+    """8-bit code of each vector with the vector behind it, the scale that gives
+    the code back, and a bound of its error (with that of single precision)."""
     x = v.flatten().to_numpy().reshape(len(v), -1) if len(v) else np.empty((0, 1))
     scale = np.maximum(np.abs(x).max(1), 1e-300) / 127
     q = np.round(x / scale[:, None]).astype(np.int8)
-    return pa.StructArray.from_arrays([pa.array([r.tobytes() for r in q], pa.binary()), pa.array(scale.astype(np.float32))], ["code", "scale"])
+    err = np.sqrt(((x - q * scale.astype(np.float32).astype(float)[:, None]) ** 2).sum(1)) + 5e-4 * np.sqrt((x * x).sum(1))
+    return pa.StructArray.from_arrays([pa.array([c.tobytes() + r.tobytes() for c, r in zip(q, x)], pa.binary()), pa.array(scale.astype(np.float32)), pa.array(err)],
+                                      ["code", "scale", "err"])
 
 
 def _code(vector: str) -> Column:
-    return F.arrow_udf(_codes, "code binary, scale float")(vector)
+    return F.arrow_udf(_codes, "code binary, scale float, err double")(vector)
 
 
-def _matrix(codes: list, scales) -> np.ndarray:
-    """Vectors of codes, one a row, in single precision."""
-    if not codes:
-        return np.empty((0, 1), np.float32)
-    return np.frombuffer(b"".join(codes), np.int8).reshape(len(codes), -1).astype(np.float32) * np.asarray(scales, np.float32)[:, None]
+class Points:
+    """Vectors of codes, one a row, in single precision, and the vectors that some carry."""
 
+    def __init__(self, codes: list, scales, dim: int):
+        s = np.asarray(scales, np.float32)
+        self.x = np.frombuffer(b"".join(c[:dim] for c in codes), np.int8).reshape(len(codes), dim).astype(np.float32) * s[:, None]
+        self.bound = s * (0.5 * dim ** 0.5)
+        self.has = np.array([len(c) > dim for c in codes], bool)
+        self.at = np.cumsum(self.has) - 1
+        self.v = np.frombuffer(b"".join(c[dim:] for c in codes), np.float64).reshape(-1, dim)
 
-def _between(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Squared distances of all rows of x and y."""
-    d = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T
-    return np.maximum(d, 0)
+    def __getitem__(self, rows):
+        out = object.__new__(Points)
+        out.x, out.bound, out.has, out.at, out.v = self.x[rows], self.bound[rows], self.has[rows], self.at[rows], self.v
+        return out
+
+
+def _between(x: Points, y: Points) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of all rows of x and y; whether the codes are near copies'."""
+    d = (x.x * x.x).sum(1)[:, None] + (y.x * y.x).sum(1)[None] - 2 * x.x @ y.x.T
+    d = np.maximum(d, 0)
+    close = d <= (CLOSE * (x.bound[:, None] + y.bound[None])) ** 2
+    a, b = np.nonzero(close & x.has[:, None] & y.has[None])
+    for lo in range(0, len(a), 1 << 16):        # bounded memory
+        i, j = a[lo:lo + (1 << 16)], b[lo:lo + (1 << 16)]
+        d[i, j] = ((x.v[x.at[i]] - y.v[y.at[j]]) ** 2).sum(1)
+    return d, close
 
 
 # --- graph -----------------------------------------------------------------
@@ -125,23 +149,23 @@ def _gathered(key: str, solve, out: list[str], types: list):
     return run
 
 
-def _nearest_in_block(degree: int):
+def _nearest_in_block(degree: int, dim: int):
     def solve(t: pa.Table):
         n = t["node"].to_numpy()
-        d = _between(*(2 * [_matrix(t["code"].to_pylist(), t["scale"].to_numpy())]))
+        d, close = _between(*(2 * [Points(t["code"].to_pylist(), t["scale"].to_numpy(), dim)]))
         np.fill_diagonal(d, np.inf)
         k = min(degree, len(n) - 1)
         best = np.argpartition(d, k - 1, axis=1)[:, :k] if 0 < k < len(n) - 1 else np.argsort(d, 1)[:, :k]
-        return np.repeat(n, k), n[best.ravel()], np.take_along_axis(d, best, 1).ravel()
-    return _gathered("block", solve, ["a", "b", "d"], [pa.int64(), pa.int64(), pa.float32()])
+        return np.repeat(n, k), n[best.ravel()], np.take_along_axis(d, best, 1).ravel(), np.take_along_axis(close, best, 1).ravel()
+    return _gathered("block", solve, ["a", "b", "d", "close"], [pa.int64(), pa.int64(), pa.float32(), pa.bool_()])
 
 
-def _local_join():
+def _local_join(dim: int):
     """Pairs of the neighbours that meet at a node, as far as nearer than an end's
     farthest. Two that met there in the round before were compared then."""
     def solve(t: pa.Table):
         n, far, new = t["u"].to_numpy(), t["far"].to_numpy(), t["new"].to_numpy()
-        d = _between(*(2 * [_matrix(t["code"].to_pylist(), t["scale"].to_numpy())]))
+        d, _ = _between(*(2 * [Points(t["code"].to_pylist(), t["scale"].to_numpy(), dim)]))
         a, b = np.nonzero((d < far[:, None]) & (new[:, None] | new[None]))
         ok = n[a] != n[b]
         a, b = a[ok], b[ok]
@@ -156,17 +180,18 @@ def _nearest(edges: DataFrame, degree: int) -> DataFrame:
     return once.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= degree).drop("r")
 
 
-def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, trees: int = TREES) -> DataFrame:
-    """(a, b, d): edges of the neighbour graph over nodes (node, code, scale)."""
+def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
+    """(a, b, d): edges of the neighbour graph over nodes (node, code, scale),
+    whose codes come with the vector; and the nodes, where only near copies keep it."""
     count = nodes.count()
     bits = max(0, int(np.ceil(np.log2(max(1, count / BLOCK)))))
     first = nodes.limit(1).collect()
-    dim = len(first[0]["code"]) if first else 1
+    dim = len(first[0]["code"]) // 9 if first else 1
     planes = np.random.default_rng(11).standard_normal((trees, bits, dim)).astype(np.float32)
 
     def leaves(batches):
         for b in batches:
-            x = _matrix(b.column("code").to_pylist(), b.column("scale").to_numpy()) if b.num_rows else np.empty((0, dim), np.float32)
+            x = Points(b.column("code").to_pylist(), b.column("scale").to_numpy(), dim).x
             for t in range(trees):
                 leaf = ((x @ planes[t].T > 0) @ (1 << np.arange(bits))).astype(np.int64) if bits else np.zeros(len(x), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(leaf * trees + t), *(b.column(c) for c in ("node", "code", "scale"))], ["leaf", "node", "code", "scale"])
@@ -175,9 +200,12 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, tr
     # a leaf that holds more than its share (near copies) is dealt to several blocks
     sizes = cut.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(2 * BLOCK)).alias("parts"))
     blocks = cut.join(sizes, "leaf").withColumn("block", F.xxhash64("leaf", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts"))))
-    start = (blocks.select("block", "node", "code", "scale").repartition("block").sortWithinPartitions("block")
-             .mapInArrow(_nearest_in_block(degree), "a long, b long, d float"))
-    edges = save(_nearest(start, degree))
+    start = save(blocks.select("block", "node", "code", "scale").repartition("block").sortWithinPartitions("block")
+                 .mapInArrow(_nearest_in_block(degree, dim), "a long, b long, d float, close boolean"))
+    near = start.filter("close")
+    near = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct().withColumn("near", F.lit(True))
+    nodes = save(nodes.join(near, "node", "left").withColumn("code", F.when(F.col("near"), F.col("code")).otherwise(F.substring("code", 1, dim))).drop("near"))
+    edges = save(_nearest(start.drop("close"), degree))
     met = None
     for _ in range(rounds):
         far = edges.groupBy("a").agg(F.when(F.count("*") >= degree, F.max("d")).otherwise(F.lit(float("inf"))).cast("float").alias("far"))
@@ -188,14 +216,14 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, tr
         # where nobody is new, all pairs were compared
         meet = meet.join(meet.filter("new").select("m").distinct(), "m", "left_semi")
         known = nodes.join(far, nodes.node == far.a, "left").select(F.col("node").alias("u"), "code", "scale", F.coalesce("far", F.lit(float("inf")).cast("float")).alias("far"))
-        found = (meet.join(known, "u").repartition("m").sortWithinPartitions("m").mapInArrow(_local_join(), "a long, b long, d float")
+        found = (meet.join(known, "u").repartition("m").sortWithinPartitions("m").mapInArrow(_local_join(dim), "a long, b long, d float")
                  .groupBy("a", "b").agg(F.min("d").alias("d")))
         new = save(_nearest(edges.unionByName(found), degree))
         same, total = edges.join(new, ["a", "b"], "left_semi").count(), new.count()
         edges = new
         if total - same <= SETTLED * total:
             break
-    return edges
+    return edges, nodes
 
 
 # --- search ----------------------------------------------------------------
@@ -209,7 +237,7 @@ def _adjacency(edges: DataFrame, nodes: DataFrame, degree: int) -> DataFrame:
             .select("node", F.col("x.b").alias("near"), F.col("x.code").alias("codes"), F.col("x.scale").alias("scales")))
 
 
-def _expand(shared):
+def _expand(shared, dim: int):
     """Frontier rows with their neighbours -> (q, node, d) of those near enough, each once a task batch."""
     def run(batches):
         at, x = shared.value
@@ -217,7 +245,7 @@ def _expand(shared):
             q, near, d = [], [], []
             for qs, fars, n, codes, scales in zip(*(b.column(c).to_pylist() for c in ("qs", "fars", "near", "codes", "scales"))):
                 i = [at[k] for k in qs]
-                dist = _between(x[i], _matrix(codes, scales))
+                dist, _ = _between(x[i], Points(codes, scales, dim))
                 r, c = np.nonzero(dist < np.array(fars)[:, None])
                 q.append(np.array(qs)[r]), near.append(np.array(n)[c]), d.append(dist[r, c])
             cat = lambda y, k: np.concatenate(y) if y else np.empty(0, k)
@@ -229,12 +257,12 @@ def _expand(shared):
     return run
 
 
-def _walk(queries: list, graph: DataFrame, nodes: DataFrame, pivots: list, beam: int, expand: int) -> DataFrame:
+def _walk(queries: list, graph: DataFrame, nodes: DataFrame, pivots: list, beam: int, expand: int, dim: int) -> DataFrame:
     """(q, node, d) of the beams of a block of queries (q, code, scale)."""
     spark = nodes.sparkSession
-    x = _matrix([bytes(r["code"]) for r in queries], [r["scale"] for r in queries])
+    x = Points([bytes(r["code"]) for r in queries], [r["scale"] for r in queries], dim)
     shared = spark.sparkContext.broadcast(({r["q"]: i for i, r in enumerate(queries)}, x))
-    start = _between(x, _matrix([bytes(r["code"]) for r in pivots], [r["scale"] for r in pivots]))
+    start, _ = _between(x, Points([bytes(r["code"]) for r in pivots], [r["scale"] for r in pivots], dim))
     rows = [(r["q"], p["node"], float(start[i, j])) for i, r in enumerate(queries) for j, p in enumerate(pivots) if p["node"] != r["q"]]
     own = nodes.join(F.broadcast(spark.createDataFrame([(r["q"],) for r in queries], "q long")), F.col("node") == F.col("q"))
     state = save(spark.createDataFrame(rows, "q long, node long, d float").unionByName(own.select("q", "node", F.lit(0.0).cast("float").alias("d")))
@@ -248,7 +276,7 @@ def _walk(queries: list, graph: DataFrame, nodes: DataFrame, pivots: list, beam:
             return state
         # bounded: QUERIES * EXPAND rows at most, as there are fewer queries the more are expanded
         at = frontier.groupBy("node").agg(F.collect_list("q").alias("qs"), F.collect_list("far").alias("fars"))
-        found = graph.join(F.broadcast(at), "node").select("qs", "fars", "near", "codes", "scales").mapInArrow(_expand(shared), "q long, node long, d float")
+        found = graph.join(F.broadcast(at), "node").select("qs", "fars", "near", "codes", "scales").mapInArrow(_expand(shared, dim), "q long, node long, d float")
         seen = state.join(frontier.select("q", "node", F.lit(True).alias("now")), ["q", "node"], "left").select("q", "node", "d", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
         merged = (seen.unionByName(found.withColumn("done", F.lit(False))).groupBy("q", "node").agg(F.min("d").alias("d"), F.max("done").alias("done")))
         state = save(merged.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= beam).drop("r"))
@@ -270,13 +298,15 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: st
     ids = save(rows.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("id"))).filter(F.col("r") <= k + 1)
                .select("node", "id", "r", F.when(F.col("r") == 1, F.col("v")).alias("v")))
     distinct = ids.filter("r = 1").select("node", "v")
-    nodes = save(distinct.withColumn("c", _code("v")).select("node", "c.code", "c.scale"))
+    nodes = save(distinct.withColumn("c", _code("v")).select("node", "c.code", "c.scale", "c.err"))
     rule = settings(nodes.count())
     degree, beam = degree or rule["degree"], beam or rule["beam"]
-    edges = build_graph(nodes, degree, trees=rule["trees"])
+    dim = len(nodes.first()["code"]) // 9
+    errors = nodes.select("node", "err")
+    edges, nodes = build_graph(nodes.drop("err"), degree, trees=rule["trees"])
     graph = save(_adjacency(edges, nodes, degree))
     pivots = nodes.orderBy(F.xxhash64("node")).limit(PIVOTS).collect()
-    ask = asked.groupBy("q").agg(F.first("v").alias("v")).withColumn("c", _code("v")).select("q", "c.code", "c.scale")
+    ask = asked.groupBy("q").agg(F.first("v").alias("v")).withColumn("c", _code("v")).select("q", "c.code", "c.scale", "c.err")
     ask = save(ask)
     blocks = max(1, -(-ask.count() * rule["expand"] // (QUERIES * EXPAND)))
     beams = None
@@ -284,9 +314,13 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: st
         block = ask.filter(F.pmod(F.xxhash64("q", F.lit(2)), F.lit(blocks)) == i).orderBy("q").collect()
         if not block:
             continue
-        part = _walk(block, graph, nodes, pivots, beam, rule["expand"])
+        part = _walk(block, graph, nodes, pivots, beam, rule["expand"], dim)
         beams = part if beams is None else beams.unionByName(part)
-    top = beams.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "node"))).filter(F.col("r") <= RERANK).select("q", "node")
+    # the k-th nearest besides the query's own vector is at most ``reach`` away
+    found = (beams.join(errors, "node").join(ask.select("q", F.col("err").alias("q_err")), "q").withColumn("s", F.sqrt(F.col("d").cast("double")))
+             .withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "node")))
+             .withColumn("reach", F.max(F.when(F.col("r") <= k + 1, F.col("s") + F.col("err") + F.col("q_err"))).over(Window.partitionBy("q"))))
+    top = found.filter((F.col("r") <= max(RERANK, k + 1)) | (F.col("s") - F.col("err") - F.col("q_err") <= F.col("reach"))).select("q", "node")
     # a query's own vector is a candidate for its other holders
     own = asked.select("q").distinct().join(distinct.select("node"), F.col("q") == F.col("node"))
     top = top.unionByName(own.select("q", "node")).distinct()

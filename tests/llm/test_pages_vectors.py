@@ -173,3 +173,19 @@ def test_settings_follow_the_row_count():
     few, many, more = (N.settings(n) for n in (N.SMALL, 51_300, 205_000))
     assert (few["degree"], few["trees"], few["beam"], few["expand"]) == (N.DEGREE, N.TREES, N.BEAM, N.EXPAND)
     assert all(few[k] < many[k] < more[k] for k in few) and more["beam"] >= 2 * N.BEAM
+
+
+@pytest.mark.parametrize("noise", [1e-4, 1e-3])
+def test_near_copies_in_true_order(spark, noise):
+    """A group of 1,000 whose distances lie under the step of the codes."""
+    rng = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = np.concatenate([unit(rng.standard_normal((1, 64))) + noise * rng.standard_normal((1000, 64)), unit(rng.standard_normal((200, 64)))])
+    rows = list(enumerate(x.tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute_neighbours(rows, 10)
+    got = collections.defaultdict(set)
+    for r in N.search(df, df.filter("vec_id % 100 = 0"), k=10).collect():
+        got[r.query_id].add(r.vec_id)
+    near = [q for q in want if q < 1000]
+    assert sum(len(got[q] & {j for _, j in want[q]}) for q in near) >= 0.95 * 10 * len(near)
