@@ -511,6 +511,8 @@ def _keyed(df: DataFrame, id_col: str, text: str) -> DataFrame:
 def _groups(df: DataFrame, id_col: str, text: str, k: int, num: int, den: int) -> DataFrame:
     """(_id, _th, _n, _c, _root, _m): set size, least id of the component, the
     component's class (null for empty sets) and how many rows there are of it."""
+    if 2 * num < den:
+        raise ValueError("num / den is at least 1/2: bitmaps are compared with those of the neighbouring widths only")
     raw = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     docs = _keyed(df, id_col, text).select("_id", "_th", raw.alias("_text"))
     ranks = df.sparkSession.sparkContext.broadcast(token_ranks(docs.select("_text"), k))

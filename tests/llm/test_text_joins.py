@@ -233,3 +233,10 @@ def test_leaks_awkward(spark, monkeypatch):
     assert kept.columns == frame(spark, docs).columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, t in docs if (i, t) not in (docs[-5], docs[-3], docs[-2]))
     assert D.find_leaks(frame(spark, docs), items.limit(0)).count() == 0 and D.drop_leaks(frame(spark, docs).limit(0), items).count() == 0
+
+
+def test_thresholds_under_a_half_are_refused(spark):
+    df = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
+    for f in (J.near_duplicates, J.drop_near_duplicates):
+        with pytest.raises(ValueError):
+            f(df, num=49, den=100)
