@@ -127,3 +127,38 @@ def op3_nn_descent(spark, sf_dir):
     from .neighbours import search
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return search(rows, rows.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
+@register
+def op13_prefix_trie(spark, sf_dir):
+    from .prefix_trie import prefix_trie, shared_heads, turns
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie(*shared_heads(turns(rows), group=5, heads=9))
+
+
+SQL["op13_prefix_trie"] = """
+WITH c AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS t,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) - 1 AS p
+           FROM conversations WHERE conv_id IS NOT NULL),
+v AS (SELECT conv_id, conv_id - conv_id % 5 AS base,
+             xor(4294967295, list_reduce([4294967295] || list_transform(regexp_extract_all(CAST(conv_id AS VARCHAR), '.'), lambda x: CAST(ascii(x) AS BIGINT)),
+                 lambda a, b: list_reduce([xor(a, b)] || [0, 0, 0, 0, 0, 0, 0, 0],
+                     lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) % 9 AS h
+      FROM (SELECT DISTINCT conv_id FROM c)),
+part AS (SELECT v.conv_id, p, r, t FROM v JOIN c ON c.conv_id = v.base WHERE p < h
+         UNION ALL SELECT v.conv_id, p, r, t FROM v JOIN c ON c.conv_id = v.conv_id WHERE p >= h),
+seq AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY p) AS d,
+               sha256(octet_length(encode(r)) || ':' || r || sha256(t)) AS u, octet_length(encode(t)) AS nb FROM part),
+pre AS (SELECT conv_id, d, nb, string_agg(u, '') OVER (PARTITION BY conv_id ORDER BY d) AS k FROM seq
+        UNION ALL SELECT conv_id, 0, 0, '' FROM v),
+node AS (SELECT k, min(conv_id) AS conv_id, any_value(d) AS depth, count(*) AS n_convs, any_value(nb) AS nb FROM pre GROUP BY k),
+kid AS (SELECT left(k, length(k) - 64) AS k, count(*) AS n FROM node WHERE k <> '' GROUP BY 1),
+sub AS (SELECT left(node.k, 64 * a.i) AS k, sum((kid.n IS NULL)::INT) AS leaves, sum((n_convs - 1) * nb) AS saved
+        FROM node LEFT JOIN kid ON kid.k = node.k, LATERAL (SELECT unnest(range(0, CAST(node.depth AS BIGINT) + 1)) AS i) a GROUP BY 1),
+fin AS (SELECT k, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+        FROM (SELECT conv_id, arg_max(k, d) AS k FROM pre GROUP BY conv_id) GROUP BY k)
+SELECT node.conv_id, CAST(node.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(kid.n, 0) AS n_children,
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(fin.ids, '')) AS ends_sha256
+FROM node LEFT JOIN kid ON kid.k = node.k JOIN sub ON sub.k = node.k LEFT JOIN fin ON fin.k = node.k
+LEFT JOIN node up ON node.k <> '' AND up.k = left(node.k, length(node.k) - 64)
+"""
