@@ -162,3 +162,11 @@ SELECT node.conv_id, CAST(node.depth AS BIGINT) AS depth, up.conv_id AS parent_c
 FROM node LEFT JOIN kid ON kid.k = node.k JOIN sub ON sub.k = node.k LEFT JOIN fin ON fin.k = node.k
 LEFT JOIN node up ON node.k <> '' AND up.k = left(node.k, length(node.k) - 64)
 """
+
+
+@register
+def op12_best_fit_packing(spark, sf_dir):
+    import public_tokenizers
+    from .packing import pack, token_pieces
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack(token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), size=4096, end=1), size=4096)
