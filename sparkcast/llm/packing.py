@@ -27,7 +27,6 @@ are replaced, others pass through.
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -45,23 +44,58 @@ _words: dict[str, Pieces] = {}
 tb.kept.append(_words)
 
 
-def _encoder(path: str) -> Pieces:
-    if path not in _words:
+class WordEncoder:
+    """Ids of many words with few calls: words are joined by a separator that makes
+    one token of its own, and taken apart at its id."""
+
+    MARK = "\x01"
+
+    def __init__(self, path: str):
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        t = Tokenizer.from_file(path)
-        _words[path] = Pieces(lambda ws: [e.ids for e in t.encode_batch([w.decode() for w in ws], add_special_tokens=False)])
+        self.t = Tokenizer.from_file(path)
+        self.mark = self.t.encode(self.MARK, add_special_tokens=False).ids
+
+    def __call__(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        words = [w.decode() for w in found]
+        alone = len(self.mark) != 1 or any(self.MARK in w for w in words)
+        step, sep = (1, "") if alone else (1000, f" {self.MARK} ")
+        ids = [e.ids for e in self.t.encode_batch_fast([sep.join(words[i:i + step]) for i in range(0, len(words), step)], add_special_tokens=False)]
+        if alone:
+            return np.array([i for x in ids for i in x], np.int64), np.array([len(x) for x in ids], np.int64)
+        flat = np.array([i for x in ids for i in (*x, self.mark[0])], np.int64)
+        marks = np.flatnonzero(flat == self.mark[0])
+        size = np.diff(np.concatenate([[-1], marks])) - 1
+        if len(size) != len(words):
+            raise ValueError("the separator is no token of its own in this vocabulary")
+        return flat[flat != self.mark[0]], size
+
+
+def _encoder(path: str) -> Pieces:
+    if path not in _words:
+        _words[path] = Pieces(WordEncoder(path))
     return _words[path]
 
 
-def _word_starts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Where texts begin, and white space behind anything else: no word goes beyond."""
+_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
+
+
+def _words_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, where their pieces begin): texts, and in them white space behind
+    anything else and ASCII signs behind ASCII letters begin a piece; no match of
+    the vocabulary's pattern goes beyond. Letters are made small and white space
+    blank, as the vocabulary's normalizer does, so that pieces recur; where a special
+    string may stand, only white space parts pieces and bytes stay as they are."""
     white = tb.WHITE[buf]
     cut = np.zeros(len(buf) + 1, bool)
     cut[1:-1] = white[1:] & ~white[:-1]
+    if b"<|" not in buf.tobytes():
+        letter = _LETTER[buf]
+        cut[1:-1] |= letter[:-1] & ~letter[1:] & (buf[1:] < 0x80)
+        buf = np.where(white, np.uint8(0x20), tb.lower(buf))
     cut[offs] = True
-    return np.flatnonzero(cut[:-1])
+    return buf, np.flatnonzero(cut[:-1])
 
 
 def _pieces(path: str, size: int, end: int, text: str, keep_ids: bool, schema: pa.Schema):
@@ -72,7 +106,7 @@ def _pieces(path: str, size: int, end: int, text: str, keep_ids: bool, schema: p
             col = b.column(text)
             rest = b.drop_columns([text])
             for first, buf, offs in tb.slices(col, (1 << 20) - 1):
-                st = _word_starts(buf, offs)
+                buf, st = _words_of(buf, offs)
                 n = words.numbers(spans(buf, st)) if len(st) else np.empty(0, np.int64)
                 ids, ends = gather(words.pool, words.at, n)
                 at = ends[np.searchsorted(st, offs)]                        # where each text's ids begin
@@ -124,8 +158,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, size: int = 4096, end: int =
 class Sums:
     """Availability counts of lengths and the number of pairs of available pieces of each sum."""
 
-    def __init__(self, counts: np.ndarray, size: int):
-        self.n, self.size = counts.copy(), size
+    def __init__(self, counts: np.ndarray, size: int, most: int = 3):
+        self.n, self.size, self.most = counts.copy(), size, most            # most: pieces of a combination, 1 or 3
         self.have = self.n > 0
         lens = np.flatnonzero(self.have)
         self.pairs = np.zeros(2 * size + 1, np.int64)                       # of two different lengths, or one that is there twice
@@ -156,6 +190,8 @@ class Sums:
         """One, two or three available pieces that fill the gap, apart from ``used``."""
         if gap <= self.size and self.n[gap] > used.get(gap, 0):
             return [gap]
+        if self.most == 1:
+            return None
         two = self.pair(gap, used)
         if two:
             return two
@@ -166,8 +202,10 @@ class Sums:
                 return [c, *two]
         return None
 
-    def longest(self, most: int, used: dict) -> int | None:
-        for x in np.flatnonzero(self.have[:most + 1])[::-1]:
+    def longest(self, gap: int, used: dict) -> int | None:
+        if self.most == 1:
+            return None
+        for x in np.flatnonzero(self.have[:gap + 1])[::-1]:
             if self.n[x] > used.get(int(x), 0):
                 return int(x)
         return None
@@ -223,19 +261,26 @@ def _best_fit(counts: np.ndarray, size: int) -> list[tuple[dict, int]]:
     return [g for groups in by_gap.values() for g in groups]
 
 
-def plan(counts: np.ndarray, size: int) -> np.ndarray:
-    """Where the pieces of each length go, from how many there are of each
-    (index: length). Columns: length, first rank, pieces of it a sequence, first
-    sequence, offset of the first in a sequence; ordered by length and rank."""
-    sums = Sums(np.asarray(counts, np.int64), size)
+def _runs(counts: np.ndarray, size: int, most: int) -> list[tuple[dict, int]]:
+    sums = Sums(counts, size, most)
     runs, exact = [], _exact_runs(sums, size)
     while True:
         try:
             runs.append(next(exact))
         except StopIteration as e:
-            aside = e.value
-            break
-    runs += _best_fit(aside, size)
+            return runs + _best_fit(e.value, size)
+
+
+def plan(counts: np.ndarray, size: int) -> np.ndarray:
+    """Where the pieces of each length go, from how many there are of each
+    (index: length). Columns: length, first rank, pieces of it a sequence, first
+    sequence, offset of the first in a sequence; ordered by length and rank.
+
+    Combinations of up to three use up short pieces that mid-sized ones may need;
+    so the plan is also made with single complements only, and the one of fewer
+    sequences holds."""
+    counts = np.asarray(counts, np.int64)
+    runs = min((_runs(counts, size, most) for most in (3, 1)), key=lambda r: sum(times for _, times in r))
     rows, used, base = [], np.zeros(size + 1, np.int64), 0
     for pattern, times in runs:
         offset = 0

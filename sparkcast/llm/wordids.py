@@ -28,9 +28,10 @@ def gather(pool: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
 
 
 class Pieces:
-    """Numbers and ids of distinct pieces; ``encode`` maps a list of byte strings to lists of ids."""
+    """Numbers and ids of distinct pieces; ``encode`` maps a list of byte strings to
+    (all ids joined, how many each has)."""
 
-    def __init__(self, encode, limit: int = 32 << 20):
+    def __init__(self, encode, limit: int = 64 << 20):
         self.encode, self.limit = encode, limit
         self.reset()
 
@@ -49,11 +50,10 @@ class Pieces:
         new = np.flatnonzero(n < 0)
         if len(new):
             found = [words[i] for i in new]
-            ids = self.encode(found)
+            ids, size = self.encode(found)
             n[new] = len(self.at) - 1 + np.arange(len(new))
             self.known.update(zip(found, n[new].tolist()))
-            size = np.array([len(x) for x in ids], np.int64)
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size)])
-            self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))])
-            self.size += sum(map(len, found)) + 100 * len(found) + 4 * int(size.sum())
+            self.pool = np.concatenate([self.pool, ids.astype(np.int32)])
+            self.size += sum(map(len, found)) + 150 * len(found) + 4 * len(ids)
         return n[d.indices.to_numpy(zero_copy_only=False)]
