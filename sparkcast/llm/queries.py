@@ -170,3 +170,11 @@ def op12_best_fit_packing(spark, sf_dir):
     from .packing import pack, token_pieces
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pack(token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), size=4096, end=1), size=4096)
+
+
+@register
+def op11_token_alignment(spark, sf_dir):
+    import public_tokenizers
+    from .alignment import align
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
