@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..cols import c, lag_name, neighbour_name
-from ..operators import forecast, panel
+from ..operators import forecast, panel, region_forests as RF
 from . import standins as S
 
 ROUND = 9   # doubles are reported rounded to 9 decimals (same on the SQL side)
@@ -96,7 +96,21 @@ def rf_weighted_mean(spark, sf_dir):
     return p.select("region_id", "month", "target", "step", "actual", F.round("predicted", 6).alias("predicted"))
 
 
+def region_tree(spark, sf_dir):
+    """One tree a region and target, depth 2, without bootstrap: SQL can check it."""
+    g = RF.grow(_panel(spark, sf_dir), predictors(), S.TARGETS, S.HOLDOUT, num_trees=1, max_depth=2, bootstrap=False)
+    return RF.predictions(g).withColumn("predicted", F.round("predicted", 6))
+
+
+def region_forest_eval(spark, sf_dir):
+    """MAE and MAPE of every region's own forests on its last months."""
+    g = RF.grow(_panel(spark, sf_dir), predictors(), S.TARGETS, S.HOLDOUT, num_trees=20, max_depth=3)
+    return forecast.error_metrics(RF.predictions(g), ["region_id", "target"])
+
+
 QUERIES = {
+    "region_tree": region_tree,
+    "region_forest_eval": region_forest_eval,
     "monthly_event_panel": monthly_event_panel,
     "monthly_subevent_panel": monthly_subevent_panel,
     "neighbour_event_sums": neighbour_event_sums,

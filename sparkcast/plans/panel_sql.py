@@ -146,7 +146,41 @@ r AS (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY month DESC) A
 {unions}"""
 
 
+def _tree_level(k: int) -> str:
+    """CTEs of one level: rows of t{k} with their node go on to t{k + 1}."""
+    return f"""
+e{k} AS (SELECT *, sum(w) OVER n AS ww, sum(w * y) OVER n AS s, sum(w * y * y) OVER n AS q, sum(w) OVER o AS wl, sum(w * y) OVER o AS sl,
+                lead(CASE WHEN w > 0 THEN v END IGNORE NULLS) OVER o AS nx
+         FROM t{k} JOIN x USING (region_id, month)
+         WINDOW n AS (PARTITION BY region_id, target, node, f), o AS (PARTITION BY region_id, target, node, f ORDER BY v)),
+c{k} AS (SELECT region_id, target, node, f, (v + nx) / 2 AS thr,
+                round((sl * sl / wl + (s - sl) * (s - sl) / (ww - wl) - s * s / ww) / (q - s * s / ww), 9) AS gain
+         FROM e{k} WHERE w > 0 AND nx > v AND ww > wl AND wl > 0 AND q - s * s / ww > 1e-9),
+b{k} AS (SELECT * FROM c{k} WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY region_id, target, node ORDER BY gain DESC, f, thr) = 1),
+t{k + 1} AS (SELECT t.region_id, t.month, t.target, t.test, t.step, t.y, t.w,
+                    CASE WHEN b.f IS NULL THEN t.node ELSE t.node * 2 + CAST(coalesce(x.v > b.thr, false) AS INT) END AS node
+             FROM t{k} t LEFT JOIN b{k} b USING (region_id, target, node) LEFT JOIN x ON x.region_id = t.region_id AND x.month = t.month AND x.f = b.f)"""
+
+
+def region_tree() -> str:
+    from .panel_queries import predictors
+    preds = predictors()
+    known = " AND ".join(f"{q(x)} IS NOT NULL" for x in preds)
+    rows = "\n  UNION ALL ".join(
+        f"SELECT region_id, month, {lit(t)} AS target, rn <= {S.HOLDOUT} AS test, CASE WHEN rn <= {S.HOLDOUT} THEN CAST({S.HOLDOUT} + 1 - rn AS INTEGER) END AS step, "
+        f"CAST({q(t)} AS DOUBLE) AS y, CASE WHEN rn <= {S.HOLDOUT} THEN 0.0 ELSE importance_weight END AS w, 1 AS node "
+        f"FROM r WHERE rn <= {S.HOLDOUT} OR ({known})" for t in S.TARGETS)
+    values = "\n  UNION ALL ".join(f"SELECT region_id, month, {i} AS f, CAST({q(x)} AS DOUBLE) AS v FROM r" for i, x in enumerate(preds))
+    return f"""WITH {_full_ctes()},
+r AS (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY month DESC) AS rn FROM feat),
+x AS ({values}),
+t0 AS ({rows}),{_tree_level(0)},{_tree_level(1)},
+p AS (SELECT *, sum(w * y) OVER l / sum(w) OVER l AS predicted FROM t2 WINDOW l AS (PARTITION BY region_id, target, node))
+SELECT region_id, month, target, step, y AS actual, round(predicted, 6) AS predicted FROM p WHERE test AND predicted IS NOT NULL"""
+
+
 SQL = {
+    "region_tree": region_tree,
     "monthly_event_panel": monthly_event_panel,
     "monthly_subevent_panel": monthly_subevent_panel,
     "neighbour_event_sums": neighbour_event_sums,
