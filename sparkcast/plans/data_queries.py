@@ -137,6 +137,14 @@ def url_stream_dedupe(spark, sf_dir):
     return spark.read.parquet(out).select(F.md5("text").alias("url_md5"), "n_chars")
 
 
+def url_first_seen_stream(spark, sf_dir):
+    """First seen over a stream: the first hit in query order, apart from visited ones."""
+    from ..streaming.first_seen import first_seen_stream
+    out = first_seen_stream(spark, os.path.join(sf_dir, "documents.parque[t]"), S.table(spark, sf_dir, "documents").schema,
+                            ["source", "lang", "doc_id"], url="text", visited=_visited(spark, sf_dir))
+    return spark.read.parquet(out).select("doc_id", "source", "lang")
+
+
 # ----------------------------------------------------- pages, answers, matrix
 def page_blocks(spark, sf_dir):
     p = spread(S.table(spark, sf_dir, "pages"))
@@ -187,4 +195,5 @@ QUERIES = {
     "answer_rows": answer_rows,
     "metric_matrix": metric_matrix,
     "url_stream_dedupe": url_stream_dedupe,
+    "url_first_seen_stream": url_first_seen_stream,
 }

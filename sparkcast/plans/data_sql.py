@@ -190,6 +190,7 @@ SQL = {
     "article_topk": article_topk,
     "article_unvisited": article_unvisited,
     "article_first_seen": article_first_seen,
+    "url_first_seen_stream": article_first_seen,
     "page_blocks": page_blocks,
     "page_fallback": page_fallback,
     "answer_rows": answer_rows,
