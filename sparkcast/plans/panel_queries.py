@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..cols import c, lag_name, neighbour_name
 from ..operators import forecast, panel, region_forests as RF
+from ..operators.incremental import PanelStore
+from ..session import scratch_path
 from . import standins as S
 
 ROUND = 9   # doubles are reported rounded to 9 decimals (same on the SQL side)
@@ -108,7 +110,22 @@ def region_forest_eval(spark, sf_dir):
     return forecast.error_metrics(RF.predictions(g), ["region_id", "target"])
 
 
+def incremental_panel(spark, sf_dir):
+    """The panel from a base and three increments: two later years, then the
+    events of one status, which come late for all months."""
+    import uuid
+    ev = S.events(spark, sf_dir)
+    late, year = F.coalesce(F.col("sub_event_type") == "P", F.lit(False)), F.year("month")
+    store = PanelStore(spark, scratch_path(spark, f"panel_store/{uuid.uuid4().hex}"), S.nation_edges(spark, sf_dir),
+                       "event_type", S.EVENT_TYPES, "sub_event_type", S.SUB_EVENT_TYPES, S.LAG)
+    for k, part in enumerate((~late & (year < 2000), ~late & (year == 2000), ~late & (year > 2000), late)):
+        store.update(ev.where(part), k)
+    cols = _count_cols()
+    return store.read(S.DECAY, S.START_YEAR).select("region_id", "month", *[c(x) for x in cols], *[c(lag_name(x, S.LAG)) for x in cols])
+
+
 QUERIES = {
+    "incremental_panel": incremental_panel,
     "region_tree": region_tree,
     "region_forest_eval": region_forest_eval,
     "monthly_event_panel": monthly_event_panel,

@@ -180,6 +180,7 @@ SELECT region_id, month, target, step, y AS actual, round(predicted, 6) AS predi
 
 
 SQL = {
+    "incremental_panel": lagged_panel,
     "region_tree": region_tree,
     "monthly_event_panel": monthly_event_panel,
     "monthly_subevent_panel": monthly_subevent_panel,
