@@ -16,7 +16,8 @@ one context, equal throughout. Only where an anchor has several contexts are
 their suffixes put in order (one context each), in a task per anchor, or, for
 anchors with over ``CONTEXTS`` contexts, by a Spark aggregation of the classes.
 
-Anchors, windows and contexts are compared by 64-bit hashes.
+Anchors, windows and contexts are compared by hashes of 62 bits (two moduli-prime
+polynomials).
 
 Defined results: null text counts as empty; texts under ``size`` bytes have no
 window, so nothing is removed; rows with the same id and text are the same
@@ -115,44 +116,51 @@ def window_hashes(contexts, size: int):
     return c, w, tb.span_hash(tb.prefix(buf), at, at + size)
 
 
-def previous_factor(group: np.ndarray, prefix: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(has an earlier match, has a later match) of each suffix.
+def previous_factor(group: np.ndarray, prefix: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(has an earlier match, has a later match, the first match) of each suffix.
 
     Suffix order by (group, prefix); among suffixes with one prefix by position
     ``rank``, so the neighbour before is the previous smaller position and the
     neighbour after a larger one."""
     order = np.lexsort((rank, prefix, group))
     same = (group[order][1:] == group[order][:-1]) & (prefix[order][1:] == prefix[order][:-1])
-    earlier, later = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    earlier, later, first = np.zeros(len(order), bool), np.zeros(len(order), bool), np.empty(len(order), np.int64)
     earlier[order[1:]] = same
     later[order[:-1]] = same
-    return earlier, later
+    new = np.append(True, same == 0)[:len(order)]
+    first[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    return earlier, later, first
 
 
-def spans(c: np.ndarray, w: np.ndarray, marked: np.ndarray, contexts: int) -> pa.ListArray:
-    """Marked windows of each context as a flat list of [first, after last, ...]."""
-    c, w = c[marked], w[marked]
+def spans(c: np.ndarray, w: np.ndarray, skip: np.ndarray, marked: np.ndarray, contexts: int, size: int) -> pa.ListArray:
+    """Bytes of the marked windows of each context, without the first ``skip`` of
+    each window, as a flat list of [first, after last, ...]."""
+    c, w, skip = c[marked], w[marked], skip[marked]
     new = np.ones(len(c), bool)
-    new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1] + 1)
+    new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1] + 1) | (skip[1:] != skip[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(c)) - 1
     flat = np.empty(2 * len(first), np.int32)
-    flat[::2], flat[1::2] = w[first], (w[last] + 1) if len(first) else []
+    flat[::2], flat[1::2] = (w + skip)[first], (w[last] + size) if len(first) else []
     ends = np.searchsorted(c[first], np.arange(contexts + 1)) * 2
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
 
 def _order_suffixes(size: int, keep: str):
-    """Marked windows of the first occurrence of each context; batches hold
+    """Marked bytes of the first occurrence of each context; batches hold
     whole anchors only in sum, so rows of the last anchor are carried on."""
     def solve(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
         c, w, h = window_hashes(t["bytes"], size)
-        a = t["anchor"].to_numpy()
+        a, lo, text = (t[x].to_numpy() for x in ("anchor", "lo", "text"))
         # position of a suffix: its context's place in the corpus, then the window
-        earlier, later = previous_factor(a[c], h, t["place"].to_numpy()[c].astype(np.int64) << 32 | w)
-        marked = earlier if keep == "first" else earlier | later
-        return pa.RecordBatch.from_arrays([t["anchor"].combine_chunks(), t["context"].combine_chunks(), spans(c, w, marked, len(t))],
+        earlier, later, first = previous_factor(a[c], h, t["place"].to_numpy()[c].astype(np.int64) << 32 | w)
+        marked, skip = (earlier, np.zeros(len(c), np.int64)) if keep == "first" else (earlier | later, np.zeros(len(c), np.int64))
+        if keep == "first" and len(c):
+            # what overlaps the first occurrence itself stays
+            apart = lo[c] + w - (lo[c] + w)[first]
+            skip = np.where((text[c] == text[c][first]) & (apart > 0) & (apart < size), size - apart, 0)
+        return pa.RecordBatch.from_arrays([t["anchor"].combine_chunks(), t["context"].combine_chunks(), spans(c, w, skip, marked, len(t), size)],
                                           ["anchor", "context", "marked"])
 
     def run(batches):
@@ -219,7 +227,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", si
                    whole_characters: bool = False) -> DataFrame:
     """Remove every byte covered by a ``size``-byte string that also starts
     elsewhere: ``keep="first"`` elsewhere earlier (by id, then place in the
-    text), ``keep="none"`` elsewhere at all. Adds kept (binary), n_removed and
+    text), apart from the bytes it shares with the first such string where the two
+    overlap, so that what repeats without a gap keeps its first ``size`` bytes;
+    ``keep="none"`` elsewhere at all. Adds kept (binary), n_removed and
     n_spans. ``whole_characters`` leaves characters whole that a span cuts."""
     if keep not in ("first", "none"):
         raise ValueError("keep is 'first' or 'none'")
@@ -252,28 +262,33 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", si
     ones = save(ones)
     place = "anchor long, context long, marked array<int>"
     ordered = (ones.filter(F.col("k") <= CONTEXTS)
-               .withColumn("place", F.row_number().over(_by("anchor", "place")))
-               .select("anchor", "context", "place", "bytes").mapInArrow(_order_suffixes(size, keep), place))
+               .select("anchor", "context", F.row_number().over(_by("anchor", "place")).alias("place"), F.col("place.lo").alias("lo"),
+                       F.dense_rank().over(_by("anchor", "place._id", "place._th")).alias("text"), "bytes").mapInArrow(_order_suffixes(size, keep), place))
     hot = ones.filter(F.col("k") > CONTEXTS).select("anchor", "context", "place", "bytes")
     rows = hot.mapInArrow(_hash_rows(size), "anchor long, context long, place struct<_id: bigint, lo: int, _th: bigint>, w int, h long")
     classes = rows.groupBy("anchor", "h").agg(F.count("*").alias("m"), F.min(F.struct("place", "w")).alias("at")).filter("m > 1")
-    mark = rows.join(classes, ["anchor", "h"])
+    mark, begin = rows.join(classes, ["anchor", "h"]), F.col("w")
     if keep == "first":
         mark = mark.filter(F.struct("place", "w") != F.col("at"))
-    split = (mark.groupBy("anchor", "context").agg(F.sort_array(F.collect_set("w")).alias("ws"))
-             .select("anchor", "context", F.flatten(F.transform("ws", lambda w: F.array(w, w + 1))).alias("marked")))
+        here, first = F.col("place.lo") + F.col("w"), F.col("at.place.lo") + F.col("at.w")
+        over = (F.col("place._id") == F.col("at.place._id")) & (F.col("place._th") == F.col("at.place._th")) & (here - first < size)
+        begin = F.when(over, F.col("w") + size - (here - first)).otherwise(begin)
+    split = (mark.groupBy("anchor", "context").agg(F.sort_array(F.collect_set(F.array(begin.cast("int"), F.col("w") + size))).alias("ws"))
+             .select("anchor", "context", F.flatten("ws").alias("marked")))
     marks = ordered.unionByName(split)
 
     # ranges of each text: its contexts' marks, or the whole run
     one = contexts.select("anchor", "context", "c", F.col("first._id").alias("f_id"), F.col("first._th").alias("f_th"), F.col("first.lo").alias("f_lo"))
     known = save(one.join(marks, ["anchor", "context"], "left"))
-    whole = F.array(F.lit(0), F.col("n"))
+    end = F.col("n") + (size - 1)
+    same = (F.col("_id") == F.col("f_id")) & (F.col("_th") == F.col("f_th")) & (F.col("lo") - F.col("f_lo") < size)
+    whole = F.array(F.when(same, F.col("f_lo") + size - F.col("lo")).otherwise(0) if keep == "first" else F.lit(0), end)
     is_first = (F.col("_id") == F.col("f_id")) & (F.col("_th") == F.col("f_th")) & (F.col("lo") == F.col("f_lo"))
     settled = (F.col("c") == 1) | is_first if keep == "first" else F.col("c") == 1
     ranges = (hits.join(known, ["anchor", "context"])
               .select("_id", "_th", "lo", F.when(settled, F.coalesce("marked", F.array().cast("array<int>"))).otherwise(whole).alias("m"))
               .filter(F.size("m") > 0)
-              .select("_id", "_th", F.expr(f"transform(m, (x, i) -> lo + x + if(i % 2 = 1, {size - 1}, 0))").alias("m"))
+              .select("_id", "_th", F.expr("transform(m, x -> lo + x)").alias("m"))
               .groupBy("_id", "_th").agg(F.flatten(F.collect_list("m")).alias("_ranges")))
     ranges = save(ranges)
 
@@ -290,7 +305,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", si
 
 
 def strip_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 400) -> DataFrame:
-    """The texts without later copies of passages (the first of each stays),
+    """The texts without later copies of passages (the first of each stays, also
+    where later ones overlap it: of a repeated sign ``size`` bytes stay),
     characters left whole; rows of which nothing but white space is left go."""
     out = remove_repeats(df, id_col, text, size, "first", whole_characters=True)
     rest = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col(f"`{text}`"))
@@ -298,6 +314,6 @@ def strip_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", siz
     return out.select(*[F.col("_rest").alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
 
 
-def _by(part: str, order: str):
+def _by(part: str, *order: str):
     from pyspark.sql import Window
-    return Window.partitionBy(part).orderBy(order)
+    return Window.partitionBy(part).orderBy(*order)

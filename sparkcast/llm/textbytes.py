@@ -17,21 +17,32 @@ import pyarrow as pa
 
 SLICE = (512 << 10) - 1
 
+# Spans are told apart by two polynomial hashes modulo the prime 2**31 - 1, each
+# with a random base: 62 bits. (Modulo a power of two, every base maps certain
+# unequal strings of doubled and swapped halves to one value.)
+_PRIME = (1 << 31) - 1
+_M, _S = np.uint64(_PRIME), np.uint64(31)
 _rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
-_P = np.uint64(0x9E3779B97F4A7C15 | 3)                 # odd, 3 mod 4
-_PINV = np.uint64(pow(int(_P), -1, 2**64))
-_pow: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_VALUE = _rng.permutation(256).astype(np.uint64) + np.uint64(1)
+_BASES = [int(x) for x in _rng.integers(1 << 20, _PRIME - 1, 2)]
+_BLOCK = 1 << 23        # bytes whose weighted values add up within 64 bits
+_pow: dict[int, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_pow[0]) < n:
-        m = 1 << (n - 1).bit_length()
-        for k, p in enumerate((_P, _PINV)):
-            a = np.full(m, p, np.uint64)
-            a[0] = 1
-            _pow[k] = np.multiply.accumulate(a)
-    return _pow[0], _pow[1]
+def _mod(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, in 0 ... 2**31 - 2."""
+    for _ in range(3):
+        x = (x & _M) + (x >> _S)
+    return np.where(x == _M, np.uint64(0), x)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The base's powers from 0, at least n of them."""
+    a = _pow.get(base, np.ones(1, np.uint64))
+    while len(a) < n:
+        a = np.concatenate([a, _mod(a * np.uint64(pow(base, len(a), _PRIME)))])
+    _pow[base] = a
+    return a
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -44,18 +55,21 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def prefix(buf: np.ndarray) -> np.ndarray:
-    """H with H[j] - H[i] = sum of the weighted bytes i..j-1 (mod 2**64)."""
-    p, _ = _powers(len(buf) + 1)
-    h = np.empty(len(buf) + 1, np.uint64)
-    h[0] = 0
-    np.cumsum(_BYTE[buf] * p[:len(buf)], out=h[1:])
-    return h
+    """Two rows H with H[j] - H[i] = sum of the weighted bytes i..j-1 (mod the prime)."""
+    out = np.zeros((2, len(buf) + 1), np.uint64)
+    value = _VALUE[buf]
+    for h, base in zip(out, _BASES):
+        p = _powers(base, len(buf) + 1)
+        for lo in range(0, len(buf), _BLOCK):
+            hi = min(lo + _BLOCK, len(buf))
+            h[lo + 1:hi + 1] = _mod(np.cumsum(value[lo:hi] * p[lo:hi]) + h[lo])
+    return out
 
 
 def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of the bytes of each span, the same wherever the span lies."""
-    _, inv = _powers(len(h))
-    return mix((h[end] - h[start]) * inv[start])
+    one, two = (_mod((x[end] + _M - x[start]) * _powers(pow(base, -1, _PRIME), h.shape[1])[start]) for x, base in zip(h, _BASES))
+    return mix(one << np.uint64(32) | two)
 
 
 def column(col) -> tuple[np.ndarray, np.ndarray]:

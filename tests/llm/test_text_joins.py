@@ -116,8 +116,11 @@ def brute_repeats(docs, size, keep):
     for places in seen.values():
         if len(places) > 1:
             for x in places:
-                if keep == "none" or x != min(places):
-                    gone[x[2]][x[1]:x[1] + size] = b"\1" * size
+                first = min(places)
+                if keep == "none" or x != first:
+                    # what overlaps the first occurrence itself stays
+                    begin = max(x[1], first[1] + size) if keep == "first" and x[2] == first[2] else x[1]
+                    gone[x[2]][begin:x[1] + size] = b"\1" * (x[1] + size - begin)
     return sorted((str(i), len(b), sum(g), sum(1 for j in range(len(g)) if g[j] and not (j and g[j - 1])),
                    hashlib.sha256(bytes(c for c, x in zip(b, g) if not x)).hexdigest()) for (i, _), b, g in zip(docs, raw, gone))
 
@@ -170,8 +173,34 @@ def test_strip_keeps_characters_and_columns(spark):
     out = R.strip_repeats(df, size=60)
     assert out.columns == df.columns
     got = {r.doc_id: r.text for r in out.collect()}
-    assert got[2] == docs[1][1] and got[5] is None and 4 not in got
-    assert got[3].startswith("other ") and got[3].endswith("!") and len(got[3]) < 20
+    assert got[5] is None and 4 not in got
+    # the first passage repeats itself: its first 60 bytes stay, whole characters
+    assert got[2] == "start " + "éyé" * 12 + " end" and got[1] == "xé" * 20
+    assert got[3] == "other!"           # the blank before the passage is part of a repeat, too
+
+
+def test_strip_overlapping_repeats(spark):
+    rows = [(1, "-" * 300), (2, "intro " + "abcde" * 40), (3, "x" * 99 + "-" * 150)]
+    got = {r.doc_id: r.text for r in R.strip_repeats(frame(spark, rows), size=100).collect()}
+    assert got == {1: "-" * 100, 2: "intro " + "abcde" * 20, 3: "x" * 99}
+
+
+def doubled(n):
+    """Two unequal strings that a polynomial hash modulo a power of two can't tell apart."""
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [512, 1024])
+def test_doubled_strings(spark, n):
+    a, b = doubled(n)
+    rows = [(1, " ".join(["one two three four", a])), (2, " ".join(["one two three four", b])), (3, " ".join(["one two three four", a]))]
+    got = {r.doc_id: r.component_id for r in J.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    rows = [(1, a + "!"), (2, b + "?"), (3, "+" + a)]
+    assert removed(frame(spark, rows), n, "none") == brute_repeats(rows, n, "none")
 
 
 # --- decontamination -------------------------------------------------------
