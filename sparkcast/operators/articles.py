@@ -107,11 +107,23 @@ def published_time(date: Column | str = "published date") -> Column:
     return F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) for f in ("d MMM yyyy HH:mm:ss zzz", "d MMM yyyy HH:mm:ss Z")])
 
 
+def site_host(url: Column) -> Column:
+    """Lower-case host of a URL without a last dot; null where it can't be parsed."""
+    return F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"\.$", "")
+
+
+def host_suffixes(host: Column) -> Column:
+    """``a.b.c`` -> ``[a.b.c, b.c, c]``."""
+    parts = F.split(host, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+
+
 def restrict(records: DataFrame, start=None, end=None, excluded_hosts: DataFrame | None = None,
              published: str = "published_ts", countries: Sequence[str] | None = None,
              languages: Sequence[str] | None = None, country: str = "country", language: str = "language") -> DataFrame:
-    """Date window, countries, languages and excluded sites (left anti join
-    on the URL host). Without a ``published`` column the time is parsed from
+    """Date window, countries, languages and excluded sites: a listed site
+    excludes its host and all subdomains, in any spelling of case (a left anti join
+    on the host and its suffixes). URLs that can't be parsed have no host and stay. Without a ``published`` column the time is parsed from
     ``published date``; rows without a time are outside any window."""
     r = records
     when = F.col(published) if published in r.columns else published_time() if "published date" in r.columns else None
@@ -124,9 +136,12 @@ def restrict(records: DataFrame, start=None, end=None, excluded_hosts: DataFrame
     if languages is not None:
         r = r.where(F.col(language).isin(list(languages)))
     if excluded_hosts is not None:
-        ex = excluded_hosts.select(F.col(excluded_hosts.columns[0]).alias("_host"))
-        r = (r.withColumn("_host", F.expr("parse_url(url, 'HOST')"))
-             .join(ex, "_host", "left_anti").drop("_host"))
+        ex = excluded_hosts.select(F.lower(F.trim(F.col(excluded_hosts.columns[0]))).alias("_site")).distinct()
+        r = r.withColumn("_host", site_host(F.col("url")))
+        # distinct hosts are few next to the records: their suffixes meet the list
+        hosts = r.where("_host IS NOT NULL").select("_host").distinct()
+        bad = materialize(hosts.select("_host", F.explode(host_suffixes(F.col("_host"))).alias("_site")).join(ex, "_site", "left_semi").select("_host").distinct())
+        r = r.join(bad, "_host", "left_anti").drop("_host")
     return r
 
 

@@ -167,29 +167,61 @@ def answer_rows(answers: DataFrame, text: str = "text", keys: Sequence[str] = ()
                     F.filter(cells, lambda x, i: i >= 2).alias("dates"))
 
 
-# Patterns of a date without its weekday and time of day, separators written
-# as one hyphen and month names capitalised; month before day where both fit.
-DATE_FORMATS = ["M-yyyy", "MMMM-yyyy", "MMM-yyyy", "yyyy-M", "yyyy-M-d", "d-MMMM-yyyy", "d-MMM-yyyy", "MMMM-d-yyyy", "MMM-d-yyyy",
-                "yyyy-MMMM", "yyyy-MMM", "yyyy-MMMM-d", "yyyy-MMM-d", "M-d-yyyy", "d-M-yyyy", "yyyyMMdd"]
-_TIME_RE = r"(?i)(?<=\d)[T ,]+(?:at )?\d{1,2}:\d{2}.*$"
-_WEEKDAY_RE = r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*[, ]+"
-
-
-def plain_date(s: Column) -> Column:
-    """A date string without weekday, time of day, ordinal ends and separators
-    of its own: ``Tue, 5th of Sept 2023 10:00 GMT`` -> ``5-Sep-2023``."""
-    d = F.regexp_replace(F.regexp_replace(strip_ws(s), _WEEKDAY_RE, ""), _TIME_RE, "")
-    d = F.regexp_replace(F.regexp_replace(d, r"(?i)(\d)(?:st|nd|rd|th)\b", "$1"), r"(?i)\bof\b|[-/.,\s]+", " ")
-    d = F.regexp_replace(F.initcap(F.trim(d)), r"\bSept\b", "Sep")
-    return F.regexp_replace(d, " +", "-")
-
-
-def parse_month(s: Column | str, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """first of the month of a date string in any listed format; null when
-    none parses (counted by the caller; Q16: a bare year is not a month)."""
+# fixed values: month names, and words of a date that say nothing about its month
+MONTH_NAMES = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+FILLERS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "mon", "tue", "tues", "wed", "thu", "thur", "thurs", "fri", "sat", "sun",
+           "st", "nd", "rd", "th", "of", "at", "and", "am", "pm", "t", "z", "utc", "gmt"]
+#: Two-digit years up to this are 20xx, others 19xx.
+PIVOT = 68
+_CLOCK_RE = r"t?\d{1,2}:\d{2}(:\d{2}([.,]\d+)?)?\s*([ap]m)?\s*(z|utc|gmt)?\s*([+-]\d{2}:?\d{2})?"
+
+
+def _date_values(s: Column) -> Column:
+    """The date's tokens as numbers, in order: a month's name as minus its number,
+    digits as they are; null where a word is neither a month nor a filler."""
+    names = {n: i for i, n in enumerate(MONTH_NAMES, 1)} | {n[:3]: i for i, n in enumerate(MONTH_NAMES, 1)} | {"sept": 9}
+    words = F.create_map(*[F.lit(x) for k, v in names.items() for x in (k, -v)], *[F.lit(x) for k in FILLERS for x in (k, 0)])
+    plain = F.regexp_replace(F.lower(strip_ws(s)), _CLOCK_RE, " ")
+    tokens = F.filter(F.regexp_extract_all(plain, F.lit(r"(\d+|\p{L}+)")), lambda x: x != "")
+    # eight digits are year, month and day
+    tokens = F.flatten(F.transform(tokens, lambda x: F.when(x.rlike(r"^\d{8}$"), F.array(F.substring(x, 1, 4), F.substring(x, 5, 2), F.substring(x, 7, 2))).otherwise(F.array(x))))
+    values = F.transform(tokens, lambda x: F.when(x.rlike(r"^\d+$"), F.struct(x.try_cast("int").alias("v"), F.length(x).alias("len"), F.lit(False).alias("word")))
+                         .otherwise(F.struct(F.try_element_at(words, x).alias("v"), F.lit(0).alias("len"), F.lit(True).alias("word"))))
+    return F.filter(values, lambda x: ~(x["word"] & (F.coalesce(x["v"], F.lit(1)) == 0)))
+
+
+def parse_month(s: Column | str) -> Column:
+    """first of the month of a date in words and numbers, in any common order
+    and with any separators; null when it names no month and year.
+
+    Clock time, zone, weekday and ordinal ends are left out. A month's name is the
+    month, wherever it stands; a number over 31 or of four digits is the year. Of
+    numbers alone the year comes first or last; month before day where both fit.
+    Two-digit years: see ``PIVOT``. A date that doesn't exist, a bare year (Q16), a
+    month without a year and any other word give null (counted by the caller)."""
     s = F.col(s) if isinstance(s, str) else s
-    d = plain_date(s)
-    return F.trunc(F.to_date(F.coalesce(*[F.try_to_timestamp(d, F.lit(f)) for f in formats])), "month")
+    # bound once, as the only element of an array, so that the tokens are made once a value
+    ymd = F.transform(F.array(_date_values(s)), lambda v: _resolve(v))[0]
+    y = ymd["y"]["v"]
+    year = F.when(ymd["y"]["len"] <= 2, F.when(y <= PIVOT, y + 2000).otherwise(y + 1900)).when(ymd["y"]["len"] == 4, y)
+    text = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(ymd["m"].cast("string"), 2, "0"), F.lpad(ymd["d"].cast("string"), 2, "0"))
+    return F.when(year.isNotNull() & ymd["m"].between(1, 12) & ymd["d"].between(1, 31), F.trunc(F.to_date(F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))), "month"))
+
+
+def _resolve(v: Column) -> Column:
+    """Year, month and day of the values ``v``."""
+    at = lambda i: F.get(v, F.lit(i))
+    date = lambda y, m, d: F.struct(y.alias("y"), m.alias("m"), d.alias("d"))
+    a, b, c = at(0), at(1), at(2)
+    one, long = F.lit(1), (a["v"] > 31) | (a["len"] == 4)
+    two = (F.when(a["word"] & (b["v"] > 31), date(b, -a["v"], one)).when(b["word"] & (a["v"] > 31), date(a, -b["v"], one))
+           .when(a["word"] | b["word"], F.lit(None)).when(a["v"] > 31, date(a, b["v"], one)).when(b["v"] > 31, date(b, a["v"], one)))
+    three = (F.when(a["word"], F.when(b["v"] > 31, date(b, -a["v"], c["v"])).otherwise(date(c, -a["v"], b["v"])))
+             .when(b["word"], F.when(long, date(a, -b["v"], c["v"])).otherwise(date(c, -b["v"], a["v"])))
+             .when(c["word"], F.when(b["v"] > 31, date(b, -c["v"], a["v"])).otherwise(date(a, -c["v"], b["v"])))
+             .when(long, date(a, b["v"], c["v"])).when(a["v"] > 12, date(c, b["v"], a["v"])).otherwise(date(c, a["v"], b["v"])))
+    bad = F.exists(v, lambda x: x["v"].isNull()) | (F.size(F.filter(v, lambda x: x["word"])) > 1)
+    return F.when(bad, F.lit(None)).when(F.size(v) == 2, two).when(F.size(v) == 3, three)
 
 
 def month_label(d: Column, fmt: str = "MM-yyyy") -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data_queries, data_sql, geometry, panel_queries, panel_sql, region_queries, region_sql
+from . import data_queries, data_sql, file_queries, geometry, panel_queries, panel_sql, region_queries, region_sql
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,8 +25,8 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _query_modules():
-    return [panel_queries, region_queries, data_queries, geometry]
+    return [panel_queries, region_queries, data_queries, geometry, file_queries]
 
 
 def _sql_modules():
-    return [panel_sql, region_sql, data_sql, geometry]
+    return [panel_sql, region_sql, data_sql, geometry, file_queries]

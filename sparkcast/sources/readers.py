@@ -59,16 +59,73 @@ SEARCH_CONFIG = StructType([
 ])
 
 
+#: Name of the column that takes a row's text where it doesn't fit the header.
+CORRUPT = "_corrupt"
+
+
+def _event_files(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """Files by their header. A header is the line of a file's first block that
+    names all event columns: one scan of the lines as text, without parsing, of
+    which a row a file comes back. Files without such a line are an error."""
+    import csv
+
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    named = F.lit(True)
+    for f in EVENT_SCHEMA:
+        named = named & F.col("value").contains(f.name)
+    rows = lines.where((F.col("at") == 0) & named).groupBy("file").agg(F.min("value").alias("value")).collect()
+    # read from the listing, so that files without rows or headers are seen, too
+    files = spark.read.text(path).inputFiles()
+    known = {r["file"]: tuple(x.strip().lstrip("\ufeff") for x in next(csv.reader([r["value"]]))) for r in rows}
+    found: dict[tuple[str, ...], list[str]] = {}
+    same = {k.replace("file:///", "file:/"): v for k, v in known.items()}
+    for name in files:
+        header = known.get(name) or same.get(name.replace("file:///", "file:/"))
+        missing = [f.name for f in EVENT_SCHEMA if not header or f.name not in header]
+        if missing:
+            raise ValueError(f"{name}: no column {', '.join(missing)}")
+        found.setdefault(header, []).append(name)
+    return found
+
+
+def _raw_events(spark: SparkSession, path: str) -> DataFrame:
+    """Event rows as text columns, each file read under its own header."""
+    out = None
+    for header, files in _event_files(spark, path).items():
+        schema = StructType([StructField(f"c{i}", StringType()) for i in range(len(header))] + [StructField(CORRUPT, StringType())])
+        raw = (spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE")
+               .option("columnNameOfCorruptRecord", CORRUPT).csv(files))
+        at = {name: i for i, name in reversed(list(enumerate(header)))}
+        part = raw.select(*[F.col(f"c{at[f.name]}").alias(f.name) for f in EVENT_SCHEMA], CORRUPT)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError(f"{path}: no files")
+    return out
+
+
+def read_events_checked(spark: SparkSession, path: str, start_year: int | None = 2018) -> tuple[DataFrame, DataFrame]:
+    """S1 + P1 + P2: (events, quarantine). Each file is read under its own
+    header, whatever the order and number of its columns. Rows whose number of
+    cells doesn't fit it, without a whole number as year or without a readable date
+    go to the quarantine (all columns as text, and ``reason``); every other row
+    is an event, apart from those before ``start_year``. ``month`` = first day of
+    the event's month."""
+    raw = _raw_events(spark, path)
+    month = month_of("event_date", "d MMMM yyyy")
+    reason = (F.when(F.col(CORRUPT).isNotNull(), "cells").when(F.col("year").try_cast("int").isNull(), "year").when(month.isNull(), "event_date"))
+    raw = raw.withColumn("reason", reason)
+    good = raw.where("reason IS NULL").select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in EVENT_SCHEMA]).withColumn("month", month)
+    if start_year is not None:
+        good = good.where(F.col("year") >= start_year)
+    return good, raw.where("reason IS NOT NULL")
+
+
 def read_events(spark: SparkSession, path: str, start_year: int | None = 2018) -> DataFrame:
-    """S1 + P1 + P2: event CSV, columns found by their header names whatever
-    their order and number (a missing one is an error); values that don't fit
-    a column's type are null; rows from ``start_year``; ``month`` = first day
-    of the parsed event month."""
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    missing = [f.name for f in EVENT_SCHEMA if f.name not in raw.columns]
-    if missing:
-        raise ValueError(f"{path}: no column {', '.join(missing)}")
-    df = raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in EVENT_SCHEMA])
+    """S1 + P1 + P2 without a quarantine: values that don't fit a column's type
+    are null; files may differ in the order and number of their columns (a missing
+    one is an error); rows from ``start_year``; ``month`` = first day of the parsed
+    event month."""
+    df = _raw_events(spark, path).select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in EVENT_SCHEMA])
     if start_year is not None:
         df = df.where(F.col("year") >= start_year)
     return df.withColumn("month", month_of("event_date", "d MMMM yyyy"))
