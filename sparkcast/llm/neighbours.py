@@ -16,8 +16,8 @@ expanded. Queries that are rows of the index start at their own node, others at
 ``PIVOTS`` fixed nodes. They run in blocks of ``QUERIES`` (fewer as the beam
 grows), which bounds the frontier that is broadcast.
 
-NN-descent runs until at most ``SETTLED`` of the edges change; ``settings`` lets
-degree, trees and beam follow the number of nodes.
+NN-descent runs until at most ``SETTLED`` of the edges change (after ``ROUNDS``
+without that it is an error); ``settings`` lets the beam follow the number of nodes.
 
 Graph and walk compare vectors by 8-bit codes with a scale per vector. Near
 copies, whose codes say little about their order, carry the vector itself behind
@@ -53,17 +53,15 @@ PIVOTS = 16
 RERANK = 64             # of a beam, at least
 CLOSE = 4               # code distances up to so many error bounds are measured on the vectors where both ends carry them
 QUERIES = 20_000
-SMALL = 25_000          # nodes up to which DEGREE, TREES and BEAM hold as they are
+SMALL = 25_000          # nodes up to which BEAM holds as it is
 
 
 def settings(count: int) -> dict[str, int]:
-    """Degree, trees, beam and expansions for a graph of ``count`` nodes: beam
-    and expansions grow with the square root of ``count / SMALL``, degree by 4
-    and trees by one a doubling."""
-    more = max(1.0, count / SMALL)
-    beam = int(np.ceil(BEAM * more ** 0.5))
-    doublings = int(np.ceil(np.log2(more)))
-    return {"degree": DEGREE + 4 * doublings, "trees": TREES + doublings, "beam": beam, "expand": -(-EXPAND * beam // BEAM)}
+    """Beam and expansions for a graph of ``count`` nodes: both grow with the
+    square root of ``count / SMALL``; degree and trees don't change, so that the
+    rows of every step grow with the nodes."""
+    beam = int(np.ceil(BEAM * max(1.0, count / SMALL) ** 0.5))
+    return {"beam": beam, "expand": -(-EXPAND * beam // BEAM)}
 
 
 # --- vectors ---------------------------------------------------------------
@@ -162,7 +160,7 @@ def _nearest_in_block(degree: int, dim: int):
 
 def _local_join(dim: int):
     """Pairs of the neighbours that meet at a node, as far as nearer than an end's
-    farthest. Two that met there in the round before were compared then."""
+    farthest; of two old edges both ends were compared when the later was fresh."""
     def solve(t: pa.Table):
         n, far, new = t["u"].to_numpy(), t["far"].to_numpy(), t["new"].to_numpy()
         d, _ = _between(*(2 * [Points(t["code"].to_pylist(), t["scale"].to_numpy(), dim)]))
@@ -174,12 +172,22 @@ def _local_join(dim: int):
 
 
 def _nearest(edges: DataFrame, degree: int) -> DataFrame:
-    """The ``degree`` nearest of each node, every pair once."""
+    """The ``degree`` nearest of each node, every pair once; an edge that was there is no fresh one."""
     w = Window.partitionBy("a").orderBy("d", "b")
-    once = edges.repartition("a").groupBy("a", "b").agg(F.min("d").alias("d"))
+    once = edges.repartition("a").groupBy("a", "b").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"))
     return once.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= degree).drop("r")
 
 
+def _meetings(edges: DataFrame, degree: int) -> DataFrame:
+    """(m, u, new): each node m with its neighbours and the ``degree`` nearest of
+    those whose neighbour it is; new where the edge is fresh."""
+    both = (edges.select(F.col("a").alias("m"), F.col("b").alias("u"), "d", "fresh", F.lit(0).alias("back"))
+            .unionByName(edges.select(F.col("b").alias("m"), F.col("a").alias("u"), "d", "fresh", F.lit(1).alias("back"))).repartition("m"))
+    w = Window.partitionBy("m", "back").orderBy("d", "u")
+    return (both.withColumn("r", F.row_number().over(w)).filter((F.col("back") == 0) | (F.col("r") <= degree))
+            .groupBy("m", "u").agg(F.max("fresh").alias("new")))
+
+
 def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
     """(a, b, d): edges of the neighbour graph over nodes (node, code, scale),
     whose codes come with the vector; and the nodes, where only near copies keep it."""
@@ -205,25 +213,17 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, tr
     near = start.filter("close")
     near = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct().withColumn("near", F.lit(True))
     nodes = save(nodes.join(near, "node", "left").withColumn("code", F.when(F.col("near"), F.col("code")).otherwise(F.substring("code", 1, dim))).drop("near"))
-    edges = save(_nearest(start.drop("close"), degree))
-    met = None
+    edges = save(_nearest(start.drop("close").withColumn("fresh", F.lit(True)), degree))
     for _ in range(rounds):
         far = edges.groupBy("a").agg(F.when(F.count("*") >= degree, F.max("d")).otherwise(F.lit(float("inf"))).cast("float").alias("far"))
-        to = edges.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("d", "a"))).filter(F.col("r") <= degree)
-        meet = (edges.select(F.col("a").alias("m"), F.col("b").alias("u")).unionByName(to.select(F.col("b").alias("m"), F.col("a").alias("u"))).distinct())
-        meet = meet.withColumn("new", F.lit(True)) if met is None else meet.join(met.select("m", "u", F.lit(False).alias("new")), ["m", "u"], "left").fillna(True, ["new"])
-        met = meet = save(meet)
-        # where nobody is new, all pairs were compared
-        meet = meet.join(meet.filter("new").select("m").distinct(), "m", "left_semi")
         known = nodes.join(far, nodes.node == far.a, "left").select(F.col("node").alias("u"), "code", "scale", F.coalesce("far", F.lit(float("inf")).cast("float")).alias("far"))
-        found = (meet.join(known, "u").repartition("m").sortWithinPartitions("m").mapInArrow(_local_join(dim), "a long, b long, d float")
-                 .groupBy("a", "b").agg(F.min("d").alias("d")))
-        new = save(_nearest(edges.unionByName(found), degree))
-        same, total = edges.join(new, ["a", "b"], "left_semi").count(), new.count()
-        edges = new
-        if total - same <= SETTLED * total:
-            break
-    return edges, nodes
+        found = (_meetings(edges, degree).join(known, "u").repartition("m").sortWithinPartitions("m")
+                 .mapInArrow(_local_join(dim), "a long, b long, d float").withColumn("fresh", F.lit(True)))
+        edges = save(_nearest(edges.withColumn("fresh", F.lit(False)).unionByName(found), degree))
+        total, fresh = edges.agg(F.count("*"), F.count_if("fresh")).first()
+        if fresh <= SETTLED * total:
+            return edges.drop("fresh"), nodes
+    raise RuntimeError(f"the neighbour graph is not settled after {rounds} rounds")
 
 
 # --- search ----------------------------------------------------------------
@@ -265,21 +265,27 @@ def _walk(queries: list, graph: DataFrame, nodes: DataFrame, pivots: list, beam:
     start, _ = _between(x, Points([bytes(r["code"]) for r in pivots], [r["scale"] for r in pivots], dim))
     rows = [(r["q"], p["node"], float(start[i, j])) for i, r in enumerate(queries) for j, p in enumerate(pivots) if p["node"] != r["q"]]
     own = nodes.join(F.broadcast(spark.createDataFrame([(r["q"],) for r in queries], "q long")), F.col("node") == F.col("q"))
-    state = save(spark.createDataFrame(rows, "q long, node long, d float").unionByName(own.select("q", "node", F.lit(0.0).cast("float").alias("d")))
-                 .distinct().withColumn("done", F.lit(False)))
-    order = Window.partitionBy("q").orderBy("d", "node")
+    begin = spark.createDataFrame(rows, "q long, node long, d float").unionByName(own.select("q", "node", F.lit(0.0).cast("float").alias("d")))
+    order, query = Window.partitionBy("q").orderBy("d", "node"), Window.partitionBy("q")
+
+    def step(found: DataFrame) -> DataFrame:
+        """The beams after what was found, all by one shuffle; ``now`` marks what is expanded next."""
+        once = found.repartition("q").groupBy("q", "node").agg(F.min("d").alias("d"), F.max("done").alias("done"))
+        once = once.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= beam)
+        open_ = F.sum((~F.col("done")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        far = F.when(F.count("*").over(query) >= beam, F.max("d").over(query)).otherwise(F.lit(float("inf"))).cast("float")
+        once = once.withColumns({"far": far, "now": ~F.col("done") & (open_ <= expand)})
+        return save(once.select("q", "node", "d", (F.col("done") | F.col("now")).alias("done"), "now", "far"))
+
+    state = step(begin.withColumn("done", F.lit(False)))
     while True:
-        full = state.groupBy("q").agg(F.when(F.count("*") >= beam, F.max("d")).otherwise(F.lit(float("inf"))).cast("float").alias("far"))
-        frontier = (state.filter("not done").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= expand).drop("r", "d", "done").join(full, "q"))
-        frontier = save(frontier)
+        frontier = state.filter("now")
         if not frontier.take(1):
-            return state
+            return state.select("q", "node", "d")
         # bounded: QUERIES * EXPAND rows at most, as there are fewer queries the more are expanded
         at = frontier.groupBy("node").agg(F.collect_list("q").alias("qs"), F.collect_list("far").alias("fars"))
         found = graph.join(F.broadcast(at), "node").select("qs", "fars", "near", "codes", "scales").mapInArrow(_expand(shared, dim), "q long, node long, d float")
-        seen = state.join(frontier.select("q", "node", F.lit(True).alias("now")), ["q", "node"], "left").select("q", "node", "d", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
-        merged = (seen.unionByName(found.withColumn("done", F.lit(False))).groupBy("q", "node").agg(F.min("d").alias("d"), F.max("done").alias("done")))
-        state = save(merged.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= beam).drop("r"))
+        state = step(state.select("q", "node", "d", "done").unionByName(found.withColumn("done", F.lit(False))))
 
 
 def _exact(a: str, b: str) -> Column:
@@ -288,8 +294,8 @@ def _exact(a: str, b: str) -> Column:
 
 def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: int = 10, degree: int | None = None, beam: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest rows of ``df`` found for
-    each row of ``queries`` (same columns), by Euclidean distance. Degree and
-    beam follow the number of distinct vectors (``settings``) unless given."""
+    each row of ``queries`` (same columns), by Euclidean distance. The beam
+    follows the number of distinct vectors (``settings``) unless given."""
     rows = save(vectors(df, id_col, vector))
     asked = save(vectors(queries, id_col, vector).withColumnRenamed("node", "q"))
     if not rows.take(1) or not asked.take(1):
@@ -300,10 +306,10 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: st
     distinct = ids.filter("r = 1").select("node", "v")
     nodes = save(distinct.withColumn("c", _code("v")).select("node", "c.code", "c.scale", "c.err"))
     rule = settings(nodes.count())
-    degree, beam = degree or rule["degree"], beam or rule["beam"]
+    degree, beam = degree or DEGREE, beam or rule["beam"]
     dim = len(nodes.first()["code"]) // 9
     errors = nodes.select("node", "err")
-    edges, nodes = build_graph(nodes.drop("err"), degree, trees=rule["trees"])
+    edges, nodes = build_graph(nodes.drop("err"), degree)
     graph = save(_adjacency(edges, nodes, degree))
     pivots = nodes.orderBy(F.xxhash64("node")).limit(PIVOTS).collect()
     ask = asked.groupBy("q").agg(F.first("v").alias("v")).withColumn("c", _code("v")).select("q", "c.code", "c.scale", "c.err")
