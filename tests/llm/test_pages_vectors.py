@@ -159,7 +159,7 @@ def test_graph_settles(spark, monkeypatch):
 
     def spy(x):
         out = save(x)
-        if out.columns == ["a", "b", "d"]:
+        if out.columns == ["a", "b", "d", "fresh"]:
             made.append(out)
         return out
     monkeypatch.setattr(N, "save", spy)
