@@ -1,4 +1,4 @@
-"""Registered queries over landed files (S1, P1, P2, F5, P18, M7) and their SQL.
+"""Registered queries over landed files (S1, S4, P1, P2, P11-P15, F5, P18, M7) and their SQL.
 
 The event files are written by the query from every order, as two exports whose
 columns differ in order and number, and a third with a damaged copy of every
@@ -12,13 +12,13 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from ..cols import c
-from ..operators import articles as AR, panel
+from ..operators import articles as AR, indicators as I, panel
 from ..operators.adjacency import square_rings
 from ..operators.model_table import build_model_table
 from ..operators.pages import parse_month
 from ..session import materialize, scratch_path
 from ..sources import readers
-from . import panel_queries as PQ, panel_sql as PS, standins as S
+from . import data_queries as DQ, data_sql as DS, panel_queries as PQ, panel_sql as PS, standins as S
 
 EXCLUDED = ["example.net", "Example.org"]
 
@@ -113,5 +113,39 @@ def article_restricted_sql() -> str:
     return f"SELECT page_id, url FROM (SELECT page_id, url, regexp_replace(regexp_replace({host}, '^.*@|:[0-9]*$', '', 'g'), '\\.$', '') AS h FROM pages) WHERE h IS NULL OR NOT ({out})"
 
 
-QUERIES = {"event_files": event_files, "model_table_from_files": model_table_from_files, "date_spellings": date_spellings, "article_restricted": article_restricted}
-SQL = {"event_files": event_files_sql, "model_table_from_files": model_table_from_files_sql, "date_spellings": date_spellings_sql, "article_restricted": article_restricted_sql}
+def write_payloads(spark, sf_dir) -> tuple[str, str]:
+    """Payload files ``[meta, rows]``: observations a nation and indicator, with a
+    row without a value in each, and the countries, those of one region without coordinates."""
+    base = scratch_path(spark, f"payloads/{uuid.uuid4().hex}")
+    pair = lambda a, b: F.struct(a.alias("id"), b.alias("value"))
+    x = DQ.indicator_long(spark, sf_dir)
+    x = x.unionByName(x.select(*[c for c in x.columns if c not in ("year", "value")]).distinct().withColumns({"year": F.lit(1900), "value": F.lit(None).cast("double")}))
+    one = F.struct(pair(F.col("indicator_code"), F.col("indicator_name")).alias("indicator"), pair(F.substring("countryiso3code", 1, 2), F.col("country_name")).alias("country"),
+                   "countryiso3code", F.col("year").cast("string").alias("date"), F.col("value").cast("string").alias("value"))
+    text = lambda rows: F.concat(F.lit('[{"page": 1},'), F.to_json(F.collect_list(rows)), F.lit("]"))
+    pages = x.groupBy("indicator_code", "countryiso3code").agg(text(one).alias("value"))
+    (pages.withColumn("page", F.concat_ws("-", F.col("indicator_code"), F.col("countryiso3code"))).drop("indicator_code", "countryiso3code")
+     .repartition("page").write.partitionBy("page").text(f"{base}/observations"))
+    na = S.table(spark, sf_dir, "nation")
+    there = F.when(F.col("n_regionkey") == 4, " ").otherwise(F.col("n_nationkey").cast("string"))
+    country = F.struct(_code("n_nationkey").alias("id"), F.col("n_name").alias("name"), there.alias("longitude"), there.alias("latitude"),
+                       pair(F.lit("X"), F.lit("mixed")).alias("incomeLevel"), pair(F.col("n_regionkey").cast("string"), F.col("n_regionkey").cast("string")).alias("region"))
+    na.agg(text(country).alias("value")).write.text(f"{base}/countries")
+    return f"{base}/observations", f"{base}/countries"
+
+
+def indicator_files(spark, sf_dir) -> DataFrame:
+    """P11-P15 and A8 over payload files: the wide table of the real countries."""
+    observations, countries = write_payloads(spark, sf_dir)
+    long = I.flatten_observations(readers.read_payload_rows(spark, observations), start_year=DQ.IND_START, end_year=DQ.IND_END)
+    real = I.real_countries(I.country_metadata(readers.read_payload_rows(spark, countries, readers.COUNTRY)))
+    long = long.join(real.select(F.col("id").alias("countryiso3code")), "countryiso3code", "left_semi")
+    return I.wide_table(long, DQ.INDICATORS, list(range(DQ.IND_START, DQ.IND_END + 1)))
+
+
+def indicator_files_sql() -> str:
+    return f"SELECT w.* FROM ({DS.indicator_wide()}) w JOIN nation n ON n.n_name = w.country_name WHERE n.n_regionkey <> 4"
+
+
+QUERIES = {"indicator_files": indicator_files, "event_files": event_files, "model_table_from_files": model_table_from_files, "date_spellings": date_spellings, "article_restricted": article_restricted}
+SQL = {"indicator_files": indicator_files_sql, "event_files": event_files_sql, "model_table_from_files": model_table_from_files_sql, "date_spellings": date_spellings_sql, "article_restricted": article_restricted_sql}
