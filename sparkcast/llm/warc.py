@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import posixpath
 import uuid
+from urllib.parse import quote, unquote
 import zlib
 
 import pyarrow as pa
@@ -99,7 +100,10 @@ def row_id(uri: str) -> int:
 def _header(r: dict) -> bytes:
     lines = ["WARC/1.1", f"WARC-Type: {r['record_type']}", f"WARC-Record-ID: <{record_uri(r['id'], r['copy'])}>", f"WARC-Date: {DATE}"]
     if r["url"] is not None:
-        lines.append("WARC-Target-URI: " + r["url"].replace("\r", "%0D").replace("\n", "%0A"))
+        line = r["url"].replace("\r", "%0D").replace("\n", "%0A").strip()
+        lines.append("WARC-Target-URI: " + line)
+        if line != r["url"]:                # a header line can't hold it as it is
+            lines.append("X-URL: " + quote(r["url"], safe=""))
     lines.append(f"WARC-Payload-Digest: sha1:{r['digest']}")
     if r["record_type"] == "revisit":
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{record_uri(r['refers_to'], 0)}>",
@@ -271,9 +275,9 @@ def _read(folder: str, chunk: int, keep_chunks: bool):
                         if last and not revisit and state.hexdigest() != stated:
                             raise ValueError(f"{name}: payload of {h['warc-record-id']} does not have its digest")
                         i = row_id(h["warc-record-id"].strip("<>"))
-                        rows.append({"id": None if i == _NO_ID else i, "url": h.get("warc-target-uri"), "no": no, "chunk": data if keep_chunks else None, "last": last,
+                        rows.append({"id": None if i == _NO_ID else i, "url": unquote(h["x-url"]) if "x-url" in h else h.get("warc-target-uri"), "no": no, "chunk": data if keep_chunks else None, "last": last,
                                      "size": int(h["x-payload-length"]) if revisit else size, "digest": stated if revisit else state.hexdigest(),
-                                     "record_type": h["warc-type"], "refers_to": row_id(h["warc-refers-to"].strip("<>")) if revisit else None})
+                                     "record_type": h["warc-type"], "refers_to": to if revisit and (to := row_id(h["warc-refers-to"].strip("<>"))) != _NO_ID else None})
                         held += len(data) if keep_chunks else 0
                         if not keep_chunks and not last:
                             rows.pop()
