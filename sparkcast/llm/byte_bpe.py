@@ -3,9 +3,11 @@
 Within a task, the distinct words of the texts become token-position rows of an
 in-process DuckDB. A recursive query joins neighbouring tokens with the merge
 table and contracts each word's leftmost pair of least rank until no pair is
-left; an ordered aggregation of the tokens' bytes decodes the words. What is
-known of a word is kept in the process (bounded, see WordCache), and texts are
-put together from their words by array operations. No text leaves its row: no
+left; an ordered aggregation of the tokens' bytes decodes the words. Words of
+over 64 bytes go through the same query in blocks whose seams are checked and
+mended (see BLOCK), so that the work grows with a word's length and not with its
+square. What is known of a word is kept in the process (bounded in words and
+bytes), and texts are put together from their words by array operations. No text leaves its row: no
 shuffle, no driver work, and a lost task is simply run again.
 
 Defined results: a null text is the empty text (no ids, empty bytes); texts of
@@ -43,24 +45,16 @@ SELECT w, list(t ORDER BY p) AS ids, string_agg(bytes, '' ORDER BY p) AS decoded
 FROM step JOIN vocabulary ON id = t WHERE done GROUP BY w ORDER BY w
 """
 
-LONG = 64               # bytes; longer words are contracted round by round, so that their earlier rounds aren't kept
-
-# One round for long words. All places of the least-ranked pair are contracted
-# at once, leftmost first where they overlap, if no pair with the new token
-# could come before it ("calm"); else only the leftmost.
-ROUND = """
-CREATE OR REPLACE TABLE long_next AS
-SELECT w, p, t FROM (
-  SELECT w, p, CASE WHEN take THEN best ELSE t END AS t, coalesce(lag(take) OVER (PARTITION BY w ORDER BY p), false) AS gone
-  FROM (SELECT *, hit AND CASE WHEN calm THEN in_run % 2 = 1 ELSE nth = 1 END AS take
-        FROM (SELECT *, sum(hit::int) OVER (PARTITION BY w, run ORDER BY p) AS in_run, sum(hit::int) OVER (PARTITION BY w ORDER BY p) AS nth
-              FROM (SELECT *, sum((NOT hit)::int) OVER (PARTITION BY w ORDER BY p) AS run
-                    FROM (SELECT *, coalesce(id = best, false) AS hit
-                          FROM (SELECT x.w, x.p, x.t, m.id, m.calm, min(m.id) OVER (PARTITION BY x.w) AS best
-                                FROM (SELECT w, p, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS after FROM long_words) x
-                                LEFT JOIN merges m ON m.pair = x.t << 32 | x.after))))))
-WHERE NOT gone
-"""
+# A longer word is cut into blocks of this many bytes, which the recursive query
+# contracts on their own. Tokens t1..tn are what the whole word contracts to just
+# if each two neighbours, contracted together, stay as they are: until the first
+# merge across a place between two of them, everything else goes on as without
+# the rest of the word. So only the seams of blocks are held against that, and
+# around a seam that fails the tokens are made again from their bytes.
+BLOCK = 32
+BESIDE = 3              # tokens on either side of a failed seam made again, one more each round
+ROWS = 4_000_000        # token-position rows that one recursive query may keep (half the square of a word's length)
+POOL = 64 << 20         # bytes of known words after which an encoder starts anew
 
 _encoders: dict[str, "Encoder"] = {}
 tb.kept.append(_encoders)
@@ -80,20 +74,15 @@ class Encoder:
         self.ranks = ranks = read_ranks(path)
         pairs = [(a << 32 | b, i) for t, i in ranks.items() for k in range(1, len(t))
                  if (a := ranks.get(t[:k])) is not None and (b := ranks.get(t[k:])) is not None]
-        # a token is calm if no merge with it makes an earlier one
-        least: dict[int, int] = {}
-        for p, i in pairs:
-            for part in (p >> 32, p & 0xFFFFFFFF):
-                least[part] = min(least.get(part, i), i)
         self.db = duckdb.connect(config={"threads": 1, "temp_directory": "", "memory_limit": "512MB"})
         self.db.execute("SET preserve_insertion_order = false")
         for name, table in (
-                ("merges", pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "id": pa.array([i for _, i in pairs], pa.int64()),
-                                    "calm": pa.array([least.get(i, i) >= i for _, i in pairs], pa.bool_())})),
+                ("merges", pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "id": pa.array([i for _, i in pairs], pa.int64())})),
                 ("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int64()), "bytes": pa.array([t.hex() for t in ranks], pa.string())}))):
             self.db.register("given", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
+        self.token = {i: t for t, i in ranks.items()}
         self.byte = np.array([ranks[bytes((b,))] for b in range(256)], np.int64)
         self.cache = WordCache(1_000_000)
         self._reset()
@@ -106,62 +95,106 @@ class Encoder:
 
     def _reset(self):
         self.cache.clear()
+        self.fits: dict[tuple[int, int], bool] = {}
         # ids and bytes of known words, one after the other; where each begins
         self.ids, self.raw = np.empty(0, np.int32), np.empty(0, np.uint8)
         self.id_at, self.raw_at = np.zeros(1, np.int64), np.zeros(1, np.int64)
 
-    def merged(self, words: list[bytes]) -> tuple[list[list[int]], list[bytes]]:
-        """Ids and decoded bytes of each word."""
+    def _contract(self, words: list[bytes]) -> tuple[list[list[int]], list[bytes]]:
+        """Ids and decoded bytes of each word, from its single bytes, by recursive queries."""
         ids: list = [None] * len(words)
         back: list = [None] * len(words)
-        long = [i for i, w in enumerate(words) if len(w) > LONG and w not in self.ranks]
-        for i, x in zip(long, self._long([words[i] for i in long])):
-            ids[i], back[i] = x
-        short = [i for i, x in enumerate(ids) if x is None]
-        for lo in range(0, len(short), WORDS):
-            place = short[lo:lo + WORDS]
-            part = [words[i] for i in place]
-            whole = [self.ranks.get(w, -1) for w in part]
-            # a word that is a token is that token: one row; others start as bytes
-            size = np.array([1 if i >= 0 else len(w) for w, i in zip(part, whole)], np.int64)
-            t = np.concatenate([np.array([i]) if i >= 0 else self.byte[np.frombuffer(w, np.uint8)] for w, i in zip(part, whole)])
-            w = np.repeat(np.arange(len(part)), size)
-            p = np.arange(len(t)) - np.repeat(np.cumsum(size) - size, size)
-            self.db.register("tokens", pa.table({"w": w, "p": p, "t": t}))
+        size = np.array([len(w) for w in words], np.int64)
+        lo = 0
+        while lo < len(words):
+            hi = lo + max(1, int(np.searchsorted(np.cumsum(size[lo:lo + WORDS] ** 2) // 2, ROWS)))
+            n = size[lo:hi]
+            w = np.repeat(np.arange(len(n)), n)
+            p = np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
+            self.db.register("tokens", pa.table({"w": w, "p": p, "t": self.byte[np.frombuffer(b"".join(words[lo:hi]), np.uint8)]}))
             got = self.db.sql(MERGE).to_arrow_table()
             self.db.unregister("tokens")
             for i, x, y in zip(got["w"].to_pylist(), got["ids"].to_pylist(), got["decoded"].to_pylist()):
-                ids[place[i]], back[place[i]] = x, bytes.fromhex(y)
+                ids[lo + i], back[lo + i] = x, bytes.fromhex(y)
+            lo = hi
         return ids, back
 
-    def _long(self, words: list[bytes]):
-        """(ids, decoded bytes) of long words."""
-        if not words:
-            return
-        size = np.array([len(w) for w in words], np.int64)
-        w = np.repeat(np.arange(len(words)), size)
-        p = np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
-        self.db.register("tokens", pa.table({"w": w, "p": p, "t": self.byte[np.frombuffer(b"".join(words), np.uint8)]}))
-        self.db.execute("CREATE OR REPLACE TABLE long_words AS SELECT * FROM tokens")
-        self.db.unregister("tokens")
-        n = len(w)
+    def merged(self, words: list[bytes]) -> tuple[list[list[int]], list[bytes]]:
+        """Ids and decoded bytes of each word. A word that is a token is that token."""
+        whole = [self.ranks.get(w, -1) for w in words]
+        ids: list = [[i] if i >= 0 else None for i in whole]
+        back: list = [self.token[i] if i >= 0 else None for i in whole]
+        for is_long, make in ((False, self._contract), (True, self._long)):
+            place = [i for i, w in enumerate(words) if whole[i] < 0 and (len(w) > 2 * BLOCK) == is_long]
+            for i, x, y in zip(place, *make([words[i] for i in place])):
+                ids[i], back[i] = x, y
+        return ids, back
+
+    def _fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether neighbouring tokens a, b stay as they are when contracted together."""
+        pairs = list(zip(a.tolist(), b.tolist()))
+        new = [x for x in dict.fromkeys(pairs) if x not in self.fits]
+        for x, got in zip(new, self._contract([self.token[x] + self.token[y] for x, y in new])[0]):
+            self.fits[x] = got == list(x)
+        out = np.array([self.fits[x] for x in pairs], bool)
+        if len(self.fits) > self.cache.limit:
+            self.fits.clear()
+        return out
+
+    def _long(self, words: list[bytes]) -> tuple[list[list[int]], list[bytes]]:
+        """Ids and decoded bytes of long words: blocks, then their seams."""
+        blocks = [[w[k:k + BLOCK] for k in range(0, len(w), BLOCK)] for w in words]
+        known = dict.fromkeys(x for parts in blocks for x in parts)
+        known = dict(zip(known, self._contract(list(known))[0]))
+        # all words' tokens in one row; a seam lies before its token; first marks the first token of a word
+        runs = [known[x] for parts in blocks for x in parts]
+        t = np.array([i for x in runs for i in x], np.int64)
+        begin = np.cumsum([0] + [len(x) for x in runs[:-1]]) if runs else np.empty(0, np.int64)
+        first = np.zeros(len(t), bool)
+        first[begin[np.cumsum([0] + [len(x) for x in blocks[:-1]])] if blocks else []] = True
+        seam = np.zeros(len(t), bool)
+        seam[begin] = True
+        beside = BESIDE
         while True:
-            self.db.execute(ROUND)
-            self.db.execute("CREATE OR REPLACE TABLE long_words AS SELECT * FROM long_next")
-            now = self.db.execute("SELECT count(*) FROM long_words").fetchone()[0]
-            if now == n:
+            seam &= ~first
+            at = np.flatnonzero(seam)
+            seam[at[self._fit(t[at - 1], t[at])]] = False
+            bad = np.flatnonzero(seam)
+            if not len(bad):
                 break
-            n = now
-        rows = self.db.execute("SELECT w, list(t ORDER BY p), string_agg(bytes, '' ORDER BY p) FROM long_words JOIN vocabulary ON id = t GROUP BY w ORDER BY w").fetchall()
-        self.db.execute("DROP TABLE long_words; DROP TABLE long_next")
-        for _, x, y in rows:
-            yield x, bytes.fromhex(y)
+            edge = np.append(np.flatnonzero(first), len(t))
+            word = np.searchsorted(edge, bad, "right")
+            spans, done = [], -1
+            for lo, hi in zip(np.maximum(bad - beside, edge[word - 1]).tolist(), np.minimum(bad + beside, edge[word]).tolist()):
+                if lo >= done:      # the seams of overlapping stretches wait for the next round
+                    spans.append((lo, hi))
+                    done = hi
+            raw = [b"".join(map(self.token.__getitem__, t[lo:hi].tolist())) for lo, hi in spans]
+            made = dict.fromkeys(raw)
+            made = dict(zip(made, self._contract(list(made))[0]))
+            parts, marks, firsts, last = [], [], [], 0
+            for (lo, hi), x in zip(spans, raw):
+                new = np.array(made[x], np.int64)
+                start = np.zeros(len(new), bool)
+                start[0] = True
+                parts += [t[last:lo], new]
+                marks += [seam[last:lo], start]
+                firsts += [first[last:lo], start & first[lo]]
+                last = hi
+                if hi < len(t):
+                    seam[hi] = True
+            t = np.concatenate(parts + [t[last:]])
+            seam = np.concatenate(marks + [seam[last:]])
+            first = np.concatenate(firsts + [first[last:]])
+            beside += 1
+        ids = [x.tolist() for x in np.split(t, np.flatnonzero(first)[1:])] if words else []
+        return ids, [b"".join(map(self.token.__getitem__, x)) for x in ids]
 
     def _numbers(self, buf: np.ndarray, st: np.ndarray) -> np.ndarray:
         """Number of each word of a batch among the known words."""
         end = np.append(st[1:], len(buf))
         keys, at, number = distinct(tb.span_hash(tb.prefix(buf), st, end))
-        if len(self.cache) > self.cache.limit:
+        if len(self.cache) > self.cache.limit or len(self.raw) > POOL:
             self._reset()
         n = self.cache.find(keys)
         new = np.flatnonzero(n < 0)

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import pyarrow as pa
 import pytest
@@ -14,8 +15,8 @@ regex = pytest.importorskip("regex")
 
 import numpy as np  # noqa: E402
 from llm_cases import AWKWARD, frame  # noqa: E402
-from sparkcast.llm import pretoken, queries as Q, textbytes as tb  # noqa: E402
-from sparkcast.llm.byte_bpe import encode_decode  # noqa: E402
+from sparkcast.llm import byte_bpe, pretoken, queries as Q, textbytes as tb  # noqa: E402
+from sparkcast.llm.byte_bpe import Encoder, encode_decode  # noqa: E402
 from sparkcast.llm.token_counts import count_tokens  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -89,3 +90,29 @@ def test_doubled_strings(spark, library):
     rows = [(i, t[:1026]) for i, t in rows]
     for r in encode_decode(frame(spark, rows), RANKS).collect():
         assert r.ids == library[1].encode_ordinary(r.text) and bytes(r.decoded) == r.text.encode()
+
+
+def test_long_words(library):
+    """Seams of blocks: runs, overlapping pairs, random letters; a megabyte in one word in bounded time."""
+    random.seed(3)
+    e = Encoder.of(RANKS)
+    words = ["x" * n for n in (64, 65, 66, 97, 1000)] + ["ab" * 500 + "a", "-" * 333 + "=" * 99, "漢字é" * 300]
+    words += ["".join(random.choices(a, k=random.randint(60, 400))) for a in ("ab", "aab", "etaoinshrdlu", "abcdefghijklmnopqrstuvwxyz", "the") for _ in range(60)]
+    ids, back = e.merged([w.encode() for w in words])
+    for w, i, b in zip(words, ids, back):
+        assert i == library[1]._core_bpe.encode_single_piece(w.encode()) and b == w.encode()
+    whole = "".join(random.choices("etaoinshrdlu", k=1 << 20)).encode()
+    began = time.monotonic()
+    (i,), (b,) = e.merged([whole])
+    assert time.monotonic() - began < 60
+    assert i == library[1]._core_bpe.encode_single_piece(whole) and b == whole
+
+
+def test_known_words_are_bounded(monkeypatch, library):
+    """Beyond the pool an encoder starts anew; ids stay the same."""
+    monkeypatch.setattr(byte_bpe, "POOL", 2000)
+    e = Encoder(RANKS)
+    texts = [" ".join("".join(random.choices("abcdefgh", k=40)) for _ in range(60)) for _ in range(8)] * 2
+    for t in texts:
+        assert e.encode(pa.array([t]), decode=False)[0].as_py() == library[1].encode_ordinary(t)
+        assert len(e.raw) <= 2000 + len(t)
