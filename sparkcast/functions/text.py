@@ -1,9 +1,9 @@
 """Text functions: name normalisation (F1), word tokens (F12), fuzzy ratio
 (F19), placeholder fill (F3/F4), file-safe labels (F17).
 
-F1 is the engine's only Python UDF: Unicode NFKD decomposition has no Spark
+F1 is this module's only Python UDF: Unicode NFKD decomposition has no Spark
 SQL equivalent. It is an Arrow-batched pandas UDF; callers apply it to
-distinct values where they can. Everything else is JVM-side SQL.
+distinct values where they can. Everything else here is JVM-side SQL.
 """
 
 from __future__ import annotations
@@ -63,7 +63,7 @@ def ratio_process(col: Column | str) -> Column:
 
 
 # Bit-parallel LCS length (one 64-bit word): strings up to 62 characters on
-# the mask side; longer ones take the dynamic-programming form below.
+# the mask side; longer ones take several words (lcs_words).
 MAX_BITS = 62
 
 
@@ -75,7 +75,7 @@ def _bit(j: Column) -> Column:
 def char_masks(col: Column | str) -> Column:
     """map<char, bigint>: bit j set where the string has that char at j.
     Only the first 63 positions get bits (a 64-bit word); longer strings are
-    scored by :func:`lcs_dp`, which does not use the masks."""
+    scored by :func:`lcs_words`, which makes its own."""
     col = F.col(col) if isinstance(col, str) else col
     return F.map_from_entries(F.transform(
         F.array_distinct(F.split(col, "")),
@@ -124,16 +124,32 @@ def lcs_bits_codes(codes: Column, mask_arr: Column, lb: Column) -> Column:
     return lb - F.bit_count(F.aggregate(codes, full, step))
 
 
-def lcs_dp(a: Column, b: Column) -> Column:
-    """LCS length by dynamic programming over rows (any length)."""
-    return F.aggregate(
-        F.split(a, ""), F.array_repeat(F.lit(0), F.length(b) + 1),
-        lambda prev, ca: F.aggregate(
-            F.sequence(F.lit(1), F.length(b)), F.array(F.lit(0)),
-            lambda acc, j: F.concat(acc, F.array(
-                F.when(ca == F.substring(b, j, 1), F.get(prev, j - 1) + 1)
-                .otherwise(F.greatest(F.get(acc, j - 1), F.get(prev, j)))))),
-        lambda row: F.get(row, F.length(b)))
+def lcs_words(a: Column, b: Column) -> Column:
+    """LCS length for a ``b`` of any length: the bits of :func:`lcs_bits` over
+    several 62-bit words, the sum's carry handed on to the next word. The work
+    is the length of ``a`` times the words of ``b``."""
+    full = _bit(F.lit(MAX_BITS)) - 1
+    zero = F.lit(0).cast("long")
+    starts = F.sequence(F.lit(0), F.greatest(F.length(b) - 1, F.lit(0)), F.lit(MAX_BITS))
+    parts = F.transform(starts, lambda k: F.substr(b, k + 1, F.lit(MAX_BITS)))
+    fulls = F.transform(parts, lambda x: _bit(F.length(x)) - 1)
+    masks = F.transform(parts, char_masks)
+
+    def step(state, ch):
+        def word(acc, i):
+            v, f = F.get(state["v"], i), F.get(state["full"], i)
+            u = v.bitwiseAND(F.coalesce(F.try_element_at(F.get(state["masks"], i), ch), zero))
+            total = v + u + acc["carry"]
+            return F.struct(F.concat(acc["out"], F.array(total.bitwiseOR(v - u).bitwiseAND(f))).alias("out"),
+                            F.when(total > full, F.lit(1)).otherwise(F.lit(0)).cast("long").alias("carry"))
+
+        empty = F.struct(F.array().cast("array<bigint>").alias("out"), zero.alias("carry"))
+        out = F.aggregate(F.sequence(F.lit(0), F.size(state["v"]) - 1), empty, word, lambda acc: acc["out"])
+        return F.struct(out.alias("v"), state["full"].alias("full"), state["masks"].alias("masks"))
+
+    # masks and full words ride in the state: as expressions they'd be made again for each character
+    start = F.struct(fulls.alias("v"), fulls.alias("full"), masks.alias("masks"))
+    return F.aggregate(F.split(a, ""), start, step, lambda s: F.length(b) - F.aggregate(s["v"], F.lit(0), lambda n, x: n + F.bit_count(x)))
 
 
 def fuzzy_ratio(a: Column, b: Column, b_masks: Column | None = None) -> Column:
@@ -141,7 +157,7 @@ def fuzzy_ratio(a: Column, b: Column, b_masks: Column | None = None) -> Column:
     already processed strings; equal strings score 100, an empty one 0."""
     la, lb = F.length(a), F.length(b)
     masks = b_masks if b_masks is not None else char_masks(b)
-    lcs = F.when(lb <= MAX_BITS, lcs_bits(a, masks, lb)).otherwise(lcs_dp(a, b))
+    lcs = F.when(lb <= MAX_BITS, lcs_bits(a, masks, lb)).otherwise(lcs_words(a, b))
     raw = F.lit(100.0) * ((F.lit(2) * lcs).cast("double") / (la + lb).cast("double"))
     return (F.when(a == b, F.lit(100))
             .when((la == 0) | (lb == 0), F.lit(0))

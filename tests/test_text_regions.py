@@ -42,9 +42,21 @@ def test_lcs_bits_matches_dp(spark):
     out = df.select("a", "b", T.lcs_bits(F.col("a"), T.char_masks(F.col("b")), F.length("b")).alias("bits"),
                     T.lcs_bits_codes(T.char_codes(F.col("a")), T.ascii_mask_array(T.char_masks(F.col("b"))),
                                      F.length("b")).alias("codes"),
-                    T.lcs_dp(F.col("a"), F.col("b")).alias("dp")).collect()
+                    T.lcs_words(F.col("a"), F.col("b")).alias("words")).collect()
     for r in out:
-        assert r.bits == r.codes == r.dp == _lcs(r.a, r.b)
+        assert r.bits == r.codes == r.words == _lcs(r.a, r.b)
+
+
+def test_long_names(spark):
+    """Names of 63-300 characters against the plain rule."""
+    rnd = random.Random(11)
+    name = lambda: "".join(rnd.choice("abcde fé") for _ in range(rnd.choice([1, 30, 61, 62, 63, 123, 124, 125, 186, 300])))
+    pairs = [(name(), name()) for _ in range(60)] + [("ab" * 60, "ba" * 60), ("a" * 124, "a" * 125), ("a" * 300, "b" * 300), ("", "a" * 70)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for r in df.select("a", "b", T.lcs_words(F.col("a"), F.col("b")).alias("n"), T.fuzzy_ratio(F.col("a"), F.col("b")).alias("score")).collect():
+        n = _lcs(r.a, r.b) if r.a else 0
+        assert r.score == (100 if r.a == r.b else round(200.0 * n / (len(r.a) + len(r.b))))
+        assert not r.a or r.n == n
 
 
 def test_g6_cascade(spark):
