@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 
 MAX_STATES = 150_000
+START = ((0, -1, 0),)   # at a word's beginning
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -62,8 +63,8 @@ class Transducer:
         self._reset()
 
     def _reset(self):
-        self.number: dict[tuple, int] = {((0, -1, 0),): 0}
-        self.items: list[tuple] = [((0, -1, 0),)]
+        self.number: dict[tuple, int] = {START: 0}
+        self.items: list[tuple] = [START]
         self.next: list[dict[int, tuple[int, int]]] = [{}]
 
     def merge(self, word: bytes) -> list[int]:
@@ -100,13 +101,30 @@ class Transducer:
         if last is None:
             raise ValueError("the vocabulary does not cover every byte")
         items = tuple((n, before, rel - emitted) for n, before, rel in grown if self.trie[n]) + ((0, last, 0),)
+        s = self._state(items)
+        self.next[state][byte] = s, emitted
+        return s, emitted
+
+    def _state(self, items: tuple) -> int:
         s = self.number.get(items)
         if s is None:
             s = self.number[items] = len(self.items)
             self.items.append(items)
             self.next.append({})
-        self.next[state][byte] = s, emitted
-        return s, emitted
+        return s
+
+    def advance(self, items: tuple, data: bytes) -> tuple[tuple, int]:
+        """From the state of these items over more bytes: (items of the state, tokens emitted)."""
+        s, n = self._state(items), 0
+        for at in range(0, len(data), 4096):
+            if len(self.items) > MAX_STATES:
+                items = self.items[s]
+                self._reset()
+                s = self._state(items)
+            for b in data[at:at + 4096]:
+                s, more = self.next[s].get(b) or self.compile(s, b)
+                n += more
+        return self.items[s], n
 
     def counts(self, words: list[bytes]) -> list[int]:
         """Tokens of each word; sorted words reuse the run over a shared prefix."""

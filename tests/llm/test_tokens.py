@@ -116,3 +116,39 @@ def test_known_words_are_bounded(monkeypatch, library):
     for t in texts:
         assert e.encode(pa.array([t]), decode=False)[0].as_py() == library[1].encode_ordinary(t)
         assert len(e.raw) <= 2000 + len(t)
+
+
+def test_chunk_maps_carry_states(spark, library):
+    """Long words, runs, special strings and white space cut anywhere; composed in several levels."""
+    random.seed(5)
+    special = "<|endoftext|>"
+    parts = ["a", "ab", "x" * 40, "é漢", " ", "  ", "\n\n", "'s", "'", "re", "12", "!?", "\U0001F600", special, special[:5], "the", "don't", "\t"]
+    texts = ["".join(random.choices(parts, k=400)) for _ in range(12)]
+    texts += ["".join(random.choices("etaoinshrdlu", k=9000)), "=" * 7000, "ab" * 4000 + "a", special * 300, "漢字" * 2000, " " * 3000 + "x", "\n" * 2999]
+    want = [len(e.ids) for e in library[0].encode_batch(texts, add_special_tokens=False)]
+    for chunk in (100, 1024):
+        got = {r.doc_id: r.n_tokens for r in count_tokens(frame(spark, list(enumerate(texts))), JSON, chunk=chunk).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_wrong_guess_is_mended(library):
+    """A map entered with a state it wasn't guessed for gives the library's count."""
+    from sparkcast.llm.token_counts import BETWEEN, Counter
+    c = Counter.of(JSON)
+    t = b"=" * 5003
+    _, state, n = c.chunk(t[:2001 + 256], 0, 2001, True, False, None)[0]
+    assert state != BETWEEN
+    seen = t[2001 - 256:]
+    guess = c.chunk(seen, 256, len(seen), False, True, None)[0][0]
+    end, more = {s: (t, m) for s, t, m in c.chunk(seen, 256, len(seen), False, True, [state])}[state]
+    assert guess != state and end == BETWEEN and n + more == len(library[0].encode(t.decode(), add_special_tokens=False).ids)
+
+
+def test_long_word_is_counted_by_several_tasks(spark, library):
+    """Ten megabytes without white space: every chunk is a task's row of its own."""
+    random.seed(6)
+    text = "".join(random.choices(["the", "ing", "q", "x7", "Zeta", "-", "漢"], k=1_200_000))[:3_300_000]
+    text *= -(-10_000_000 // len(text.encode()))
+    row = count_tokens(spark.createDataFrame([(1, text)], "doc_id long, text string"), JSON).first()
+    assert row.n_bytes == len(text.encode()) >= 10_000_000
+    assert row.n_tokens == len(library[0].encode(text, add_special_tokens=False).ids)
