@@ -9,6 +9,7 @@ from ..cols import c, lag_name, neighbour_name
 from ..operators import forecast, panel, region_forests as RF
 from ..operators.incremental import PanelStore
 from ..session import scratch_path
+from ..sources.sinks import write_panel
 from . import standins as S
 
 ROUND = 9   # doubles are reported rounded to 9 decimals (same on the SQL side)
@@ -124,7 +125,20 @@ def incremental_panel(spark, sf_dir):
     return store.read(S.DECAY, S.START_YEAR).select("region_id", "month", *[c(x) for x in cols], *[c(lag_name(x, S.LAG)) for x in cols])
 
 
+BUCKETS = 32    # of the stored panel
+
+
+def stored_panel(spark, sf_dir):
+    """The monthly panel stored by region (K1); lags and holdout read it in place."""
+    import uuid
+    name = f"panel_{uuid.uuid4().hex}"
+    p = write_panel(monthly_event_panel(spark, sf_dir), name, scratch_path(spark, f"stored_panel/{name}"), BUCKETS)
+    out = forecast.split_holdout(panel.add_lags(p, S.EVENT_TYPES, S.LAG), S.HOLDOUT)
+    return out.select("region_id", "month", *[c(x) for x in S.EVENT_TYPES], *[c(lag_name(x, S.LAG)) for x in S.EVENT_TYPES], "split", "step")
+
+
 QUERIES = {
+    "stored_panel": stored_panel,
     "incremental_panel": incremental_panel,
     "region_tree": region_tree,
     "region_forest_eval": region_forest_eval,

@@ -120,6 +120,15 @@ SELECT region_id, month, CASE WHEN rn <= {S.HOLDOUT} THEN 'test' ELSE 'train' EN
 FROM r"""
 
 
+def stored_panel() -> str:
+    sel = ", ".join([q(x) for x in S.EVENT_TYPES] + [q(lag_name(x, S.LAG)) for x in S.EVENT_TYPES])
+    return f"""WITH {_full_ctes()},
+r AS (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY month DESC) AS rn FROM feat)
+SELECT region_id, month, {sel}, CASE WHEN rn <= {S.HOLDOUT} THEN 'test' ELSE 'train' END AS split,
+       CASE WHEN rn <= {S.HOLDOUT} THEN CAST({S.HOLDOUT} + 1 - rn AS INTEGER) END AS step
+FROM r"""
+
+
 def persistence_eval() -> str:
     unions = "\n  UNION ALL ".join(
         f"SELECT region_id, {lit(t)} AS target, CAST({q(t)} AS DOUBLE) AS y, "
@@ -180,6 +189,7 @@ SELECT region_id, month, target, step, y AS actual, round(predicted, 6) AS predi
 
 
 SQL = {
+    "stored_panel": stored_panel,
     "incremental_panel": lagged_panel,
     "region_tree": region_tree,
     "monthly_event_panel": monthly_event_panel,

@@ -5,8 +5,10 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..cols import c
+from ..operators.panel import MONTH, REGION
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
@@ -17,6 +19,25 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     w.save(path)
 
 
+def write_panel(df: DataFrame, table: str, path: str, buckets: int, region: str = REGION, month: str = MONTH) -> DataFrame:
+    """K1 with a layout: a table at ``path`` in ``buckets`` files by region (one
+    shuffle, one file a bucket), each sorted by region and month. Lags and holdout
+    over it need no exchange, one region reads one file. Regions without an id share
+    a bucket. Returns the table as read."""
+    (df.repartition(buckets, c(region)).write.mode("overwrite").format("parquet").bucketBy(buckets, region).sortBy(region, month)
+     .option("path", path).saveAsTable(table))
+    return df.sparkSession.table(table)
+
+
+def open_panel(spark: SparkSession, table: str, path: str, buckets: int, region: str = REGION, month: str = MONTH) -> DataFrame:
+    """A panel that another session has written, under its layout (``buckets`` as
+    written; files that don't fit it are an error when they are read)."""
+    schema = spark.read.parquet(path).schema.toDDL()
+    spark.sql(f"CREATE TABLE IF NOT EXISTS `{table}` ({schema}) USING parquet CLUSTERED BY (`{region}`) SORTED BY (`{region}`, `{month}`) "
+              f"INTO {int(buckets)} BUCKETS LOCATION '{path}'")
+    return spark.table(table)
+
+
 def write_indicators(long: DataFrame, wide: DataFrame | None, out_dir: str) -> None:
     """K2: one CSV folder per indicator (partitioned by indicator name) and
     the combined wide table when more than one indicator is present."""
