@@ -26,7 +26,7 @@ the first) have no inside; null rings and points are left out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 
 def ring_segments(boundaries: DataFrame, id_col: str = "region_id", rings: str = "rings", snap: int = 6) -> DataFrame:
@@ -53,35 +53,40 @@ def _cells(seg: DataFrame, cell: float, eps: float) -> DataFrame:
     return seg.select("*", F.explode(F.sequence(at(F.least(y0, y1) - eps), at(F.greatest(y0, y1) + eps))).alias("cy"))
 
 
-def _off(a: str, b: str, p: str) -> Column:
-    """Signed distance of point p from the line through a and b."""
-    return F.expr(f"(({b}x - {a}x) * ({p}y - {a}y) - ({b}y - {a}y) * ({p}x - {a}x)) / sqrt(({b}x - {a}x) * ({b}x - {a}x) + ({b}y - {a}y) * ({b}y - {a}y))")
+def _off(a: str, b: str, p: str) -> str:
+    """Signed distance of point p from the line through a and b, as SQL."""
+    return f"(({b}x - {a}x) * ({p}y - {a}y) - ({b}y - {a}y) * ({p}x - {a}x)) / sqrt(({b}x - {a}x) * ({b}x - {a}x) + ({b}y - {a}y) * ({b}y - {a}y))"
 
 
-def _along(a: str, b: str, p: str) -> Column:
-    """Where p lies along the segment from a (0) to b (1)."""
-    return F.expr(f"(({b}x - {a}x) * ({p}x - {a}x) + ({b}y - {a}y) * ({p}y - {a}y)) / (({b}x - {a}x) * ({b}x - {a}x) + ({b}y - {a}y) * ({b}y - {a}y))")
+def _along(a: str, b: str, p: str) -> str:
+    """Where p lies along the segment from a (0) to b (1), as SQL."""
+    return f"(({b}x - {a}x) * ({p}x - {a}x) + ({b}y - {a}y) * ({p}y - {a}y)) / (({b}x - {a}x) * ({b}x - {a}x) + ({b}y - {a}y) * ({b}y - {a}y))"
 
 
 def _meetings(seg: DataFrame, cell: float, eps: float) -> DataFrame:
     """One row for each pair of segments of two regions that meet: whether they
     cross, and where along each the other's ends lie on it."""
-    s = _cells(seg, cell, eps)
+    # a segment is few bytes but many pairs: read as they lie, all segments would be one task's
+    s = _cells(seg.repartition(int(seg.sparkSession.conf.get("spark.sql.shuffle.partitions"))), cell, eps)
     t = s.select(F.col("rid").alias("tid"), F.col("ring").alias("tring"), F.col("k").alias("tk"), F.col("ax").alias("cx_"), F.col("ay").alias("cy_"),
                  F.col("bx").alias("dx_"), F.col("by").alias("dy_"), "cx", "cy")
     t = t.toDF("tid", "tring", "tk", "Cx", "Cy", "Dx", "Dy", "gx", "gy")
     s = s.toDF("rid", "ring", "k", "Ax", "Ay", "Bx", "By", "gx", "gy")
-    j = s.join(t, ["gx", "gy"]).where("rid < tid").drop("gx", "gy")
-    j = j.withColumns({"oc": _off("A", "B", "C"), "od": _off("A", "B", "D"), "oa": _off("C", "D", "A"), "ob": _off("C", "D", "B")})
-
-    def on(off: str, along: Column) -> Column:
-        return F.when((F.abs(off) <= eps) & (along >= -eps) & (along <= 1 + eps), F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0)))
-
-    j = j.withColumns({"c_at": on("oc", _along("A", "B", "C")), "d_at": on("od", _along("A", "B", "D")),
-                       "a_at": on("oa", _along("C", "D", "A")), "b_at": on("ob", _along("C", "D", "B"))})
-    parted = lambda x, y: ((F.col(x) > eps) & (F.col(y) < -eps)) | ((F.col(x) < -eps) & (F.col(y) > eps))
-    j = j.withColumn("crossing", parted("oc", "od") & parted("oa", "ob"))
-    return j.where("crossing OR coalesce(c_at, d_at, a_at, b_at) IS NOT NULL").drop("oc", "od", "oa", "ob")
+    # boxes that are apart by more than what counts as on a segment (eps across, eps of its length along) don't meet
+    reach = F.lit(4 * eps) * F.expr("1 + abs(Bx - Ax) + abs(By - Ay) + abs(Dx - Cx) + abs(Dy - Cy)")
+    beside = [F.expr(f"greatest(least(A{x}, B{x}) - greatest(C{x}, D{x}), least(C{x}, D{x}) - greatest(A{x}, B{x}))") <= reach for x in "xy"]
+    j = s.join(t, ["gx", "gy"]).where("rid < tid").where(beside[0]).where(beside[1]).drop("gx", "gy")
+    # What is left goes through array functions a pair at a time: as columns, each of
+    # these is copied into those built on it, and the join's code grows beyond what is compiled.
+    ends = (("c", "A", "B", "C"), ("d", "A", "B", "D"), ("a", "C", "D", "A"), ("b", "C", "D", "B"))
+    at = ", ".join(f"'{p}', named_struct('off', {_off(f'z.{a}', f'z.{b}', f'z.{q}')}, 'along', {_along(f'z.{a}', f'z.{b}', f'z.{q}')})" for p, a, b, q in ends)
+    on = ", ".join(f"'{p}_at', if(abs(z.{p}.off) <= {eps}D AND z.{p}.along >= -{eps}D AND z.{p}.along <= 1 + {eps}D, least(greatest(z.{p}.along, 0D), 1D), NULL)" for p, *_ in ends)
+    parted = lambda x, y: f"((z.{x}.off > {eps}D AND z.{y}.off < -{eps}D) OR (z.{x}.off < -{eps}D AND z.{y}.off > {eps}D))"
+    points = ", ".join(f"'{p}{x}', {p}{x}" for p in "ABCD" for x in "xy")
+    hits = f"""filter(transform(transform(array(named_struct({points})), z -> named_struct({at})),
+                                z -> named_struct({on}, 'crossing', {parted("c", "d")} AND {parted("a", "b")})),
+                      z -> z.crossing OR coalesce(z.c_at, z.d_at, z.a_at, z.b_at) IS NOT NULL)"""
+    return j.select("*", F.explode(F.expr(hits)).alias("z")).select(*j.columns, "z.*")
 
 
 def _middles(met: DataFrame, pairs: DataFrame, eps: float) -> DataFrame:

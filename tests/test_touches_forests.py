@@ -41,6 +41,16 @@ def test_touching(spark):
         assert got == {p for x in TOUCH for p in ((x[0], x[1]), (x[1], x[0]))}
 
 
+def test_meetings_are_spread(spark):
+    """Segments of one file and few bytes: the pairs aren't all one task's."""
+    from sparkcast.operators import touches as T
+    rows = [(k, [[{"x": float(x + 3 * k), "y": float(y)} for x, y in box(0, 0, 3, 3)]]) for k in range(40)]
+    df = spark.createDataFrame(rows, "region_id long, rings array<array<struct<x: double, y: double>>>").coalesce(1)
+    met = T._meetings(T.ring_segments(df), 4.0, 1e-9)
+    assert len([n for n in met.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]) > 1
+    assert touching(df, cell=4.0).count() == 2 * 39
+
+
 def test_touching_empty(spark):
     df = spark.createDataFrame([], "region_id string, rings array<array<struct<x: double, y: double>>>")
     assert touching(df).count() == 0
