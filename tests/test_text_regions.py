@@ -119,3 +119,23 @@ def test_length_buckets_never_split_admissible_pairs():
         for b in range(a, 1000):
             if 200 * a >= 59.5 * (a + b):
                 assert abs(math.floor(math.log(a) / base) - math.floor(math.log(b) / base)) <= 1
+
+
+def test_normalize_holds_a_slice_of_strings():
+    """Long texts aren't all held as strings at once, several times over; the result is that of each value."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from sparkcast.functions.text import normalize_array
+    odd = [None, "", " \t", "são  tomé e príncipe", "o'brien-st. x1y", "\x1cA\x1f b", "北 京", "ﬁ Ⅳ"]
+    for strip, want in ((False, ["", "", "", "Sao Tome E Principe", "O'Brien-St. X1Y", "A B", "", "Fi Iv"]),
+                        (True, ["", "", "", "Sao Tome E Principe", "Obrienst X1Y", "A B", "", "Fi Iv"])):
+        assert normalize_array(pa.array(odd), strip).to_pylist() == want
+    col = pa.array(["word " * 1000 + str(i) for i in range(4000)])
+    tracemalloc.start()
+    out = normalize_array(col)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 4000 and out[7].as_py() == "Word " * 1000 + "7"
+    assert peak < 6 << 20       # of 20 MB
