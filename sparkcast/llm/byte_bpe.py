@@ -55,6 +55,8 @@ BLOCK = 32
 BESIDE = 3              # tokens on either side of a failed seam made again, one more each round
 ROWS = 4_000_000        # token-position rows that one recursive query may keep (half the square of a word's length)
 POOL = 64 << 20         # bytes of known words after which an encoder starts anew
+SLICE = (256 << 10) - 1  # bytes of texts whose characters are looked at together, at some hundred bytes of arrays each
+GROUP = 1 << 20         # bytes of texts whose new words are merged together
 
 _encoders: dict[str, "Encoder"] = {}
 tb.kept.append(_encoders)
@@ -90,6 +92,7 @@ class Encoder:
     @staticmethod
     def of(path: str) -> "Encoder":
         if path not in _encoders:
+            tb.begin()
             _encoders[path] = Encoder(path)
         return _encoders[path]
 
@@ -190,17 +193,19 @@ class Encoder:
         ids = [x.tolist() for x in np.split(t, np.flatnonzero(first)[1:])] if words else []
         return ids, [b"".join(map(self.token.__getitem__, x)) for x in ids]
 
-    def _numbers(self, buf: np.ndarray, st: np.ndarray) -> np.ndarray:
-        """Number of each word of a batch among the known words."""
-        end = np.append(st[1:], len(buf))
-        keys, at, number = distinct(tb.span_hash(tb.prefix(buf), st, end))
+    def _numbers(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Number among the known words of each word of some slices: (bytes, where words begin, their hashes)."""
+        keys, at, number = distinct(np.concatenate([h for _, _, h in parts]))
         if len(self.cache) > self.cache.limit or len(self.raw) > POOL:
             self._reset()
         n = self.cache.find(keys)
         new = np.flatnonzero(n < 0)
         if len(new):
-            raw = buf.tobytes()
-            ids, back = self.merged([raw[s:e] for s, e in zip(st[at[new]].tolist(), end[at[new]].tolist())])
+            first = np.cumsum([0] + [len(st) for _, st, _ in parts])
+            part = np.searchsorted(first, at[new], "right") - 1
+            raw = [buf.tobytes() for buf, _, _ in parts]
+            edge = [np.append(st, len(buf)) for buf, st, _ in parts]
+            ids, back = self.merged([raw[k][edge[k][i]:edge[k][i + 1]] for k, i in zip(part.tolist(), (at[new] - first[part]).tolist())])
             n[new] = len(self.id_at) - 1 + np.arange(len(new))
             self.cache.add(keys[new], n[new])
             self.id_at = np.concatenate([self.id_at, self.id_at[-1] + np.cumsum([len(x) for x in ids])])
@@ -216,23 +221,34 @@ class Encoder:
         ends = np.concatenate([[0], np.cumsum(size)])
         return pool[np.repeat(at[n] - ends[:-1], size) + np.arange(ends[-1])], ends
 
+    @staticmethod
+    def _groups(col):
+        """Slices in groups: (bytes, offsets, where words begin, their hashes) of each."""
+        parts, size = [], 0
+        for _, buf, offs in tb.slices(col, SLICE):
+            st = pretoken.starts(buf, offs)
+            parts.append((buf, offs, st, tb.span_hash(tb.prefix(buf), st, np.append(st[1:], len(buf)).astype(np.int64)[:len(st)])))
+            size += len(buf)
+            if size >= GROUP:
+                yield parts
+                parts, size = [], 0
+        if parts:
+            yield parts
+
     def encode(self, col, decode: bool = True) -> pa.StructArray:
         """ids: list of int32 and, if asked for, decoded: binary, of each text."""
         ids, raw, id_end, raw_end = [], [], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
-        for _, buf, offs in tb.slices(col, (1 << 20) - 1):
-            st = pretoken.starts(buf, offs)
-            if len(st):
-                n = self._numbers(buf, st)
+        for parts in self._groups(col):
+            n = self._numbers([(buf, st, h) for buf, _, st, h in parts])
+            for _, offs, st, _ in parts:
+                here, n = n[:len(st)], n[len(st):]
                 first = np.searchsorted(st, offs)
-                i, i_ends = self._gather(self.ids, self.id_at, n)
-                r, r_ends = self._gather(self.raw, self.raw_at, n) if decode else (np.empty(0, np.uint8), np.zeros(len(n) + 1, np.int64))
-            else:
-                first = np.zeros(len(offs), np.int64)
-                i, r, i_ends, r_ends = np.empty(0, np.int32), np.empty(0, np.uint8), first, first
-            ids.append(i)
-            raw.append(r)
-            id_end.append(id_end[-1][-1] + i_ends[first[1:]])
-            raw_end.append(raw_end[-1][-1] + r_ends[first[1:]])
+                i, i_ends = self._gather(self.ids, self.id_at, here)
+                r, r_ends = self._gather(self.raw, self.raw_at, here) if decode else (np.empty(0, np.uint8), np.zeros(len(here) + 1, np.int64))
+                ids.append(i)
+                raw.append(r)
+                id_end.append(id_end[-1][-1] + i_ends[first[1:]])
+                raw_end.append(raw_end[-1][-1] + r_ends[first[1:]])
         cat = lambda x, d: np.concatenate(x) if x else np.empty(0, d)
         at = pa.array(cat(id_end, np.int64), pa.int32())
         lists = pa.ListArray.from_arrays(at, pa.array(cat(ids, np.int32)))

@@ -152,3 +152,29 @@ def test_long_word_is_counted_by_several_tasks(spark, library):
     row = count_tokens(spark.createDataFrame([(1, text)], "doc_id long, text string"), JSON).first()
     assert row.n_bytes == len(text.encode()) >= 10_000_000
     assert row.n_tokens == len(library[0].encode(text, add_special_tokens=False).ids)
+
+
+def test_byte_bpe_looks_at_small_slices(monkeypatch):
+    """Arrays of characters are made for a slice at a time; new words are merged for several slices together; what other operators kept goes."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from sparkcast.llm import byte_bpe as B, pretoken, textbytes as tb
+    col = pa.array([f"some words, ne{i}w{i * 7} été " * 40 for i in range(1500)])
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    other = {"index": 1}
+    monkeypatch.setattr(tb, "kept", [*tb.kept, other])
+    B._encoders.clear()
+    e = B.Encoder.of(path)
+    assert not other
+    sizes, queries = [], []
+    starts, merged = pretoken.starts, e.merged
+    monkeypatch.setattr(pretoken, "starts", lambda buf, offs: (sizes.append(len(buf)), starts(buf, offs))[1])
+    monkeypatch.setattr(e, "merged", lambda words: (queries.append(len(words)), merged(words))[1])
+    got = e.encode(col)
+    assert sum(sizes) > 1_500_000 and max(sizes) <= 300_000
+    assert len(queries) < len(sizes)
+    assert got.field("decoded").to_pylist() == [x.encode() for x in col.to_pylist()]
+    e._reset()
+    one = [e.encode(col.slice(i, 1), decode=False).to_pylist()[0] for i in (0, 777, 1499)]
+    assert one == [got.field("ids")[i].as_py() for i in (0, 777, 1499)]
