@@ -7,7 +7,10 @@ left; an ordered aggregation of the tokens' bytes decodes the words. Words of
 over 64 bytes go through the same query in blocks whose seams are checked and
 mended (see BLOCK), so that the work grows with a word's length and not with its
 square. What is known of a word is kept in the process (bounded in words and
-bytes), and texts are put together from their words by array operations. No text leaves its row: no
+bytes: when full, words that were met again stay), and texts are put together from their words by array operations. The
+DuckDB is there only while a batch is encoded: Spark deals tasks to its idle
+Python workers in turn, so a machine's memory holds more of them than it has
+cores. No text leaves its row: no
 shuffle, no driver work, and a lost task is simply run again.
 
 Defined results: a null text is the empty text (no ids, empty bytes); texts of
@@ -19,6 +22,7 @@ pass through and input columns named like the outputs are replaced.
 from __future__ import annotations
 
 import base64
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,7 @@ from . import pretoken, textbytes as tb
 from .wordcache import WordCache, distinct
 
 WORDS = 20_000          # words of one recursive query
+KNOWN = 1_000_000       # known words after which those that weren't met again go
 
 MERGE = """
 WITH RECURSIVE step AS (
@@ -54,7 +59,7 @@ FROM step JOIN vocabulary ON id = t WHERE done GROUP BY w ORDER BY w
 BLOCK = 32
 BESIDE = 3              # tokens on either side of a failed seam made again, one more each round
 ROWS = 4_000_000        # token-position rows that one recursive query may keep (half the square of a word's length)
-POOL = 64 << 20         # bytes of known words after which an encoder starts anew
+POOL = 16 << 20         # bytes of known words after which those that weren't met again go
 SLICE = (256 << 10) - 1  # bytes of texts whose characters are looked at together, at some hundred bytes of arrays each
 GROUP = 1 << 20         # bytes of texts whose new words are merged together
 
@@ -72,22 +77,23 @@ class Encoder:
     token is its id, so of two merges the one that makes the smaller id goes first."""
 
     def __init__(self, path: str):
-        import duckdb
         self.ranks = ranks = read_ranks(path)
-        pairs = [(a << 32 | b, i) for t, i in ranks.items() for k in range(1, len(t))
-                 if (a := ranks.get(t[:k])) is not None and (b := ranks.get(t[k:])) is not None]
-        self.db = duckdb.connect(config={"threads": 1, "temp_directory": "", "memory_limit": "512MB"})
-        self.db.execute("SET preserve_insertion_order = false")
-        for name, table in (
-                ("merges", pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "id": pa.array([i for _, i in pairs], pa.int64())})),
-                ("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int64()), "bytes": pa.array([t.hex() for t in ranks], pa.string())}))):
-            self.db.register("given", table)
-            self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
-            self.db.unregister("given")
+        pair, made = array("q"), array("q")
+        for t, i in ranks.items():
+            for k in range(1, len(t)):
+                if (a := ranks.get(t[:k])) is not None and (b := ranks.get(t[k:])) is not None:
+                    pair.append(a << 32 | b), made.append(i)
+        self.tables = {"merges": pa.table({"pair": np.frombuffer(pair, np.int64), "id": np.frombuffer(made, np.int64)}),
+                       "vocabulary": pa.table({"id": pa.array(ranks.values(), pa.int64()), "bytes": pa.array([t.hex() for t in ranks], pa.string())})}
+        self.db = None
         self.token = {i: t for t, i in ranks.items()}
         self.byte = np.array([ranks[bytes((b,))] for b in range(256)], np.int64)
-        self.cache = WordCache(1_000_000)
-        self._reset()
+        self.cache = WordCache(KNOWN)
+        self.fits: dict[tuple[int, int], bool] = {}
+        # ids and bytes of known words, one after the other; where each begins; whether it was met again
+        self.ids, self.raw = np.empty(0, np.int32), np.empty(0, np.uint8)
+        self.id_at, self.raw_at = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.again = np.empty(0, bool)
 
     @staticmethod
     def of(path: str) -> "Encoder":
@@ -96,15 +102,42 @@ class Encoder:
             _encoders[path] = Encoder(path)
         return _encoders[path]
 
+    def _open(self):
+        import duckdb
+        self.db = duckdb.connect(config={"threads": 1, "temp_directory": "", "memory_limit": "512MB"})
+        self.db.execute("SET preserve_insertion_order = false")
+        for name, table in self.tables.items():
+            self.db.register("given", table)
+            self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
+            self.db.unregister("given")
+
+    def _close(self):
+        """The database's memory goes back to the system; the next batch's new words open another."""
+        if self.db is not None:
+            self.db.close()
+            self.db = None
+            tb.release()
+
     def _reset(self):
-        self.cache.clear()
-        self.fits: dict[tuple[int, int], bool] = {}
-        # ids and bytes of known words, one after the other; where each begins
-        self.ids, self.raw = np.empty(0, np.int32), np.empty(0, np.uint8)
-        self.id_at, self.raw_at = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.again[:] = False
+        self.fits.clear()
+        self._forget()
+
+    def _forget(self):
+        """Of the known words stay those that were met again since the last
+        time, the first of them, up to half of what may be kept."""
+        stay = np.flatnonzero(self.again)[:self.cache.limit // 2]
+        stay = stay[np.cumsum(self.raw_at[stay + 1] - self.raw_at[stay]) <= POOL // 2]
+        number = np.full(len(self.again), -1, np.int64)
+        number[stay] = np.arange(len(stay))
+        self.cache.renumber(number)
+        (self.ids, self.id_at), (self.raw, self.raw_at) = self._gather(self.ids, self.id_at, stay), self._gather(self.raw, self.raw_at, stay)
+        self.again = np.zeros(len(stay), bool)
 
     def _contract(self, words: list[bytes]) -> tuple[list[list[int]], list[bytes]]:
         """Ids and decoded bytes of each word, from its single bytes, by recursive queries."""
+        if words and self.db is None:
+            self._open()
         ids: list = [None] * len(words)
         back: list = [None] * len(words)
         size = np.array([len(w) for w in words], np.int64)
@@ -140,7 +173,7 @@ class Encoder:
         for x, got in zip(new, self._contract([self.token[x] + self.token[y] for x, y in new])[0]):
             self.fits[x] = got == list(x)
         out = np.array([self.fits[x] for x in pairs], bool)
-        if len(self.fits) > self.cache.limit:
+        if len(self.fits) > self.cache.limit // 4:
             self.fits.clear()
         return out
 
@@ -197,21 +230,27 @@ class Encoder:
         """Number among the known words of each word of some slices: (bytes, where words begin, their hashes)."""
         keys, at, number = distinct(np.concatenate([h for _, _, h in parts]))
         if len(self.cache) > self.cache.limit or len(self.raw) > POOL:
-            self._reset()
+            self._forget()
         n = self.cache.find(keys)
+        self.again[n[n >= 0]] = True
         new = np.flatnonzero(n < 0)
         if len(new):
             first = np.cumsum([0] + [len(st) for _, st, _ in parts])
             part = np.searchsorted(first, at[new], "right") - 1
             raw = [buf.tobytes() for buf, _, _ in parts]
             edge = [np.append(st, len(buf)) for buf, st, _ in parts]
-            ids, back = self.merged([raw[k][edge[k][i]:edge[k][i + 1]] for k, i in zip(part.tolist(), (at[new] - first[part]).tolist())])
+            id_at, raw_at, all_ids, all_raw = [self.id_at], [self.raw_at], [self.ids], [self.raw]
+            part, at = part.tolist(), (at[new] - first[part]).tolist()
+            for lo in range(0, len(new), WORDS):        # Python objects of so many words at once
+                ids, back = self.merged([raw[k][edge[k][i]:edge[k][i + 1]] for k, i in zip(part[lo:lo + WORDS], at[lo:lo + WORDS])])
+                id_at.append(id_at[-1][-1] + np.cumsum([len(x) for x in ids]))
+                raw_at.append(raw_at[-1][-1] + np.cumsum([len(x) for x in back]))
+                all_ids.append(np.fromiter((i for x in ids for i in x), np.int32))
+                all_raw.append(np.frombuffer(b"".join(back), np.uint8))
             n[new] = len(self.id_at) - 1 + np.arange(len(new))
             self.cache.add(keys[new], n[new])
-            self.id_at = np.concatenate([self.id_at, self.id_at[-1] + np.cumsum([len(x) for x in ids])])
-            self.raw_at = np.concatenate([self.raw_at, self.raw_at[-1] + np.cumsum([len(x) for x in back])])
-            self.ids = np.concatenate([self.ids, np.array([i for x in ids for i in x], np.int32)])
-            self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(back), np.uint8)])
+            self.id_at, self.raw_at, self.ids, self.raw = (np.concatenate(x) for x in (id_at, raw_at, all_ids, all_raw))
+            self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
         return n[number]
 
     @staticmethod
@@ -249,6 +288,7 @@ class Encoder:
                 raw.append(r)
                 id_end.append(id_end[-1][-1] + i_ends[first[1:]])
                 raw_end.append(raw_end[-1][-1] + r_ends[first[1:]])
+        self._close()
         cat = lambda x, d: np.concatenate(x) if x else np.empty(0, d)
         at = pa.array(cat(id_end, np.int64), pa.int32())
         lists = pa.ListArray.from_arrays(at, pa.array(cat(ids, np.int32)))

@@ -242,7 +242,8 @@ def _indexes(items: DataFrame, id_col: str, text: str):
 
 def _matches(docs: DataFrame, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
     schema = "_id long, _th long, item_id long, score double, question_overlap double, answer_overlap double"
-    found = docs.sparkSession.createDataFrame([], schema)
+    # no rows; made of a Python list, each executor would keep Python workers of another kind for it
+    found = docs.sparkSession.range(0).select(F.from_json(F.lit(None).cast("string"), schema).alias("m")).select("m.*")
     for index in _indexes(items, item_id, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(index)
         part = docs.mapInArrow(_search(shared, 2 * max(WINDOW // 2, index.longest)), schema)

@@ -172,7 +172,9 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     keep = [F.col(f"`{c}`") for c in df.columns if c not in made]
     raw: Column = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     known = raw.rlike(r"\p{L}") & F.lit(bool(model.languages))
-    return (df.withColumns({"_m": classify(raw), "_known": known})
+    # evaluated once a row: a filter on the result would bring a second copy into its tasks, and with it more Python workers
+    once = classify.asNondeterministic()
+    return (df.withColumns({"_m": once(raw), "_known": known})
             .select(*keep, F.when(F.col("_known"), F.col("_m.lang_pred")).otherwise(F.lit(UNKNOWN)).alias("lang_pred"),
                     F.when(F.col("_known"), F.col("_m.score")).otherwise(F.lit(0.0)).alias("score"),
                     (~F.col("_known") | F.col("_m.ambiguous")).alias("ambiguous")))

@@ -22,7 +22,7 @@ def _classes() -> np.ndarray:
     if _table is None:
         import regex
         t = np.full(0x110000, O, np.uint8)
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        every = np.r_[0:0xD800, 0xE000:0x110000].astype("<u4").tobytes().decode("utf-32-le")    # not a Python object a character
         for pat, c in ((r"\p{L}+", L), (r"\p{N}+", N)):
             for m in regex.finditer(pat, every):
                 t[ord(m[0][0]):ord(m[0][-1]) + 1] = c

@@ -35,6 +35,13 @@ class WordCache:
         self.keys = np.insert(self.keys, at, keys)
         self.values = np.insert(self.values, at, values)
 
+    def renumber(self, number: np.ndarray):
+        """Value v becomes number[v]; words whose number is negative go."""
+        values = number[self.values]
+        stay = values >= 0
+        self.keys, self.values = self.keys[stay], values[stay]
+
+
 
 def distinct(h: np.ndarray):
     """(sorted distinct hashes, an index of each, number of every element's hash)."""

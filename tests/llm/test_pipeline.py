@@ -82,3 +82,25 @@ def test_passage_of_51_short_words_goes(spark, word):
     after = rows(dict(C.STAGES)["passages"](spark, docs, SF))
     assert planted in after[0] and planted not in after[1]
     assert all(part in after[n] for n in (0, 1) for part in around[n])
+
+
+@pytest.mark.parametrize("name", ["language", "passages"])
+def test_texts_go_through_python_once(spark, name, capsys):
+    """A filter on a function's result doesn't bring a second copy of the function into its tasks."""
+    df = spark.createDataFrame([(i, f"some words of text {i}", "en" if i % 2 else "de", "s", 20) for i in range(6)],
+                               "doc_id long, text string, lang string, source string, n_chars long")
+    out = dict(C.STAGES)[name](spark, df, SF)
+    out.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1 and out.count() == 6
+
+
+def test_benchmark_without_items_needs_no_python_rows(spark, capsys):
+    """Nothing is made of a Python list: it would take Python workers of another kind on every executor."""
+    from sparkcast.llm.decontaminate import find_leaks
+    docs = spark.createDataFrame([(1, "a text")], "doc_id long, text string").select("*")
+    items = spark.range(0).selectExpr("id as item_id", "cast(id as string) as text")
+    out = find_leaks(spark.range(1).selectExpr("id as doc_id", "'a text' as text"), items)
+    out.explain()
+    assert "ExistingRDD" not in capsys.readouterr().out
+    assert out.dtypes == [("doc_id", "bigint"), ("item_id", "bigint"), ("score", "double"), ("question_overlap", "double"), ("answer_overlap", "double")]
+    assert out.count() == 0 and find_leaks(docs, items).count() == 0

@@ -178,3 +178,34 @@ def test_byte_bpe_looks_at_small_slices(monkeypatch):
     e._reset()
     one = [e.encode(col.slice(i, 1), decode=False).to_pylist()[0] for i in (0, 777, 1499)]
     assert one == [got.field("ids")[i].as_py() for i in (0, 777, 1499)]
+
+
+def test_byte_bpe_keeps_little_between_batches(monkeypatch, library):
+    """No database between batches; of known words those met again stay, with the library's ids."""
+    random.seed(8)
+    e = Encoder(RANKS)
+    monkeypatch.setattr(e.cache, "limit", 300)
+    common = " ".join(f"often{i}x" for i in range(40))
+    for _ in range(12):
+        t = common + " " + " ".join("".join(random.choices("abcdefgh", k=12)) for _ in range(60))
+        got = e.encode(pa.array([t, None, ""]).fill_null(""))
+        assert got.field("ids").to_pylist() == [library[1].encode_ordinary(t), [], []]
+        assert got.field("decoded").to_pylist() == [t.encode(), b"", b""]
+        assert e.db is None and len(e.cache) == len(e.again) == len(e.id_at) - 1 == len(e.raw_at) - 1 <= 500
+    merged, asked = e.merged, []
+    e._forget()
+    monkeypatch.setattr(e, "merged", lambda words: (asked.extend(words), merged(words))[1])
+    e.encode(pa.array([common]))
+    assert asked == []
+
+
+def test_character_classes_take_little_memory(monkeypatch):
+    """The class table isn't made from a Python object a character."""
+    import tracemalloc
+    old = pretoken._classes()
+    monkeypatch.setattr(pretoken, "_table", None)
+    tracemalloc.start()
+    new = pretoken._classes()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20 and (new == old).all()
